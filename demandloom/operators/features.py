@@ -19,6 +19,7 @@ from demandloom.functions.dates import (
 from demandloom.functions.numeric import half_even, safe_ratio
 from demandloom.operators.ranking import exact_quantiles
 from demandloom.operators.series import by_item, future_grid, item_codes
+from demandloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -74,18 +75,37 @@ def rolling_columns(short: int, long: int) -> dict[str, Column]:
     }
 
 
-def ewma_column(span: int) -> Column:
-    """Exponentially weighted mean of the earlier rows, recursive form.
+def add_ewma(df: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """Exponentially weighted means (recursive form) of the earlier rows, one column per span.
 
-    The frame stops where older rows weigh less than double precision can show.
+    The recursion unrolls to decaying weights. Rows fall in blocks so long that what came before the
+    previous block weighs less than double precision can show: a running sum inside the block plus
+    the decayed value at the end of the previous block is the whole mean, in constant work per row.
     """
-    alpha = 2.0 / (span + 1)
-    reach = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-    earlier = F.collect_list("Quantity_Sold").over(_before(reach))
-    return F.aggregate(
-        earlier,
-        F.lit(None).cast("double"),
-        lambda acc, x: F.coalesce(F.lit(1 - alpha) * acc + F.lit(alpha) * x, x),
+    q = F.col("Quantity_Sold")
+    decay = {name: 1 - 2.0 / (span + 1) for name, span in spans.items()}
+    block = max(math.ceil(math.log(1e-17) / math.log(d)) for d in decay.values())
+    if min(decay.values()) ** -block > 1e200:
+        raise ValueError("spans too far apart for one block length")
+    place = F.row_number().over(by_item()) - 1
+    placed = df.withColumn("_i", place).withColumns({
+        "_b": F.floor(F.col("_i") / block), "_j": F.col("_i") % block,
+    })
+    inside = Window.partitionBy("Item", "_b").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
+    local, means, shifted = {}, {}, {}
+    for name, d in decay.items():
+        fade = F.pow(F.lit(d), F.col("_j"))
+        # The first row of a series enters with full weight.
+        entry = F.when(F.col("_i") == 0, q / F.lit(1 - d)).otherwise(q)
+        local[f"_l_{name}"] = F.lit(1 - d) * fade * F.sum(entry / fade).over(inside)
+        ended = F.last(
+            F.when(F.col("_j") == block - 1, F.col(f"_l_{name}")), ignorenulls=True
+        ).over(by_item().rowsBetween(Window.unboundedPreceding, -1))
+        means[f"_e_{name}"] = F.col(f"_l_{name}") + F.coalesce(F.lit(d) * fade * ended, F.lit(0.0))
+        shifted[name] = F.lag(f"_e_{name}", 1).over(by_item())
+    return (
+        placed.withColumns(local).withColumns(means).withColumns(shifted)
+        .drop("_i", "_b", "_j", *local, *means)
     )
 
 
@@ -185,13 +205,12 @@ def create_features(
     windows = {
         **lag_columns(plan.lags),
         **rolling_columns(s, l),
-        f"EWMA_{s}": ewma_column(s),
-        f"EWMA_{l}": ewma_column(l),
         **difference_columns(),
         "Recent_vs_Old_Trend": trend_ratio(s, l),
         "Post_Rebrand_Surge_Ratio": surge_ratio(calendar.event_date),
     }
-    full = add_calendar(coded, calendar).withColumns(windows)
+    averaged = add_ewma(coded, {f"EWMA_{n}": n for n in (s, l)})
+    full = add_calendar(averaged, calendar).withColumns(windows)
     return zero_missing(full).select("Item", "Date", "Quantity_Sold", *feature_columns(frequency))
 
 
@@ -203,8 +222,6 @@ def exploratory_columns(frequency: str, calendar: TradingCalendar, surge_item: s
             **lag_columns((1, 2, 4, 8)),
             **{f"Roll_Mean_{n}": F.avg(q).over(_before(n)) for n in (4, 8, 12)},
             **{f"Roll_Std_{n}": F.stddev_samp(q).over(_before(n)) for n in (4, 8)},
-            "EWMA_4": ewma_column(4),
-            "EWMA_8": ewma_column(8),
             "Diff_1": _q() - F.lag(q, 1).over(by_item()),
             "Diff_4": _q() - F.lag(q, 4).over(by_item()),
             "Recent_vs_Old_Trend": trend_ratio(4, 8, cap=5.0),
@@ -215,7 +232,6 @@ def exploratory_columns(frequency: str, calendar: TradingCalendar, surge_item: s
         **lag_columns((1, 7, 14)),
         **{f"Roll_Mean_{n}": F.avg(q).over(_before(n)) for n in (7, 14)},
         "Roll_Std_7": F.stddev_samp(q).over(_before(7)),
-        "EWMA_7": ewma_column(7),
         "Diff_1": _q() - F.lag(q, 1).over(by_item()),
         "Diff_7": _q() - F.lag(q, 7).over(by_item()),
         "Item_Surge": decayed_surge(surge_item, calendar.event_date),
@@ -254,7 +270,8 @@ def exploratory_features(
     clip: bool = True,
 ) -> DataFrame:
     """Extended calendar, wider windows and surges; NULLs to 0 and, by default, winsorised."""
-    coded = series.join(item_codes(series), "Item")
+    spans = {"EWMA_4": 4, "EWMA_8": 8} if frequency == "weekly" else {"EWMA_7": 7}
+    coded = add_ewma(series.join(item_codes(series), "Item"), spans)
     full = zero_missing(
         add_calendar(coded, calendar, extended=True).withColumns(
             exploratory_columns(frequency, calendar, surge_item)
@@ -262,8 +279,6 @@ def exploratory_features(
     )
     if not clip:
         return full
-    from demandloom.session import materialise
-
     numeric = [c for c in full.columns if c not in ("Item", "Date", "Item_Code")]
     return winsorise(materialise(full), numeric)
 

@@ -77,11 +77,11 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_total(counted, [F.col(value)], F.col("_n"), "_upto", groups)
-    sizes = ranked.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    sizes = ranked.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     placed = ranked.join(sizes, list(groups))
     picks = []
     for name, probability in probabilities.items():
-        spot = (F.col("_all") - 1) * F.lit(float(probability))
+        spot = (F.col("_size") - 1) * F.lit(float(probability))
         # A row covers the zero-based ranks [upto - n, upto).
         picks.append(F.min(F.when(F.col("_upto") > F.floor(spot), F.col(value))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_upto") > F.ceil(spot), F.col(value))).alias(f"_hi_{name}"))

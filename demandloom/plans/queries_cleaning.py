@@ -12,7 +12,11 @@ from demandloom.sources import adapters
 from demandloom.sources.adapters import STAR_CALENDAR, sale_lines, table
 
 QUERIES, ORACLES = {}, {}
-KEY = [F.col("Receipt number").alias("receipt"), F.col("Line").alias("line")]
+
+
+def _key():
+    return F.col("Receipt number").alias("receipt"), F.col("Line").alias("line")
+
 
 # Renames used over the given part names.
 STAR_RENAMES = {
@@ -31,7 +35,7 @@ STAR_VALUES = {
 
 def translate_values(spark, sf):
     lines = cleaning.translate_values(sale_lines(spark, sf), STAR_VALUES)
-    return lines.select(*KEY, F.col("Receipt type").alias("receipt_type"),
+    return lines.select(*_key(), F.col("Receipt type").alias("receipt_type"),
                         F.col("Dining option").alias("dining_option"), F.col("Status").alias("status"))
 
 
@@ -99,7 +103,7 @@ FROM (SELECT l_orderkey AS receipt, l_linenumber AS line, {_MESSY} AS t FROM {_M
 
 
 def apply_modifiers(spark, sf):
-    return cleaning.apply_modifiers(sale_lines(spark, sf)).select(*KEY, "Item")
+    return cleaning.apply_modifiers(sale_lines(spark, sf)).select(*_key(), "Item")
 
 
 _MODIFIED = """CASE WHEN modifier IS NOT NULL AND NOT (lower(Item) LIKE '% hot' OR lower(Item) LIKE '% ice')
@@ -108,7 +112,7 @@ ORACLES["apply_modifiers"] = with_("sales", body=f"SELECT receipt, line, {_MODIF
 
 
 def rename_items(spark, sf):
-    return cleaning.rename_items(sale_lines(spark, sf), STAR_RENAMES).select(*KEY, "Item")
+    return cleaning.rename_items(sale_lines(spark, sf), STAR_RENAMES).select(*_key(), "Item")
 
 
 _RENAMED = """CASE lower(Item) WHEN 'red ring' THEN 'Blue Ring' WHEN 'red rod' THEN 'Blue Rod'
@@ -117,7 +121,7 @@ ORACLES["rename_items"] = with_("sales", body=f"SELECT receipt, line, {_RENAMED}
 
 
 def case_to_bom(spark, sf):
-    return cleaning.case_to_menu(sale_lines(spark, sf), adapters.active_menu(spark, sf)).select(*KEY, "Item")
+    return cleaning.case_to_menu(sale_lines(spark, sf), adapters.active_menu(spark, sf)).select(*_key(), "Item")
 
 
 ORACLES["case_to_bom"] = with_("sales", "menu", body="""
@@ -125,7 +129,7 @@ SELECT receipt, line, coalesce(m.Item, s.Item) AS Item FROM sales s LEFT JOIN me
 
 
 def pattern_collapse(spark, sf):
-    return sale_lines(spark, sf).select(*KEY, text.collapse_pattern(F.col("Item"), "gizmo", "Gizmo").alias("Item"))
+    return sale_lines(spark, sf).select(*_key(), text.collapse_pattern(F.col("Item"), "gizmo", "Gizmo").alias("Item"))
 
 
 ORACLES["pattern_collapse"] = with_("sales", body="""
@@ -133,7 +137,7 @@ SELECT receipt, line, CASE WHEN contains(lower(Item), 'gizmo') THEN 'Gizmo' ELSE
 
 
 def suffix_match(spark, sf):
-    return cleaning.suffix_match(sale_lines(spark, sf), adapters.active_menu(spark, sf)).select(*KEY, "Item")
+    return cleaning.suffix_match(sale_lines(spark, sf), adapters.active_menu(spark, sf)).select(*_key(), "Item")
 
 
 _SUFFIXED = """SELECT s.receipt, s.line, s.q, s."Date", CASE WHEN b.Item IS NOT NULL THEN s.Item ELSE coalesce(h.Item, i.Item, s.Item) END AS Item
@@ -145,7 +149,7 @@ ORACLES["suffix_match"] = with_("sales", "menu", body=f"SELECT receipt, line, It
 def standardise_names(spark, sf):
     lines = cleaning.standardise_names(
         sale_lines(spark, sf), adapters.active_menu(spark, sf), STAR_RENAMES, "gizmo", "Hot Plate")
-    return lines.select(*KEY, "Item")
+    return lines.select(*_key(), "Item")
 
 
 _STANDARD = f"""
@@ -160,7 +164,7 @@ ORACLES["standardise_names"] = _STANDARD + " SELECT receipt, line, Item FROM std
 
 def regex_consolidate(spark, sf):
     lines = cleaning.consolidate(sale_lines(spark, sf), r"(?i)^HOT (ring|rod)$", "hot part")
-    return lines.select(*KEY, "Item")
+    return lines.select(*_key(), "Item")
 
 
 ORACLES["regex_consolidate"] = with_("sales", body="""
@@ -168,7 +172,7 @@ SELECT receipt, line, regexp_replace(trim(Item), '^HOT (ring|rod)$', 'hot part',
 
 
 def expand_packages(spark, sf):
-    return cleaning.expand_packages(sale_lines(spark, sf), STAR_PACKAGES).select(*KEY, "Item", "Quantity")
+    return cleaning.expand_packages(sale_lines(spark, sf), STAR_PACKAGES).select(*_key(), "Item", "Quantity")
 
 
 ORACLES["expand_packages"] = with_("sales", body="""
@@ -203,7 +207,7 @@ SELECT "Date" + INTERVAL 510 MINUTE AS date, receipt, receipt_type, Item AS item
 
 def keep_active_items(spark, sf):
     lines = cleaning.case_to_menu(sale_lines(spark, sf), adapters.active_menu(spark, sf))
-    return cleaning.keep_active(lines, adapters.active_menu(spark, sf)).select(*KEY, "Item")
+    return cleaning.keep_active(lines, adapters.active_menu(spark, sf)).select(*_key(), "Item")
 
 
 ORACLES["keep_active_items"] = with_("sales", "menu", body="""

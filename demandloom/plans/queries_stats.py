@@ -1 +1,157 @@
+"""Queries over the daily total series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandloom.functions.numeric import rounded
+from demandloom.operators import stats
+from demandloom.plans import views
+from demandloom.plans.oracle_views import with_
+
 QUERIES, ORACLES = {}, {}
+_TOTALS = ("sales", "totals")
+_NUM = ("sales", "totals", "numbered")
+
+
+def _round(df, digits=6):
+    return df.withColumns({c: rounded(c, digits) for c, kind in df.dtypes if kind == "double"})
+
+
+def moving_averages(spark, sf):
+    return _round(stats.moving_averages(views.totals(spark, sf)))
+
+
+def _ma(n: int) -> str:
+    frame = f'OVER (ORDER BY "Date" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)'
+    return f"round(CASE WHEN count(*) {frame} = {n} THEN avg(q) {frame} END, 6) AS ma_{n}"
+
+
+ORACLES["moving_averages"] = with_(*_TOTALS, body=f'SELECT "Date", q AS Quantity_Sold, {_ma(7)}, {_ma(30)} FROM totals')
+
+
+def differenced_totals(spark, sf):
+    return stats.differenced(views.totals(spark, sf))
+
+
+ORACLES["differenced_totals"] = with_(*_TOTALS, body='SELECT * FROM (SELECT "Date", q - lag(q) OVER (ORDER BY "Date") AS Quantity_Sold FROM totals) WHERE Quantity_Sold IS NOT NULL')
+
+
+def autocorrelation(spark, sf):
+    return _round(stats.autocorrelation(views.totals(spark, sf)))
+
+
+ORACLES["autocorrelation"] = with_(*_NUM, body="""
+SELECT k AS lag, round(corr(a.q, b.q), 6) AS correlation, abs(corr(a.q, b.q)) > 0.2 AS significant
+FROM numbered a, generate_series(1, 30) t(k), numbered b WHERE b.i = a.i - k GROUP BY k""")
+
+
+def acf(spark, sf):
+    """Autocorrelation function of the totals and of their differences."""
+    totals = views.totals(spark, sf)
+    levels = stats.acf(totals).withColumn("series", F.lit("totals"))
+    return _round(levels.unionByName(stats.acf(stats.differenced(totals)).withColumn("series", F.lit("differences"))))
+
+
+_ACF = """SELECT '{1}' AS series, k AS lag, round(sum((a.q - m) * (b.q - m)) / any_value(v), 6) AS acf
+FROM (SELECT *, avg(q) OVER () AS m, var_pop(q) OVER () * count(*) OVER () AS v FROM {0}) a, generate_series(0, 30) t(k), {0} b WHERE b.i = a.i - k GROUP BY k"""
+ORACLES["acf"] = with_(*_NUM, body=f"""
+, dif AS (SELECT i, q - lag(q) OVER (ORDER BY i) AS q FROM numbered QUALIFY i > 1)
+{_ACF.format('numbered', 'totals')} UNION ALL {_ACF.format('dif', 'differences')}""")
+
+
+def linear_trend(spark, sf):
+    return _round(stats.linear_trend(views.totals(spark, sf)))
+
+
+_TREND = """SELECT regr_slope(q, i - 1) AS slope, regr_intercept(q, i - 1) AS intercept, regr_r2(q, i - 1) AS r_squared, count(*) AS days FROM numbered"""
+ORACLES["linear_trend"] = with_(*_NUM, body=f"""
+, t AS ({_TREND}), z AS (SELECT *, sign(slope) * sqrt(r_squared * (days - 2) / (1 - r_squared)) AS ts FROM t),
+x AS (SELECT *, abs(ts) / sqrt(2) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(ts) / sqrt(2)) AS u FROM z)
+SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r_squared, 6) AS r_squared, days, round(ts, 6) AS t_statistic,
+ CASE WHEN slope > 0 THEN 'Increasing' WHEN slope < 0 THEN 'Decreasing' ELSE 'Flat' END AS direction,
+ round((0.254829592::DOUBLE * u - 0.284496736::DOUBLE * u * u + 1.421413741::DOUBLE * pow(u, 3) - 1.453152027::DOUBLE * pow(u, 4) + 1.061405429::DOUBLE * pow(u, 5)) * exp(-x * x), 6) AS p_value FROM x""")
+
+
+def seasonal_decompose(spark, sf):
+    return _round(stats.seasonal_decompose(views.totals(spark, sf)))
+
+
+ORACLES["seasonal_decompose"] = with_(*_NUM, body="""
+, t AS (SELECT "Date", q, (i - 1) % 7 AS phase, CASE WHEN count(*) OVER w = 7 THEN avg(q) OVER w END AS trend FROM numbered WINDOW w AS (ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+p AS (SELECT phase, avg(q - trend) AS raw FROM t GROUP BY 1), s AS (SELECT phase, raw - (SELECT avg(raw) FROM p) AS seasonal FROM p)
+SELECT "Date", q AS Quantity_Sold, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(q - trend - seasonal, 6) + 0.0 AS residual FROM t JOIN s USING (phase)""")
+
+
+def kpss_stat(spark, sf):
+    return _round(stats.kpss(views.totals(spark, sf)))
+
+
+ORACLES["kpss_stat"] = with_(*_NUM, body="""
+, r AS (SELECT i, q - avg(q) OVER () AS r, count(*) OVER () AS n FROM numbered),
+g AS (SELECT k, sum(a.r * b.r) AS s FROM r a, generate_series(0, 200) t(k), r b WHERE b.i = a.i - k GROUP BY k),
+n AS (SELECT any_value(n)::DOUBLE AS n FROM r),
+w AS (SELECT CAST(floor(pow(n, 2.0 / 9)) AS BIGINT) AS w FROM n),
+ss AS (SELECT sum(CASE WHEN k = 0 THEN s / n ELSE 2 * s / n END) AS s0, sum(2 * k * s / n) AS s1 FROM g, n, w WHERE k <= w),
+l AS (SELECT CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0::DOUBLE / 3) * pow(n, 1.0::DOUBLE / 3)) AS INTEGER) AS lags FROM ss, n),
+v AS (SELECT sum(CASE WHEN k = 0 THEN s ELSE 2 * (1 - k / (lags + 1.0::DOUBLE)) * s END) / any_value(n) AS v, any_value(lags) AS lags FROM g, l, n WHERE k <= lags),
+c AS (SELECT sum(r) OVER (ORDER BY i) AS c FROM r),
+st AS (SELECT sum(c * c) / (any_value(n) * any_value(n)) / any_value(v) AS stat, any_value(lags) AS lags FROM c, n, v),
+pv AS (SELECT *, CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - (stat - 0.347) * 0.05 / 0.116 WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) * 0.025 / 0.111
+  WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) * 0.015 / 0.165 ELSE 0.01 END AS p FROM st)
+SELECT round(stat, 6) AS statistic, lags, round(p, 6) AS p_value, p > 0.05 AS stationary FROM pv""")
+
+
+def outliers(spark, sf):
+    return _round(stats.outliers(views.totals(spark, sf)))
+
+
+_OUT = """SELECT "Date", q, (q - m) / s AS z, q - m AS dev, abs((q - m) / s) > 3 AS iz, q < q1 - 1.5 * (q3 - q1) OR q > q3 + 1.5 * (q3 - q1) AS iq
+FROM totals, (SELECT avg(q) AS m, stddev_pop(q) AS s, quantile_cont(q, 0.25) AS q1, quantile_cont(q, 0.75) AS q3 FROM totals)"""
+ORACLES["outliers"] = with_(*_TOTALS, body=f"""
+SELECT "Date", q AS Quantity_Sold, round(z, 6) + 0.0 AS z_score, round(dev, 6) + 0.0 AS deviation_from_mean, iz AS is_z_outlier, iq AS is_iqr_outlier FROM ({_OUT})""")
+
+
+def subseries(spark, sf):
+    return _round(stats.subseries(views.totals(spark, sf)))
+
+
+ORACLES["subseries"] = with_(*_TOTALS, body="""
+SELECT month("Date") AS month, day("Date") AS day, round(avg(q), 6) AS mean_quantity, count(*) AS days FROM totals GROUP BY 1, 2""")
+
+
+def eda_flags(spark, sf):
+    return _round(stats.eda_flags(views.totals(spark, sf)))
+
+
+ORACLES["eda_flags"] = with_(*_NUM, body=f"""
+SELECT CASE WHEN slope > 0 THEN 'Increasing' WHEN slope < 0 THEN 'Decreasing' ELSE 'Flat' END AS trend,
+ (SELECT CASE WHEN stddev_samp(m) > avg(m) * 0.1 THEN 'Present' ELSE 'Weak' END FROM (SELECT avg(q) AS m FROM totals GROUP BY isodow("Date"))) AS weekly_seasonality,
+ (SELECT count(*) FILTER (iq) FROM ({_OUT})) AS outlier_days, (SELECT round(100.0 * avg(CAST(iq AS DOUBLE)), 6) FROM ({_OUT})) AS outlier_pct FROM ({_TREND})""")
+
+
+def item_correlation(spark, sf):
+    from demandloom.session import materialise
+
+    return _round(stats.item_correlation(materialise(views.daily_quantity(spark, sf))))
+
+
+ORACLES["item_correlation"] = with_("sales", body="""
+, d AS (SELECT "Date", Item, sum(q) AS q FROM sales GROUP BY 1, 2), best AS (SELECT Item FROM d GROUP BY 1 ORDER BY sum(q) DESC, Item LIMIT 100),
+g AS (SELECT days."Date", best.Item, coalesce(d.q, 0.0) AS q FROM (SELECT DISTINCT "Date" FROM d WHERE Item IN (SELECT Item FROM best)) days CROSS JOIN best LEFT JOIN d ON d."Date" = days."Date" AND d.Item = best.Item)
+SELECT a.Item AS item_a, b.Item AS item_b, round(corr(a.q, b.q), 6) AS correlation FROM g a JOIN g b ON a."Date" = b."Date" AND a.Item < b.Item GROUP BY 1, 2""")
+
+
+def pacf(spark, sf):
+    """Partial autocorrelation of the totals and of their differences."""
+    totals = views.totals(spark, sf)
+    levels = stats.pacf(totals).withColumn("series", F.lit("totals"))
+    return _round(levels.unionByName(stats.pacf(stats.differenced(totals)).withColumn("series", F.lit("differences"))))
+
+
+def adf_stat(spark, sf):
+    return _round(stats.adf(views.totals(spark, sf)))
+
+
+QUERIES |= {name: globals()[name] for name in ORACLES}
+QUERIES |= {"pacf": pacf, "adf_stat": adf_stat}

@@ -1 +1,214 @@
+"""Queries over recipes, material needs and basket rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandloom.functions import text
+from demandloom.functions.numeric import rounded
+from demandloom.operators import bom, rules, serving
+from demandloom.operators.registry import latest_active_run
+from demandloom.plans import views
+from demandloom.plans.oracle_views import VIEWS, initcap, with_
+from demandloom.session import materialise
+from demandloom.sources import adapters
+
 QUERIES, ORACLES = {}, {}
+_BOM = ("cond", "walk", "leaves", "bom", "item_leaf")
+_RECIPES = ("products", "variants", "materials", "condiments", "units", "recipe_lines", "condiment_lines", "links", "categories")
+
+
+def material_name_sql(column: str) -> str:
+    return f"CASE WHEN upper(trim({column})) IN ('SKM', 'BSJ', 'SP') THEN upper(trim({column})) ELSE {initcap(f'trim({column})')} END"
+
+
+def bom_menu_flatten(spark, sf):
+    return bom.flatten_menu(adapters.recipe_tables(spark, sf))
+
+
+ORACLES["bom_menu_flatten"] = with_(*_RECIPES, body="""
+SELECT coalesce(cat.name, 'Uncategorized') AS Tipe, CASE WHEN pv.id IS NOT NULL AND pv.name <> 'default' THEN p.name || ' ' || pv.name ELSE p.name END AS Item,
+ coalesce(m.name, c.name) AS Bahan, r.quantity AS Qty, coalesce(mu.code, cu.code, '') AS Unit
+FROM recipe_lines r JOIN products p ON p.id = r.product_id LEFT JOIN variants pv ON pv.id = r.variant_id LEFT JOIN materials m ON m.id = r.material_id
+ LEFT JOIN condiments c ON c.id = r.condiment_id LEFT JOIN links l ON l.product_id = p.id LEFT JOIN categories cat ON cat.id = l.category_id
+ LEFT JOIN units mu ON mu.id = m.unit_id LEFT JOIN units cu ON cu.id = c.unit_id
+WHERE p.is_active AND (m.is_active OR m.id IS NULL) AND (pv.id IS NULL OR pv.is_active)""")
+
+
+def bom_condiment_flatten(spark, sf):
+    return bom.flatten_condiments(adapters.recipe_tables(spark, sf))
+
+
+ORACLES["bom_condiment_flatten"] = with_("materials", "condiments", "units", "condiment_lines", body="""
+SELECT c.name AS Condiment, c.batch_quantity AS Condiment_Qty, u.code AS Condiment_Unit, coalesce(m.name, cc.name) AS Sub_Ingredient,
+ ci.quantity AS Qty_per_condiment_unit, mu.code AS Sub_Unit
+FROM condiment_lines ci JOIN condiments c ON c.id = ci.condiment_id LEFT JOIN units u ON u.id = c.unit_id LEFT JOIN materials m ON m.id = ci.material_id
+ LEFT JOIN condiments cc ON cc.id = ci.child_condiment_id LEFT JOIN units mu ON mu.id = CASE WHEN ci.material_id IS NOT NULL THEN m.unit_id END""")
+
+
+def bom_explode_level1(spark, sf):
+    found = bom.explode_level_one(adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf))
+    return found.withColumn("Qty", rounded("Qty", 4))
+
+
+ORACLES["bom_explode_level1"] = with_("sales", "bom", body="""
+SELECT "Date", Bahan, round(sum(d.q * b.Qty), 4) AS Qty FROM (SELECT "Date", Item, sum(q) AS q FROM sales WHERE q > 0 GROUP BY 1, 2) d JOIN bom b USING (Item) GROUP BY 1, 2""")
+
+
+def bom_explode_recursive(spark, sf):
+    found = bom.item_materials(adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
+    return found.select("key", "Material", rounded("per_unit", 6).alias("per_unit"))
+
+
+ORACLES["bom_explode_recursive"] = with_(*_BOM, recursive=True, body="SELECT Item AS key, leaf AS Material, round(f, 6) AS per_unit FROM item_leaf")
+
+
+def material_requirements(spark, sf):
+    found = bom.material_requirements(
+        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
+    return found.withColumn("Quantity_Required", rounded("Quantity_Required", 4))
+
+
+VIEWS["needs"] = f"""
+ SELECT "Date", {material_name_sql('leaf')} AS Raw_Material, sum(d.q * l.f) AS Quantity_Required
+ FROM (SELECT "Date", Item, sum(q) AS q FROM sales WHERE q > 0 GROUP BY 1, 2) d JOIN item_leaf l USING (Item) GROUP BY 1, 2"""
+ORACLES["material_requirements"] = with_("sales", *_BOM, "needs", recursive=True, body="""
+SELECT "Date", Raw_Material, round(Quantity_Required, 4) AS Quantity_Required FROM needs""")
+
+
+def top_materials(spark, sf):
+    found = bom.top_materials(bom.material_requirements(
+        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf)))
+    return found.withColumn("Quantity_Required", rounded("Quantity_Required", 3))
+
+
+ORACLES["top_materials"] = with_("sales", *_BOM, "needs", recursive=True, body="""
+SELECT Raw_Material, round(sum(Quantity_Required), 3) AS Quantity_Required FROM needs GROUP BY 1 ORDER BY sum(Quantity_Required) DESC, 1 LIMIT 20""")
+
+
+def _stored_materials(spark, sf):
+    found = bom.material_requirements(
+        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
+    return found.toDF("date", "raw_material", "quantity_required")
+
+
+def materials_filter(spark, sf):
+    found = serving.materials(_stored_materials(spark, sf), "BRAND#2", "1996-01-01", "1998-06-30")
+    return found.withColumn("quantity_required", rounded("quantity_required", 4))
+
+
+ORACLES["materials_filter"] = with_("sales", *_BOM, "needs", recursive=True, body="""
+SELECT "Date" AS date, Raw_Material AS raw_material, round(Quantity_Required, 4) AS quantity_required FROM needs
+WHERE Raw_Material ILIKE '%brand#2%' AND "Date" BETWEEN DATE '1996-01-01' AND DATE '1998-06-30'""")
+
+
+def recipe_materials(spark, sf):
+    """Daily sales of items by product name, half of them with a variant in the name."""
+    t = adapters.recipe_tables(spark, sf)
+    lines = adapters.sale_lines(spark, sf)
+    sold = lines.select(
+        "Date", F.when(F.col("Line") % 2 == 0, F.concat_ws(" ", F.upper("Item"), "Category")).otherwise(F.col("Item")).alias("Item"),
+        "Quantity")
+    found = bom.recipe_requirements(sold, t)
+    return found.withColumn("Quantity_Required", rounded("Quantity_Required", 3))
+
+
+ORACLES["recipe_materials"] = with_("sales", *_RECIPES, body="""
+, lines AS (SELECT lower(p.name) AS product_key, lower(CASE WHEN v.name IS NOT NULL THEN p.name || ' ' || v.name ELSE p.name END) AS item_key, m.name AS material, c.name AS condiment, r.quantity AS qty
+  FROM recipe_lines r JOIN products p ON p.id = r.product_id LEFT JOIN variants v ON v.id = r.variant_id LEFT JOIN materials m ON m.id = r.material_id LEFT JOIN condiments c ON c.id = r.condiment_id WHERE p.is_active),
+sold AS (SELECT "Date", lower(CASE WHEN line % 2 = 0 THEN upper(Item) || ' ' || raw_category ELSE Item END) AS key, sum(q) AS q FROM sales GROUP BY 1, 2),
+recipes AS (SELECT item_key AS key, material, condiment, qty FROM lines UNION ALL
+  SELECT product_key, material, condiment, qty FROM lines WHERE product_key NOT IN (SELECT item_key FROM lines)),
+subs AS (SELECT c.name AS condiment, m.name AS sub, ci.quantity / CASE WHEN coalesce(c.batch_quantity, 0) = 0 THEN 1.0 ELSE c.batch_quantity END AS rate
+  FROM condiment_lines ci JOIN condiments c ON c.id = ci.condiment_id LEFT JOIN materials m ON m.id = ci.material_id),
+needs AS (SELECT key, material AS raw, qty FROM recipes WHERE material IS NOT NULL UNION ALL
+  SELECT key, sub, qty * rate FROM recipes JOIN subs USING (condiment) WHERE sub IS NOT NULL UNION ALL
+  SELECT key, condiment, qty FROM recipes WHERE condiment IS NOT NULL AND condiment NOT IN (SELECT condiment FROM subs)),
+unit AS (SELECT key, raw, sum(qty) AS qty FROM needs GROUP BY 1, 2)
+SELECT "Date", raw AS Raw_Material, round(sum(q * qty), 3) AS Quantity_Required FROM sold JOIN unit USING (key) GROUP BY 1, 2""")
+
+
+# --- basket rules ----------------------------------------------------------------------------
+
+_SUPPORT, _PAIR_SUPPORT = 0.01, 0.001
+
+
+def association_rules(spark, sf):
+    """Rules over categories, antecedents of any length."""
+    found = rules.as_rule_text(rules.association_rules(
+        adapters.sale_lines(spark, sf), _SUPPORT, 0.3, item="Category"))
+    return found.withColumns({c: rounded(c, 6) for c, kind in found.dtypes if kind == "double"})
+
+
+def _pair_rules(spark, sf):
+    return rules.association_rules(adapters.sale_lines(spark, sf), _PAIR_SUPPORT, 0.0, max_items=2)
+
+
+def pair_rules_metrics(spark, sf):
+    found = _pair_rules(spark, sf)
+    one = found.withColumns({"antecedents": F.col("antecedents")[0], "consequents": F.col("consequents")[0]})
+    return one.withColumns({c: rounded(c, 6) for c, kind in found.dtypes if kind == "double"})
+
+
+VIEWS["basket"] = "SELECT DISTINCT receipt, Item FROM sales"
+VIEWS["single"] = "SELECT Item, count(*) AS n FROM basket GROUP BY 1"
+VIEWS["nb"] = "SELECT count(DISTINCT receipt)::DOUBLE AS nb FROM basket"
+VIEWS["pairs"] = f"""
+ SELECT a, b, n_ab / nb AS support, n_ab / n_a AS confidence, n_ab * nb / (n_a * n_b) AS lift, n_a / nb AS pa, n_b / nb AS pb, n_ab / nb AS pab FROM (
+  SELECT x.Item AS a, y.Item AS b, count(*) AS n_ab FROM basket x JOIN basket y ON x.receipt = y.receipt AND x.Item <> y.Item GROUP BY 1, 2)
+ JOIN (SELECT Item AS a, n AS n_a FROM single) USING (a) JOIN (SELECT Item AS b, n AS n_b FROM single) USING (b), nb WHERE n_ab >= ceil({_PAIR_SUPPORT}::DOUBLE * nb)"""
+_PAIRS = ("sales", "basket", "single", "nb", "pairs")
+ORACLES["pair_rules_metrics"] = with_(*_PAIRS, body="""
+SELECT a AS antecedents, b AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, 1.0::DOUBLE AS representativity,
+ round(pab - pa * pb, 6) + 0.0 AS leverage, round((1 - pb) / nullif(1 - confidence, 0), 6) AS conviction,
+ round((pab - pa * pb) / nullif(greatest(pab * (1 - pa), pa * (pb - pab)), 0), 6) + 0.0 AS zhangs_metric, round(pab / (pa + pb - pab), 6) AS jaccard FROM pairs""")
+
+
+def association_rules_top(spark, sf):
+    found = rules.top_rules(rules.as_rule_text(_pair_rules(spark, sf)), 0.05, 0.5)
+    return found.select("antecedents", "consequents", *[rounded(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+
+
+_TEXT = "'frozenset({''' || {0} || '''})'"
+_TOP = f"""SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', 'b')} AS consequents, support, confidence, lift, b FROM pairs
+WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, a, b LIMIT 100"""
+ORACLES["association_rules_top"] = with_(*_PAIRS, body=f"""
+SELECT antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM ({_TOP})""")
+
+
+def rule_text_parse(spark, sf):
+    """Set text of every pair rule, read back by both parsers."""
+    written = rules.as_rule_text(_pair_rules(spark, sf))
+    return written.select(
+        "antecedents", "consequents",
+        text.single_item_of_set_text(F.col("antecedents")).alias("antecedent"),
+        F.array_join(text.items_of_rule_text(F.regexp_replace("consequents", "^frozenset", "")), "|").alias("consequent_items"))
+
+
+ORACLES["rule_text_parse"] = with_(*_PAIRS, body=f"""
+SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', 'b')} AS consequents, a AS antecedent, lower(b) AS consequent_items FROM pairs""")
+
+
+def rules_for_model(spark, sf):
+    """Top rules whose consequent is among the items of the latest active forest run."""
+    tables = views.run_tables(spark, sf)
+    run = latest_active_run(tables.runs, "forest").select(F.col("id").alias("model_run_id"))
+    names = tables.top_items.where(F.col("accuracy_pct") >= 95).join(run, "model_run_id", "left_semi")
+    # The registry keeps the item list of a run as JSON text.
+    stored = names.agg(F.to_json(F.collect_list("item_name")).alias("items_with_models"))
+    items = stored.select(F.explode(text.items_of_json_text(F.col("items_with_models"))).alias("item"))
+    written = rules.as_rule_text(_pair_rules(spark, sf))
+    plain = written.withColumns({c: text.single_item_of_set_text(F.col(c)) for c in ("antecedents", "consequents")})
+    found = rules.rules_for_items(plain, items, 0.05, 0.5)
+    return found.select("antecedents", "consequents", *[rounded(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+
+
+ORACLES["rules_for_model"] = with_(*_PAIRS, "runs", "top_rows", body="""
+, wanted AS (SELECT lower(item_name) AS item FROM top_rows WHERE accuracy_pct >= 95 AND model_run_id = (
+   SELECT id FROM runs WHERE is_active AND model_type = 'forest' ORDER BY trained_at DESC, id DESC LIMIT 1)),
+top AS (SELECT a, b, support, confidence, lift FROM pairs WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, a, b LIMIT 100)
+SELECT a AS antecedents, b AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift
+FROM top WHERE lower(b) IN (SELECT item FROM wanted)""")
+
+QUERIES |= {name: globals()[name] for name in ORACLES}
+QUERIES["association_rules"] = association_rules
