@@ -1 +1,117 @@
+"""Queries over trained forecasters. Fits have no SQL twin, except the fold table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandloom.forecast import families
+from demandloom.forecast.pooled import PooledSettings
+from demandloom.forecast.recursive import recursive_forecast
+from demandloom.operators import features, metrics, series, serving
+from demandloom.plans import queries_features, views  # noqa: F401 - defines shared oracle views
+from demandloom.plans.oracle_views import with_
+from demandloom.session import materialise
+from demandloom.sources.adapters import STAR_CALENDAR
+
 QUERIES, ORACLES = {}, {}
+
+# Fewer rounds of a larger step than the defaults travel as far (30 x 0.15 = 300 x 0.015).
+SETTINGS = PooledSettings(rounds=30, step=0.15, trees=60)
+# Three test windows at the end of the given history.
+FOLDS = (("2001-02-01", "2001-03-31"), ("2001-04-01", "2001-05-31"), ("2001-06-01", "2001-07-31"))
+
+
+def _features(spark, sf):
+    return materialise(features.create_features(views.item_series(spark, sf), "weekly", STAR_CALENDAR))
+
+
+def _held_out(spark, sf, family):
+    return families.train_and_predict(_features(spark, sf), family, settings=SETTINGS)
+
+
+def forecast_boosted(spark, sf):
+    return _held_out(spark, sf, "boosted")
+
+
+def forecast_forest(spark, sf):
+    return _held_out(spark, sf, "forest")
+
+
+def forecast_arima(spark, sf):
+    return _held_out(spark, sf, "arima")
+
+
+def forecast_additive(spark, sf):
+    return _held_out(spark, sf, "additive")
+
+
+def holdout_predictions(spark, sf):
+    """The pooled Tweedie model with item models blended in, on the hold-out."""
+    return _held_out(spark, sf, "tweedie")
+
+
+def forecast_12w(spark, sf):
+    """Twelve weeks ahead from a boosted model of the whole history."""
+    weekly = views.item_series(spark, sf)
+    codes = materialise(series.item_codes(weekly))
+    frame = materialise(features.create_features(weekly, "weekly", STAR_CALENDAR, codes))
+    bundle = families.train(frame, "boosted", settings=SETTINGS)
+    return families.generate_forecast(weekly, bundle, 12, STAR_CALENDAR, codes).select("Item", "Date", "Predicted")
+
+
+def forecast_items(spark, sf):
+    """Four weeks for three items; their codes come from the whole history."""
+    weekly = views.item_series(spark, sf)
+    codes = materialise(series.item_codes(weekly))
+    frame = materialise(features.create_features(weekly, "weekly", STAR_CALENDAR, codes))
+    bundle = families.train(frame, "forest", settings=SETTINGS)
+    wanted = serving.history_for_items(weekly, ["hot ring", "cold ring", "old rod"])
+    return families.generate_forecast(wanted, bundle, 4, STAR_CALENDAR, codes).select("Item", "Date", "Predicted")
+
+
+def forecast_recursive(spark, sf):
+    return recursive_forecast(views.item_series(spark, sf, "daily"), 90, STAR_CALENDAR)
+
+
+def cv_folds(spark, sf):
+    """Rows, items and dates of each fold's two sides."""
+    rows = families.cv_rows(views.item_series(spark, sf), FOLDS)
+    return rows.groupBy("fold", "is_test").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("Item").alias("items"),
+        F.min("Date").alias("first_date"), F.max("Date").alias("last_date"))
+
+
+_FOLDS = ", ".join(f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(FOLDS, 1))
+ORACLES["cv_folds"] = with_("sales", "weekly_sums", "weekly", body=f"""
+SELECT fold, "Date" >= s AS is_test, count(*) AS row_count, count(DISTINCT Item) AS items, min("Date") AS first_date, max("Date") AS last_date
+FROM weekly JOIN (VALUES {_FOLDS}) f(fold, s, e) ON "Date" <= e GROUP BY 1, 2""")
+
+
+def _folded(spark, sf):
+    frame = materialise(families.without_leaks(_features(spark, sf)))
+    predictions = families.cross_validate(
+        frame, FOLDS, features.feature_columns("weekly"), "linear", settings=SETTINGS)
+    return families.cv_metrics(materialise(predictions))
+
+
+def cv_metrics(spark, sf):
+    return _folded(spark, sf)
+
+
+def cv_stability(spark, sf):
+    return metrics.cv_stability(materialise(_folded(spark, sf)))
+
+
+def overfit_check(spark, sf):
+    return families.overfit_check(_features(spark, sf), "boosted", settings=SETTINGS)
+
+
+def model_comparison(spark, sf):
+    return families.compare(_features(spark, sf), settings=SETTINGS)
+
+
+QUERIES |= {
+    f.__name__: f for f in (
+        forecast_boosted, forecast_forest, forecast_arima, forecast_additive, holdout_predictions, forecast_12w,
+        forecast_items, forecast_recursive, cv_folds, cv_metrics, cv_stability, overfit_check, model_comparison)
+}
