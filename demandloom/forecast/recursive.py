@@ -17,24 +17,35 @@ REACH = 14
 MIN_ROWS = 30
 
 
-def _row(past: np.ndarray, day: dt.date, special: dict[str, frozenset]) -> list[float]:
-    """Features of ``day`` from the quantities before it (latest last, at least ``REACH``)."""
-    week = past[-7:]
-    weekday = day.weekday()
-    angle = 2 * math.pi * day.timetuple().tm_yday / 365.25
-    return [
-        past[-1], past[-7], past[-14], week.mean(), past[-14:].mean(), week.std(), past[-1] - past[-8],
-        math.sin(angle), math.cos(angle),
-        *[float(weekday == k) for k in range(6)],
-        float(day in special["holiday"]), float(day in special["near"]),
-        float(day.day <= 7 or day.day >= 25), float(weekday >= 4 and day.day >= 25),
-    ]
+def _calendar_part(days: pd.DatetimeIndex, special: dict[str, frozenset]) -> np.ndarray:
+    """One row of date features per day."""
+    angle = 2 * math.pi * days.dayofyear.to_numpy() / 365.25
+    weekday, month_day, plain = days.weekday.to_numpy(), days.day.to_numpy(), days.date
+    late = month_day >= 25
+    return np.column_stack([
+        np.sin(angle), np.cos(angle), weekday[:, None] == np.arange(6),
+        [d in special["holiday"] for d in plain], [d in special["near"] for d in plain],
+        (month_day <= 7) | late, (weekday >= 4) & late,
+    ]).astype(float)
+
+
+def _history_part(windows: np.ndarray) -> np.ndarray:
+    """Lags, means, spread and weekly change from rows of the ``REACH`` quantities before a day."""
+    week = windows[:, -7:]
+    return np.column_stack([
+        windows[:, -1], windows[:, -7], windows[:, -14], week.mean(axis=1), windows.mean(axis=1),
+        week.std(axis=1), windows[:, -1] - windows[:, -8],
+    ])
 
 
 def _design(frame: pd.DataFrame, special) -> tuple[np.ndarray, np.ndarray]:
+    """Features and targets of every day that has ``REACH`` days before it."""
     y = frame["Quantity_Sold"].to_numpy(dtype=float)
-    rows = [_row(y[:i], day, special) for i, day in enumerate(frame["Date"]) if i >= REACH]
-    return np.array(rows).reshape(len(rows), -1), y[REACH:]
+    if len(y) <= REACH:
+        return np.zeros((0, 0)), np.zeros(0)
+    windows = np.lib.stride_tricks.sliding_window_view(y, REACH)[:-1]
+    days = pd.DatetimeIndex(pd.to_datetime(frame["Date"].iloc[REACH:]))
+    return np.column_stack([_history_part(windows), _calendar_part(days, special)]), y[REACH:]
 
 
 def _special(calendar: TradingCalendar) -> dict[str, frozenset]:
@@ -91,15 +102,18 @@ def recursive_forecast(series: DataFrame, days: int = 90, calendar: TradingCalen
             intercept, coef = pooled[0], pooled[1:]
         cap = 2.0 * y.max()
         # Days between the item's own end and the common end had no sales.
-        day, end = frame["Date"].iloc[-1], frame["last"].iloc[0]
-        past = np.concatenate([np.zeros(REACH), y, np.zeros((end - day).days)])
+        end = frame["last"].iloc[0]
+        idle = (end - frame["Date"].iloc[-1]).days
+        past = np.concatenate([np.zeros(REACH), y, np.zeros(idle)])[-REACH:]
+        dates = pd.date_range(end + dt.timedelta(days=1), periods=days)
+        known = _calendar_part(dates, special)
         found = []
-        for ahead in range(1, days + 1):
-            day = end + dt.timedelta(days=ahead)
-            features = np.array(_row(past, day, special))
-            value = intercept + (coef @ features if len(coef) else 0.0)
+        for day, fixed in zip(dates.date, known):
+            value = intercept
+            if len(coef):
+                value += coef @ np.concatenate([_history_part(past[None, :])[0], fixed])
             value = float(round(min(max(0.0, value), cap)))
-            past = np.append(past[-REACH:], value)
+            past = np.append(past[1:], value)
             found.append((frame["Item"].iloc[0], day, value))
         return pd.DataFrame(found, columns=["Item", "Date", "Predicted"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.numeric import safe_float
 from demandloom.functions.text import material_name, name_key, product_variant_name
-from demandloom.session import materialise
+from demandloom.session import counted_broadcast, materialise, spread
 
 MAX_DEPTH = 64
 
@@ -45,25 +45,28 @@ def unit_expansion(condiment_bom: DataFrame, line: str | None = None, max_depth:
     """
     edges = materialise(_edges(condiment_bom, line))
     names = condiment_bom.select(F.col("Condiment").alias("child")).distinct()
+    steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next"), "rate")
     level = edges.select(F.col("parent").alias("root"), "child", F.col("rate").alias("qty"))
-    leaves = [level.join(names, "child", "left_anti").select("root", "child", "qty")]
+    levels = [level]
     for _ in range(max_depth):
-        steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next"), "rate")
         level = materialise(
             level.join(steps, F.col("child") == F.col("node"))
             .groupBy("root", F.col("next").alias("child"))
             .agg(F.sum(F.col("qty") * F.col("rate")).alias("qty"))
         )
-        looped = level.where(F.col("root") == F.col("child")).select("root").head(1)
-        if looped:
-            raise BomCycleError(f"condiment contains itself: {looped[0]['root']}")
-        if level.isEmpty():
+        state = level.agg(
+            F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("root") == F.col("child"), F.col("root"))).alias("loop")
+        ).first()
+        if state["loop"] is not None:
+            raise BomCycleError(f"condiment contains itself: {state['loop']}")
+        if state["rows"] == 0:
             break
-        leaves.append(level.join(names, "child", "left_anti").select("root", "child", "qty"))
+        levels.append(level)
     else:
         raise BomCycleError(f"condiments nest deeper than {max_depth} levels")
     return (
-        reduce(DataFrame.unionByName, leaves)
+        reduce(DataFrame.unionByName, levels)
+        .join(names, "child", "left_anti")
         .groupBy(F.col("root").alias("Condiment"), F.col("child").alias("Material"))
         .agg(F.sum("qty").alias("Unit_Qty"))
     )
@@ -95,7 +98,8 @@ def item_materials(
     menu_bom: DataFrame, condiment_bom: DataFrame, menu_line: str | None = None, condiment_line: str | None = None
 ) -> DataFrame:
     """key, Material, per_unit: leaf materials in one unit of each item."""
-    lines = item_lines(menu_bom, menu_line)
+    lines = item_lines(materialise(menu_bom), menu_line)
+    condiment_bom = materialise(condiment_bom)
     expansion = unit_expansion(condiment_bom, condiment_line)
     names = condiment_bom.select(F.col("Condiment").alias("Bahan")).distinct()
     plain = lines.join(names, "Bahan", "left_anti").select(
@@ -116,15 +120,27 @@ def _daily_demand(sales: DataFrame, quantity: str) -> DataFrame:
     )
 
 
-def explode_level_one(sales: DataFrame, menu_bom: DataFrame, quantity: str = "Quantity") -> DataFrame:
-    """Direct ingredients by date; items without a recipe contribute nothing."""
+def _needs_by_day(demand: DataFrame, needs: DataFrame, out: str, amount: str) -> DataFrame:
+    """Sum of sold times per-unit need by date; ``needs`` has key, ``out`` and per_unit.
+
+    The join multiplies rows. With a small recipe table the demand is laid out by date and the
+    recipe goes to it, so the multiplied rows are summed where they arise and never shuffled. With a
+    large one both sides shuffle on the item and partial sums follow.
+    """
+    recipe, small = counted_broadcast(needs)
+    if small:
+        demand = spread(demand, "Date")
     return (
-        _daily_demand(sales, quantity).join(item_lines(menu_bom), "key")
-        .groupBy("Date", "Bahan")
-        .agg(F.sum(F.col("sold") * F.col("per_unit")).alias("Qty"))
+        demand.join(recipe, "key").groupBy("Date", out)
+        .agg(F.sum(F.col("sold") * F.col("per_unit")).alias(amount))
     )
 
 
+def explode_level_one(sales: DataFrame, menu_bom: DataFrame, quantity: str = "Quantity") -> DataFrame:
+    """Direct ingredients by date; items without a recipe contribute nothing."""
+    return _needs_by_day(_daily_demand(sales, quantity), item_lines(menu_bom), "Bahan", "Qty")
+
+
 def items_without_recipe(sales: DataFrame, menu_bom: DataFrame) -> DataFrame:
     names = sales.select("Item", name_key(F.col("Item")).alias("key")).distinct()
     return names.join(item_lines(menu_bom), "key", "left_anti").select("Item")
@@ -140,11 +156,9 @@ def material_requirements(
 ) -> DataFrame:
     """Date, Raw_Material, Quantity_Required."""
     needs = item_materials(menu_bom, condiment_bom, menu_line, condiment_line)
-    return (
-        _daily_demand(sales, quantity).join(needs, "key")
-        .groupBy("Date", material_name(F.col("Material")).alias("Raw_Material"))
-        .agg(F.sum(F.col("sold") * F.col("per_unit")).alias("Quantity_Required"))
-    )
+    named = needs.groupBy("key", material_name(F.col("Material")).alias("Raw_Material")).agg(
+        F.sum("per_unit").alias("per_unit"))
+    return _needs_by_day(_daily_demand(sales, quantity), named, "Raw_Material", "Quantity_Required")
 
 
 def top_materials(requirements: DataFrame, n: int = 20) -> DataFrame:
@@ -240,7 +254,7 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
     materials = t["materials"].select(F.col("id").alias("material_id"), F.col("name").alias("material"))
     condiments = t["condiments"].select(
         F.col("id").alias("condiment_id"), F.col("name").alias("condiment"))
-    lines = (
+    lines = materialise(
         t["recipe_lines"].join(products, "product_id")
         .join(variants, "variant_id", "left")
         .join(materials, "material_id", "left")
@@ -255,9 +269,10 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
     def per_key(key: str) -> DataFrame:
         return lines.groupBy(F.col(key).alias("key"), "material", "condiment").agg(F.sum("qty").alias("qty"))
 
-    demand = forecast.groupBy(
-        F.col("Date").cast("date").alias("Date"), F.lower("Item").alias("key")
-    ).agg(F.sum(safe_float(F.col(quantity), 0.0)).alias("sold"))
+    demand = materialise(
+        forecast.groupBy(F.col("Date").cast("date").alias("Date"), F.lower("Item").alias("key"))
+        .agg(F.sum(safe_float(F.col(quantity), 0.0)).alias("sold"))
+    )
     names = demand.select("key").distinct()
     exact = per_key("item_key").join(names, "key", "left_semi")
     rest = names.join(exact.select("key").distinct(), "key", "left_anti")
@@ -283,9 +298,5 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
             (F.col("qty") * F.coalesce("rate", F.lit(1.0))).alias("qty"),
         )
     )
-    needs = direct.unionByName(through).groupBy("key", "Raw_Material").agg(F.sum("qty").alias("qty"))
-    return (
-        demand.join(needs, "key")
-        .groupBy("Date", "Raw_Material")
-        .agg(F.sum(F.col("sold") * F.col("qty")).alias("Quantity_Required"))
-    )
+    needs = direct.unionByName(through).groupBy("key", "Raw_Material").agg(F.sum("qty").alias("per_unit"))
+    return _needs_by_day(demand, needs, "Raw_Material", "Quantity_Required")

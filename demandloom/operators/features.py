@@ -173,8 +173,11 @@ def event_surge(series: DataFrame, event_date: str = DEFAULT_EVENT_DATE, cap: fl
     return means.withColumn("surge", F.when(F.col("post_mean").isNull(), F.lit(1.0)).otherwise(ratio))
 
 
-def add_calendar(df: DataFrame, calendar: TradingCalendar, extended: bool = False) -> DataFrame:
-    origin = df.agg(F.min("Date")).scalar()
+def add_calendar(
+    df: DataFrame, calendar: TradingCalendar, extended: bool = False, history: DataFrame | None = None
+) -> DataFrame:
+    """Calendar features; weeks and days count from the first date of ``history`` (or of ``df``)."""
+    origin = (df if history is None else history).agg(F.min("Date")).scalar()
     with_origin = df.withColumn("_origin", origin)
     day, start = F.col("Date"), F.col("_origin")
     columns = calendar_columns(day, start, calendar)
@@ -210,7 +213,7 @@ def create_features(
         "Post_Rebrand_Surge_Ratio": surge_ratio(calendar.event_date),
     }
     averaged = add_ewma(coded, {f"EWMA_{n}": n for n in (s, l)})
-    full = add_calendar(averaged, calendar).withColumns(windows)
+    full = add_calendar(averaged, calendar, history=series).withColumns(windows)
     return zero_missing(full).select("Item", "Date", "Quantity_Sold", *feature_columns(frequency))
 
 
@@ -273,7 +276,7 @@ def exploratory_features(
     spans = {"EWMA_4": 4, "EWMA_8": 8} if frequency == "weekly" else {"EWMA_7": 7}
     coded = add_ewma(series.join(item_codes(series), "Item"), spans)
     full = zero_missing(
-        add_calendar(coded, calendar, extended=True).withColumns(
+        add_calendar(coded, calendar, extended=True, history=series).withColumns(
             exploratory_columns(frequency, calendar, surge_item)
         )
     )

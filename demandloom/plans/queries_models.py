@@ -26,7 +26,9 @@ def _features(spark, sf):
 
 
 def _held_out(spark, sf, family):
-    return families.train_and_predict(_features(spark, sf), family, settings=SETTINGS)
+    """Only the pooled families read features; the others need the series alone."""
+    frame = _features(spark, sf) if family in families.POOLED else views.item_series(spark, sf)
+    return families.train_and_predict(frame, family, settings=SETTINGS)
 
 
 def forecast_boosted(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of this package wants. AQE coalesces small shuffle partitions, splits skewed
 # join partitions and turns a join into a broadcast only after it has measured the side's size.
@@ -51,3 +52,23 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition over all shuffle partitions, for a step that multiplies rows.
+
+    AQE sizes partitions by the bytes that enter a stage; a fixed number keeps every core busy when
+    far more rows leave it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+# Rows of a few short columns that fit every executor's memory many times over.
+BROADCAST_ROWS = 500_000
+
+
+def counted_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` materialised, marked for broadcast only if it has been counted to be small."""
+    ready = materialise(df)
+    small = ready.count() <= most
+    return (F.broadcast(ready) if small else ready), small
