@@ -37,7 +37,7 @@ def fit_item_regressions(train: DataFrame, columns: Sequence[str], minimum: int,
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[:1][keys]
         if len(frame) < minimum:
-            return head.iloc[:0].assign(intercept=[], coefficients=[])
+            return head.iloc[:0].assign(intercept=pd.Series(dtype=float), coefficients=pd.Series(dtype=object))
         x = frame[names].to_numpy(dtype=float)
         intercept, coef = ridge(x, frame["Quantity_Sold"].to_numpy(dtype=float))
         return head.assign(intercept=intercept, coefficients=[coef.tolist()])
