@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.session import spread
+
 # Weight of the squared coefficients in the item regressions.
 RIDGE = 15.0
 
@@ -45,7 +47,7 @@ def fit_item_regressions(train: DataFrame, columns: Sequence[str], minimum: int,
     kinds = dict(train.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     return (
-        train.select(*dict.fromkeys([*keys, "Quantity_Sold", *names]))
+        spread(train.select(*dict.fromkeys([*keys, "Quantity_Sold", *names])), *keys)
         .groupBy(*keys)
         .applyInPandas(fit, f"{schema}, intercept double, coefficients array<double>")
     )
@@ -96,7 +98,7 @@ def fit_arima(train: DataFrame, minimum: int) -> DataFrame:
         row = (frame["Item"].iloc[0], frame["Date"].iloc[-1], y[-1], phi, theta, step)
         return pd.DataFrame([row], columns=names)
 
-    return train.select("Item", "Date", "Quantity_Sold").groupBy("Item").applyInPandas(
+    return spread(train.select("Item", "Date", "Quantity_Sold"), "Item").groupBy("Item").applyInPandas(
         fit, "Item string, last_date date, last_value double, phi double, theta double, next_step double")
 
 
@@ -152,7 +154,7 @@ def fit_additive(train: DataFrame, minimum: int) -> DataFrame:
         weights = np.linalg.solve(x.T @ x + np.diag(prior), x.T @ y)
         return frame.iloc[:1][["Item", "origin", "span", "scale"]].assign(weights=[weights.tolist()])
 
-    return design.groupBy("Item").applyInPandas(
+    return spread(design, "Item").groupBy("Item").applyInPandas(
         fit, "Item string, origin date, span double, scale double, weights array<double>")
 
 

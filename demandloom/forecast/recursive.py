@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from demandloom.forecast.perseries import RIDGE, ridge
 from demandloom.functions.dates import TradingCalendar
+from demandloom.session import spread
 
 REACH = 14
 MIN_ROWS = 30
@@ -69,7 +70,7 @@ def pooled_coefficients(series: DataFrame, calendar: TradingCalendar) -> np.ndar
         return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "v": gram.ravel()})
 
     cells = (
-        series.groupBy("Item").applyInPandas(products, "r int, c int, v double")
+        spread(series, "Item").groupBy("Item").applyInPandas(products, "r int, c int, v double")
         .groupBy("r", "c").agg(F.sum("v").alias("v")).collect()
     )
     size = max((cell["r"] for cell in cells), default=-1) + 1
@@ -117,5 +118,5 @@ def recursive_forecast(series: DataFrame, days: int = 90, calendar: TradingCalen
             found.append((frame["Item"].iloc[0], day, value))
         return pd.DataFrame(found, columns=["Item", "Date", "Predicted"])
 
-    return series.withColumn("last", last).groupBy("Item").applyInPandas(
+    return spread(series.withColumn("last", last), "Item").groupBy("Item").applyInPandas(
         forecast, "Item string, Date date, Predicted double")

@@ -213,40 +213,34 @@ def case_to_menu(df: DataFrame, menu: DataFrame) -> DataFrame:
     )
 
 
-def suffix_names(items: DataFrame, menu: DataFrame) -> DataFrame:
-    """``Item`` to ``Matched`` for names off the menu that are on it with `` Hot`` or `` Ice``.
+def suffix_lookup(menu: DataFrame) -> DataFrame:
+    """``base`` to ``Matched`` for names off the menu that are on it with `` Hot`` or `` Ice``.
 
-    Hot wins when both exist, unless the name itself ends in `` ice``.
+    Hot wins when both exist, unless the name itself ends in `` ice``. The table comes from the menu
+    alone, so no pass over the lines collects their names.
     """
     keys = menu_keys(menu)
-    names = (
-        items.select("Item").where(F.col("Item").isNotNull()).distinct()
-        .withColumn("base", text.name_key(F.col("Item")))
-        .join(keys.select(F.col("key").alias("base")), "base", "left_anti")
+    ending = F.right("key", F.lit(4))
+    suffixed = keys.where(ending.isin(" hot", " ice")).select(
+        F.expr("left(key, length(key) - 4)").alias("base"), ending.alias("ending"), "spelling"
     )
-    hot = keys.select(F.col("key").alias("hot_key"), F.col("spelling").alias("hot"))
-    ice = keys.select(F.col("key").alias("ice_key"), F.col("spelling").alias("ice"))
-    both = F.when(F.col("base").endswith(" ice"), F.col("ice")).otherwise(F.col("hot"))
-    return (
-        names.join(hot, F.concat("base", F.lit(" hot")) == F.col("hot_key"), "left")
-        .join(ice, F.concat("base", F.lit(" ice")) == F.col("ice_key"), "left")
-        .withColumn(
-            "Matched",
-            F.when(F.col("hot").isNotNull() & F.col("ice").isNotNull(), both).otherwise(
-                F.coalesce("hot", "ice")
-            ),
-        )
-        .where(F.col("Matched").isNotNull())
-        .select("Item", "Matched")
+    per_base = suffixed.groupBy("base").agg(
+        F.max(F.when(F.col("ending") == " hot", F.col("spelling"))).alias("hot"),
+        F.max(F.when(F.col("ending") == " ice", F.col("spelling"))).alias("ice"),
     )
+    iced = F.col("base").endswith(" ice")
+    matched = F.when(iced, F.coalesce("ice", "hot")).otherwise(F.coalesce("hot", "ice"))
+    return per_base.join(
+        keys.select(F.col("key").alias("base")), "base", "left_anti"
+    ).select("base", matched.alias("Matched"))
 
 
 def suffix_match(df: DataFrame, menu: DataFrame) -> DataFrame:
-    """Resolve names through :func:`suffix_names`; the lookup is over distinct names only."""
+    """Resolve names that only miss their `` Hot`` or `` Ice``."""
     return (
-        df.join(suffix_names(df, menu), "Item", "left")
+        df.join(suffix_lookup(menu), text.name_key(F.col("Item")) == F.col("base"), "left")
         .withColumn("Item", F.coalesce("Matched", "Item"))
-        .drop("Matched")
+        .drop("base", "Matched")
     )
 
 

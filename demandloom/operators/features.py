@@ -19,7 +19,7 @@ from demandloom.functions.dates import (
 from demandloom.functions.numeric import half_even, safe_ratio
 from demandloom.operators.ranking import exact_quantiles
 from demandloom.operators.series import by_item, future_grid, item_codes
-from demandloom.session import materialise
+from demandloom.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,8 @@ def create_features(
     """
     plan = PLANS[frequency]
     s, l = plan.short, plan.long
-    coded = series.join(item_codes(series) if codes is None else codes, "Item")
+    # One layout by item serves the code join and every window.
+    coded = spread(series, "Item").join(item_codes(series) if codes is None else codes, "Item")
     windows = {
         **lag_columns(plan.lags),
         **rolling_columns(s, l),
@@ -274,7 +275,7 @@ def exploratory_features(
 ) -> DataFrame:
     """Extended calendar, wider windows and surges; NULLs to 0 and, by default, winsorised."""
     spans = {"EWMA_4": 4, "EWMA_8": 8} if frequency == "weekly" else {"EWMA_7": 7}
-    coded = add_ewma(series.join(item_codes(series), "Item"), spans)
+    coded = add_ewma(spread(series, "Item").join(item_codes(series), "Item"), spans)
     full = zero_missing(
         add_calendar(coded, calendar, extended=True, history=series).withColumns(
             exploratory_columns(frequency, calendar, surge_item)

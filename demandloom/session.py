@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed side even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoint files go when the frames that need them are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Beyond this many rows a deep page is cut from a distributed sort, not from a heap per task.
@@ -55,10 +57,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash-partition over all shuffle partitions, for a step that multiplies rows.
+    """Hash-partition over all shuffle partitions, for a step whose work outgrows its input.
 
-    AQE sizes partitions by the bytes that enter a stage; a fixed number keeps every core busy when
-    far more rows leave it.
+    AQE sizes partitions by the bytes that enter a stage. Where a join multiplies rows, or Python or
+    dozens of windows run per row, a fixed number of partitions keeps every core busy.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 

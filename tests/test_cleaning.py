@@ -65,9 +65,12 @@ def test_standardise(spark):
 
 
 def test_suffix_prefers_hot(spark):
-    m = menu(spark, "Tea Hot", "Tea Ice", "Soda Ice", "Plain")
-    names = spark.createDataFrame([("tea",), ("Soda",), ("plain",), ("none",)], "Item string")
-    assert rows(cleaning.suffix_names(names, m), "Item") == [("Soda", "Soda Ice"), ("tea", "Tea Hot")]
+    m = menu(spark, "Tea Hot", "Tea Ice", "Soda Ice", "Plain", "plain hot", "Cola Ice Hot", "Cola Ice Ice")
+    assert rows(cleaning.suffix_lookup(m), "base") == [
+        ("cola ice", "Cola Ice Ice"), ("soda", "Soda Ice"), ("tea", "Tea Hot")]
+    data = lines(spark, *[(D(2025, 1, 1), n, None, 1.0) for n in ("tea", "SODA", "plain", "none", None)])
+    got = sorted(str(r["Item"]) for r in cleaning.suffix_match(data, m).collect())
+    assert got == ["None", "Soda Ice", "Tea Hot", "none", "plain"]
 
 
 def test_missing_items_are_never_discontinued(spark):

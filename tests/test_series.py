@@ -168,16 +168,13 @@ def test_bad_frequency(spark):
 
 
 def test_windows_share_one_exchange(spark):
-    """All window columns and the code join need one shuffle of the series by item."""
+    """The code join and all window columns need one shuffle of the series."""
     data = series_frame(spark, {"a": range(30), "b": range(30)})
     codes = spark.createDataFrame([("a", 0), ("b", 1)], "Item string, Item_Code int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        frame = features.add_ewma(data.join(codes, "Item"), {"EWMA_4": 4, "EWMA_12": 12}).withColumns({
-            **features.lag_columns((1, 2, 4)), **features.rolling_columns(4, 12), "t": features.trend_ratio(4, 12),
-            "s": features.surge_ratio(CALENDAR.event_date)})
-        plan = frame._jdf.queryExecution().executedPlan().toString()
+        plan = features.create_features(data, "weekly", CALENDAR, codes)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # One exchange for the series and one for the code table.
-    assert plan.count("Exchange hashpartitioning") == 2
+    # One exchange for the series, one for the code table.
+    assert plan.count("Exchange hashpartitioning") == 2, plan
