@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.forecast import perseries, pooled
@@ -16,7 +16,7 @@ from demandloom.functions.dates import TradingCalendar
 from demandloom.functions.numeric import half_even
 from demandloom.operators import features as feats
 from demandloom.operators import metrics
-from demandloom.operators.series import by_item, holdout_split, item_codes, step_days
+from demandloom.operators.series import by_item, future_grid, item_codes, step_days
 from demandloom.session import materialise
 
 BLEND = 0.15
@@ -69,22 +69,26 @@ def without_leaks(frame: DataFrame) -> DataFrame:
 
 def train(frame: DataFrame, family: str, frequency: str = "weekly", settings: PooledSettings = PooledSettings()) -> Bundle:
     """Fit a family on a (materialised) feature frame."""
+    ready = materialise(without_leaks(frame)) if family in POOLED else frame
+    return _train_ready(ready, family, frequency, settings)
+
+
+def _train_ready(ready: DataFrame, family: str, frequency: str, settings: PooledSettings) -> Bundle:
     columns = tuple(feats.feature_columns(frequency))
     model = None
     if family in POOLED:
-        ready = materialise(without_leaks(frame))
         model = pooled.fit_pooled(ready, columns, family, settings)
         own = perseries.fit_item_regressions(ready, columns, MIN_ROWS[frequency])
     elif family == "arima":
-        own = perseries.fit_arima(frame, MIN_ROWS_ARIMA[frequency])
+        own = perseries.fit_arima(ready, MIN_ROWS_ARIMA[frequency])
     elif family == "additive":
-        own = perseries.fit_additive(frame, MIN_ROWS[frequency])
+        own = perseries.fit_additive(ready, MIN_ROWS[frequency])
     else:
         raise ValueError(f"family must be one of {FAMILIES}")
     return Bundle(
         family=family, frequency=frequency, columns=columns,
-        factors=feats.weekday_factors(frame),
-        mean=frame.agg(F.coalesce(F.avg("Quantity_Sold"), F.lit(0.0)).alias("mean")),
+        factors=feats.weekday_factors(ready),
+        mean=ready.agg(F.coalesce(F.avg("Quantity_Sold"), F.lit(0.0)).alias("mean")),
         item_models=materialise(own), pooled=model,
     )
 
@@ -116,33 +120,24 @@ def train_and_predict(
     settings: PooledSettings = PooledSettings(),
 ) -> DataFrame:
     """Train before the hold-out and forecast it."""
-    ready = materialise(holdout_split(without_leaks(frame) if family in POOLED else frame, periods))
-    return _evaluate(ready, family, frequency, settings).where(F.col("split") == "test").drop("split")
+    ready, is_test = _split(frame, family, periods)
+    bundle = _train_ready(ready.where(~is_test), family, frequency, settings)
+    return predict(ready.where(is_test), bundle, leak_free=True)
 
 
-def _evaluate(ready: DataFrame, family: str, frequency: str, settings: PooledSettings) -> DataFrame:
-    """Forecasts of both splits from a model of the training split; ``ready`` is free of leaks."""
-    rows = ready.where(~F.col("is_test")).drop("is_test")
-    columns = tuple(feats.feature_columns(frequency))
-    if family in POOLED:
-        bundle = Bundle(
-            family=family, frequency=frequency, columns=columns, factors=feats.weekday_factors(rows),
-            mean=rows.agg(F.avg("Quantity_Sold").alias("mean")),
-            item_models=materialise(perseries.fit_item_regressions(rows, columns, MIN_ROWS[frequency])),
-            pooled=pooled.fit_pooled(rows, columns, family, settings),
-        )
-    else:
-        bundle = train(rows, family, frequency, settings)
-    scored = predict(ready.drop("is_test"), bundle, leak_free=True)
-    marks = ready.select("Item", "Date", F.when(F.col("is_test"), "test").otherwise("train").alias("split"))
-    return scored.join(marks, ["Item", "Date"])
+def _split(frame: DataFrame, family: str, periods: int) -> tuple[DataFrame, Column]:
+    """The frame free of leaks, and the test of its hold-out rows (from the last date backwards)."""
+    ready = materialise(without_leaks(frame) if family in POOLED else frame)
+    return ready, F.col("Date") >= F.date_sub(ready.agg(F.max("Date")).scalar(), periods * 7)
 
 
 def overfit_check(frame: DataFrame, family: str = "boosted", frequency: str = "weekly", periods: int = 12,
                   settings: PooledSettings = PooledSettings()) -> DataFrame:
     """Train and test metrics of one family with their gap and verdict."""
-    ready = materialise(holdout_split(without_leaks(frame), periods))
-    return metrics.overfit_check(_evaluate(ready, family, frequency, settings))
+    ready, is_test = _split(frame, family, periods)
+    bundle = _train_ready(ready.where(~is_test), family, frequency, settings)
+    scored = predict(ready, bundle, leak_free=True)
+    return metrics.overfit_check(scored.withColumn("split", F.when(is_test, "test").otherwise("train")))
 
 
 def compare(frame: DataFrame, families: Sequence[str] = FAMILIES, frequency: str = "weekly",
@@ -166,9 +161,10 @@ def compare(frame: DataFrame, families: Sequence[str] = FAMILIES, frequency: str
 def generate_forecast(series: DataFrame, bundle: Bundle, weeks: int = 12, calendar: TradingCalendar = TradingCalendar(),
                       codes: DataFrame | None = None) -> DataFrame:
     """Forecast of the weeks after the last date, from a trained family."""
+    if bundle.pooled is None:
+        return predict(future_grid(series, weeks * (7 if bundle.frequency == "daily" else 1), bundle.frequency), bundle)
     codes = item_codes(series) if codes is None else codes
-    grid_features = feats.future_features(series, weeks, bundle.frequency, calendar, codes)
-    return predict(grid_features, bundle)
+    return predict(feats.future_features(series, weeks, bundle.frequency, calendar, codes), bundle)
 
 
 # --- rolling-origin cross-validation ---------------------------------------------------------

@@ -194,8 +194,8 @@ def rules_for_model(spark, sf):
     tables = views.run_tables(spark, sf)
     run = latest_active_run(tables.runs, "forest").select(F.col("id").alias("model_run_id"))
     names = tables.top_items.where(F.col("accuracy_pct") >= 95).join(run, "model_run_id", "left_semi")
-    # The registry keeps the item list of a run as JSON text.
-    stored = names.agg(F.to_json(F.collect_list("item_name")).alias("items_with_models"))
+    # Item lists come as JSON text; one short list per stored row, so no list grows with the catalogue.
+    stored = names.select(F.to_json(F.array("item_name", F.upper("item_name"))).alias("items_with_models"))
     items = stored.select(F.explode(text.items_of_json_text(F.col("items_with_models"))).alias("item"))
     written = rules.as_rule_text(_pair_rules(spark, sf))
     plain = written.withColumns({c: text.single_item_of_set_text(F.col(c)) for c in ("antecedents", "consequents")})
