@@ -311,16 +311,23 @@ def calendar_features_ext(spark, sf):
         "Is_Near_Holiday", "Days_Since_Rebrand", "Payday_Weekend", "Holiday_Weekend")
 
 
-ORACLES["calendar_features_ext"] = f"""
-WITH h AS (SELECT make_date(y::BIGINT, m, d) AS h FROM generate_series(1995, 2001) t(y), (VALUES (1, 1), (5, 1), (12, 25)) v(m, d))
-SELECT "Date", quarter("Date") AS Quarter, CAST(isodow("Date") >= 6 AS INTEGER) AS Is_Weekend,
- round(sin(2 * pi() * month("Date") / 12), 6) + 0.0 AS Sin_Month, round(cos(2 * pi() * month("Date") / 12), 6) + 0.0 AS Cos_Month,
- date_diff('day', origin, "Date") AS Days_Since_Start, day("Date") AS Day_Of_Month,
- CAST(day("Date") <= 7 OR day("Date") >= 25 AS INTEGER) AS Is_Payday,
- CAST(EXISTS (SELECT 1 FROM h WHERE abs(date_diff('day', h.h, "Date")) <= 3) AS INTEGER) AS Is_Near_Holiday,
- greatest(date_diff('day', DATE '1999-05-01', "Date"), 0) AS Days_Since_Rebrand,
- CAST((day("Date") <= 7 OR day("Date") >= 25) AND isodow("Date") >= 6 AS INTEGER) AS Payday_Weekend,
- CAST({_HOLIDAY.format('"Date"')} AND isodow("Date") >= 6 AS INTEGER) AS Holiday_Weekend FROM {_DAYS}"""
+
+
+def _near(month: int, day: int) -> str:
+    """Within three days of that date in the year before, of, or after (for use inside a format text)."""
+    return f"""list_bool_or([abs(date_diff('day', make_date(year({{0}}) + y, {month}, {day}), {{0}})) <= 3
+   AND year({{0}}) + y BETWEEN 1995 AND 2001 for y in [-1, 0, 1]])"""
+
+
+EXTENDED_SQL = f"""quarter({{0}}) AS Quarter, CAST(isodow({{0}}) >= 6 AS INTEGER) AS Is_Weekend,
+ round(sin(2 * pi() * month({{0}}) / 12), 6) + 0.0 AS Sin_Month, round(cos(2 * pi() * month({{0}}) / 12), 6) + 0.0 AS Cos_Month,
+ date_diff('day', {{1}}, {{0}}) AS Days_Since_Start, day({{0}}) AS Day_Of_Month,
+ CAST(day({{0}}) <= 7 OR day({{0}}) >= 25 AS INTEGER) AS Is_Payday,
+ CAST({_near(1, 1)} OR {_near(5, 1)} OR {_near(12, 25)} AS INTEGER) AS Is_Near_Holiday,
+ greatest(date_diff('day', DATE '1999-05-01', {{0}}), 0) AS Days_Since_Rebrand,
+ CAST((day({{0}}) <= 7 OR day({{0}}) >= 25) AND isodow({{0}}) >= 6 AS INTEGER) AS Payday_Weekend,
+ CAST({_HOLIDAY} AND isodow({{0}}) >= 6 AS INTEGER) AS Holiday_Weekend"""
+ORACLES["calendar_features_ext"] = f"""SELECT "Date", {EXTENDED_SQL.format('"Date"', 'origin')} FROM {_DAYS}"""
 
 
 def sales_cleaned_project(spark, sf):

@@ -8,7 +8,7 @@ from demandloom.functions.numeric import rounded
 from demandloom.operators import features, series
 from demandloom.plans import views
 from demandloom.plans.oracle_views import VIEWS, with_
-from demandloom.plans.queries_cleaning import CALENDAR_SQL
+from demandloom.plans.queries_cleaning import CALENDAR_SQL, EXTENDED_SQL
 from demandloom.sources.adapters import STAR_CALENDAR
 
 QUERIES, ORACLES = {}, {}
@@ -286,5 +286,28 @@ def exploratory_features(spark, sf):
     return _round_all(features.exploratory_features(views.item_series(spark, sf), "weekly", STAR_CALENDAR, "hot ring"))
 
 
+_FRAME = f"""SELECT f.*, e4 AS EWMA_4, e8 AS EWMA_8 FROM (
+ SELECT Item, "Date", {CALENDAR_SQL.format('"Date"', 'origin')}, {EXTENDED_SQL.format('"Date"', 'origin')}, q AS Quantity_Sold,
+  {', '.join(f'lag(q, {n}) {_over()} AS Lag_{n}' for n in (1, 2, 4, 8))}, {', '.join(f"avg(q) {_over(f'{n} PRECEDING AND 1 PRECEDING')} AS Roll_Mean_{n}" for n in (4, 8, 12))},
+  {', '.join(f"stddev_samp(q) {_over(f'{n} PRECEDING AND 1 PRECEDING')} AS Roll_Std_{n}" for n in (4, 8))}, q - lag(q, 1) {_over()} AS Diff_1, q - lag(q, 4) {_over()} AS Diff_4,
+  {_trend_sql(4, 8, 5.0)} AS Recent_vs_Old_Trend, {_SURGES}, row_number() {_over()} AS rn FROM (SELECT *, min("Date") OVER () AS origin FROM surged)) f
+ LEFT JOIN ew ON ew.Item = f.Item AND ew.rn = f.rn - 1"""
+_EXPLORED = (
+    "Quantity_Sold", *features.CALENDAR_FEATURES, "Quarter", "Is_Weekend", "Sin_Month", "Cos_Month", "Days_Since_Start", "Day_Of_Month",
+    "Is_Payday", "Is_Near_Holiday", "Days_Since_Rebrand", "Payday_Weekend", "Holiday_Weekend", "Lag_1", "Lag_2", "Lag_4", "Lag_8",
+    "Roll_Mean_4", "Roll_Mean_8", "Roll_Mean_12", "Roll_Std_4", "Roll_Std_8", "EWMA_4", "EWMA_8", "Diff_1", "Diff_4",
+    "Recent_vs_Old_Trend", "Item_Surge", "Rebrand_Surge",
+)
+
+
+def _settled(c: str) -> str:
+    lift = " + 1e-9" if c.startswith("EWMA") else ""
+    return f'round(greatest("lo_{c}", least("hi_{c}", "{c}")){lift}, 6) + 0.0 AS "{c}"'
+
+
+ORACLES["exploratory_features"] = with_(*_WEEKLY, "rn", "ew", "surged", recursive=True, body=f"""
+, x AS (SELECT Item, "Date", {', '.join(f'coalesce("{c}", 0)::DOUBLE AS "{c}"' for c in _EXPLORED)} FROM ({_FRAME})),
+b AS (SELECT {', '.join(f'quantile_cont("{c}", 0.05) AS "lo_{c}", quantile_cont("{c}", 0.95) AS "hi_{c}"' for c in _EXPLORED)} FROM x)
+SELECT Item, "Date", dense_rank() OVER (ORDER BY Item) - 1 AS Item_Code, {', '.join(map(_settled, _EXPLORED))} FROM x, b""")
+
 QUERIES |= {name: globals()[name] for name in ORACLES}
-QUERIES["exploratory_features"] = exploratory_features

@@ -140,6 +140,20 @@ def association_rules(spark, sf):
     return found.withColumns({c: rounded(c, 6) for c, kind in found.dtypes if kind == "double"})
 
 
+# Every set of the six categories as bits, its baskets counted by containment.
+_BITS = "CASE raw_category WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 4 WHEN 'PROMO' THEN 8 WHEN 'SMALL' THEN 16 ELSE 32 END"
+_SET_TEXT = """'frozenset({' || array_to_string(list_transform(list_filter([(1, 'ECONOMY'), (2, 'LARGE'), (4, 'MEDIUM'), (8, 'PROMO'), (16, 'SMALL'), (32, 'STANDARD')],
+ lambda e: ({0} & e[1]) > 0), lambda e: chr(39) || e[2] || chr(39)), ', ') || '})'"""
+ORACLES["association_rules"] = with_("sales", body=f"""
+, masks AS (SELECT receipt, CAST(bit_or({_BITS}) AS BIGINT) AS m FROM sales GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM masks),
+sets AS (SELECT s, count(*) AS c FROM generate_series(1, 63) t(s), masks WHERE (m & s) = s GROUP BY 1 HAVING count(*) >= (SELECT ceil({_SUPPORT}::DOUBLE * n) FROM n)),
+r AS (SELECT w.s - b.s AS a, b.s AS b, w.c AS ab, x.c AS ca, b.c AS cb FROM sets w JOIN sets b ON (w.s & b.s) = b.s AND bit_count(b.s) = 1 AND w.s <> b.s JOIN sets x ON x.s = w.s - b.s),
+q AS (SELECT a, b, ab / n AS support, ab / ca AS confidence, ab * n / (ca::DOUBLE * cb) AS lift, ca / n AS pa, cb / n AS pb FROM r, n WHERE ab / ca >= 0.3)
+SELECT {_SET_TEXT.replace('{0}', 'a')} AS antecedents, {_SET_TEXT.replace('{0}', 'b')} AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+ 1.0::DOUBLE AS representativity, round(support - pa * pb, 6) + 0.0 AS leverage, round((1 - pb) / nullif(1 - confidence, 0), 6) AS conviction,
+ round((support - pa * pb) / nullif(greatest(support * (1 - pa), pa * (pb - support)), 0), 6) + 0.0 AS zhangs_metric, round(support / (pa + pb - support), 6) AS jaccard FROM q""")
+
+
 def _pair_rules(spark, sf):
     return rules.association_rules(adapters.sale_lines(spark, sf), _PAIR_SUPPORT, 0.0, max_items=2)
 
@@ -211,4 +225,3 @@ SELECT a AS antecedents, b AS consequents, round(support, 6) AS support, round(c
 FROM top WHERE lower(b) IN (SELECT item FROM wanted)""")
 
 QUERIES |= {name: globals()[name] for name in ORACLES}
-QUERIES["association_rules"] = association_rules
