@@ -47,7 +47,7 @@ FROM condiment_lines ci JOIN condiments c ON c.id = ci.condiment_id LEFT JOIN un
 
 
 def bom_explode_level1(spark, sf):
-    found = bom.explode_level_one(adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf))
+    found = bom.explode_level_one(adapters.demand_lines(spark, sf), adapters.menu_bom(spark, sf))
     return found.withColumn("Qty", rounded("Qty", 4))
 
 
@@ -65,7 +65,7 @@ ORACLES["bom_explode_recursive"] = with_(*_BOM, recursive=True, body="SELECT Ite
 
 def material_requirements(spark, sf):
     found = bom.material_requirements(
-        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
+        adapters.demand_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
     return found.withColumn("Quantity_Required", rounded("Quantity_Required", 4))
 
 
@@ -78,7 +78,7 @@ SELECT "Date", Raw_Material, round(Quantity_Required, 4) AS Quantity_Required FR
 
 def top_materials(spark, sf):
     found = bom.top_materials(bom.material_requirements(
-        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf)))
+        adapters.demand_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf)))
     return found.withColumn("Quantity_Required", rounded("Quantity_Required", 3))
 
 
@@ -88,7 +88,7 @@ SELECT Raw_Material, round(sum(Quantity_Required), 3) AS Quantity_Required FROM
 
 def _stored_materials(spark, sf):
     found = bom.material_requirements(
-        adapters.sale_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
+        adapters.demand_lines(spark, sf), adapters.menu_bom(spark, sf), adapters.condiment_bom(spark, sf))
     return found.toDF("date", "raw_material", "quantity_required")
 
 

@@ -13,8 +13,8 @@ from demandloom.sources import adapters
 
 
 def demand(spark: SparkSession, folder: str) -> DataFrame:
-    """Date, Item, Quantity_Sold of every line."""
-    return adapters.sale_lines(spark, folder).select(
+    """Date, Item, Quantity_Sold of the lines, to be summed."""
+    return adapters.demand_lines(spark, folder).select(
         "Date", "Item", F.col("Quantity").alias("Quantity_Sold")
     )
 
@@ -26,7 +26,7 @@ def item_series(spark: SparkSession, folder: str, frequency: str = "weekly") ->
 
 def daily_items(spark: SparkSession, folder: str) -> DataFrame:
     return aggregates.daily_item_sales(
-        adapters.sale_lines(spark, folder), adapters.item_categories(spark, folder)
+        adapters.demand_lines(spark, folder), adapters.item_categories(spark, folder)
     )
 
 

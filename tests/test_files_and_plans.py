@@ -55,9 +55,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+
+
+
 def test_scan_reads_only_what_is_used(spark, sf):
     demand = views.demand(spark, sf).where(F.col("Date") >= F.lit(D(1998, 1, 1)))
     text = plan(demand.groupBy("Item").agg(F.sum("Quantity_Sold")))
+    assert "BroadcastHashJoin [l_partkey" in text
     schemas_read = [line.split("ReadSchema: ")[1] for line in text.splitlines() if "ReadSchema" in line]
     assert sorted(schemas_read) == sorted([
         "struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>",
@@ -65,6 +69,17 @@ def test_scan_reads_only_what_is_used(spark, sf):
     assert "o_orderdate" in text.split("PushedFilters")[2] or "GreaterThanOrEqual" in text
 
 
+def test_large_catalogue_meets_summed_lines(spark, sf, monkeypatch):
+    from demandloom import session
+    small = rows(views.daily_quantity(spark, sf), "Date", "Item")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    large = views.daily_quantity(spark, sf)
+    assert rows(large, "Date", "Item") == small
+    text = plan(large)
+    # Reading the plan upwards from the scans: the sum by part comes before the catalogue joins.
+    assert text.index("Join [l_partkey") < text.index("keys=[Date#", text.index("Join [l_partkey"))
+
+
 def test_no_party_join_unless_asked(spark, sf):
     assert "supplier" not in plan(adapters.sale_lines(spark, sf))
     assert "supplier" in plan(adapters.sale_lines(spark, sf, party=True))
