@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.numeric import safe_ratio
 from demandloom.functions.text import items_of_rule_text
-from demandloom.session import materialise
+from demandloom.session import materialise, spread
 
 
 def frequent_itemsets(
@@ -30,13 +30,15 @@ def frequent_itemsets(
     least = max(1, math.ceil(min_support * baskets))
     common = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     kept = materialise(
-        pairs.join(common, "item", "left_semi").groupBy("basket").agg(F.collect_list("item").alias("items"))
+        spread(pairs.join(common, "item", "left_semi"), "basket")
+        .groupBy("basket").agg(F.collect_list("item").alias("items"))
     )
     rows = kept.count()
     if rows == 0:
         return kept.select("items", F.lit(0).cast("long").alias("freq")).limit(0), baskets
     # A support just under the wanted count, whatever share of baskets was kept.
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=0.0).fit(kept)
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=0.0,
+                     numPartitions=int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(kept)
     found = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
     return materialise(found), baskets
 

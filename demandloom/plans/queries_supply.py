@@ -136,7 +136,7 @@ _SUPPORT, _PAIR_SUPPORT = 0.01, 0.001
 def association_rules(spark, sf):
     """Rules over categories, antecedents of any length."""
     found = rules.as_rule_text(rules.association_rules(
-        adapters.sale_lines(spark, sf), _SUPPORT, 0.3, item="Category"))
+        adapters.basket_lines(spark, sf), _SUPPORT, 0.3, item="Category"))
     return found.withColumns({c: rounded(c, 6) for c, kind in found.dtypes if kind == "double"})
 
 
@@ -155,7 +155,7 @@ SELECT {_SET_TEXT.replace('{0}', 'a')} AS antecedents, {_SET_TEXT.replace('{0}',
 
 
 def _pair_rules(spark, sf):
-    return rules.association_rules(adapters.sale_lines(spark, sf), _PAIR_SUPPORT, 0.0, max_items=2)
+    return rules.association_rules(adapters.basket_lines(spark, sf), _PAIR_SUPPORT, 0.0, max_items=2)
 
 
 def pair_rules_metrics(spark, sf):

@@ -87,6 +87,14 @@ def demand_lines(spark: SparkSession, folder: str) -> DataFrame:
     return dated.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+def basket_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipt, item and category of every line; orders add nothing to a basket."""
+    lines = table(spark, folder, "lineitem")
+    part = table(spark, folder, "part")
+    return lines.join(part, lines.l_partkey == part.p_partkey).select(
+        F.col("l_orderkey").alias("Receipt number"), F.col("p_name").alias("Item"), F.col("p_type").alias("Category"))
+
+
 def event_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Timestamped sales from the event stream table."""
     return table(spark, folder, "events").select(
