@@ -46,7 +46,8 @@ def run_metrics(runs: DataFrame, family: str | None = None) -> DataFrame:
 def forecast_summary(tables: RunTables, family: str | None = None) -> DataFrame:
     """Global, class and item rows of the latest active run in one long table.
 
-    A missing or zero period accuracy falls back to the volume accuracy.
+    A missing or zero period accuracy falls back to the volume accuracy; the global item count is the
+    sum over the classes.
     """
     run = latest_active_run(tables.runs, family)
 
@@ -58,16 +59,18 @@ def forecast_summary(tables: RunTables, family: str | None = None) -> DataFrame:
         )
 
     none = F.lit(None)
+    of_run = run.select(F.col("id").alias("model_run_id"))
+    class_rows = tables.class_metrics.join(of_run, "model_run_id", "left_semi")
+    counted = class_rows.agg(F.sum("n_items")).scalar()
     overall = run.select(
         F.lit("global").alias("kind"), none.cast("string").alias("name"),
-        none.cast("long").alias("n_items"),
+        F.coalesce(counted, F.lit(0)).alias("n_items"),
         F.coalesce("wmape", F.lit(0.0)).alias("wmape"),
         or_volume().alias("accuracy"),
         F.coalesce("r2", F.lit(0.0)).alias("r2"), F.coalesce("mae", F.lit(0.0)).alias("mae"),
         none.cast("double").alias("quantity_sold"), none.cast("double").alias("predicted"),
     )
-    of_run = run.select(F.col("id").alias("model_run_id"))
-    classes = tables.class_metrics.join(of_run, "model_run_id", "left_semi").select(
+    classes = class_rows.select(
         F.lit("class").alias("kind"), F.col("abc_class").alias("name"), "n_items", "wmape",
         or_volume().alias("accuracy"),
     )

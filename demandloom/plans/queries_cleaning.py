@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.functions import dates, numeric, text
-from demandloom.operators import aggregates, cleaning, dimensions
+from demandloom.operators import aggregates, cleaning, dimensions, serving
 from demandloom.plans import views
 from demandloom.plans.oracle_views import VIEWS, initcap, with_
 from demandloom.sources import adapters
 from demandloom.sources.adapters import STAR_CALENDAR, sale_lines, table
+from demandloom.operators.features import add_calendar
 
 QUERIES, ORACLES = {}, {}
 
@@ -281,8 +282,6 @@ ORACLES["material_names"] = f"""SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN '
 
 def calendar_features(spark, sf):
     days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("Date")).distinct()
-    from demandloom.operators.features import add_calendar
-
     found = add_calendar(days, STAR_CALENDAR)
     return found.withColumns({c: numeric.rounded(c, 6) for c in ("Sin_Week", "Cos_Week", "Weeks_Since_Rebrand")})
 
@@ -302,8 +301,6 @@ ORACLES["calendar_features"] = f"""SELECT "Date", {CALENDAR_SQL.format('"Date"',
 
 def calendar_features_ext(spark, sf):
     days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("Date")).distinct()
-    from demandloom.operators.features import add_calendar
-
     found = add_calendar(days, STAR_CALENDAR, extended=True)
     return found.select(
         "Date", "Quarter", "Is_Weekend", numeric.rounded("Sin_Month", 6).alias("Sin_Month"),
@@ -386,9 +383,7 @@ FROM bom LEFT JOIN dimcats c ON c.name = Tipe LEFT JOIN dimitems d ON d.name = I
 
 
 def items_with_category(spark, sf):
-    from demandloom.operators.serving import items_with_category as listed
-
-    return listed(views.item_dim(spark, sf), views.category_dim(spark, sf))
+    return serving.items_with_category(views.item_dim(spark, sf), views.category_dim(spark, sf))
 
 
 ORACLES["items_with_category"] = f"""WITH cats AS ({VIEWS['cats']}), {_ITEM_DIM}

@@ -9,7 +9,7 @@ from demandloom.operators import bom, metrics, registry, serving
 from demandloom.plans import queries_features, views  # noqa: F401 - defines shared oracle views
 from demandloom.plans.oracle_views import VIEWS, with_
 from demandloom.plans.queries_cleaning import ITEM_DIM_SQL
-from demandloom.plans.queries_supply import material_name_sql
+from demandloom.plans.queries_supply import RECIPE_SQL, RECIPE_VIEWS, material_name_sql
 from demandloom.session import materialise
 from demandloom.sources import adapters
 
@@ -120,7 +120,7 @@ def forecast_summary(spark, sf):
 
 ORACLES["forecast_summary"] = with_("runs", "class_metrics", "top_rows", body=f"""
 , r AS ({_latest('forest')})
-SELECT 'global' AS kind, NULL AS name, NULL AS n_items, round(wmape, 6) AS wmape, round(CASE WHEN median_period_accuracy <> 0 THEN median_period_accuracy ELSE volume_accuracy END, 6) AS accuracy,
+SELECT 'global' AS kind, NULL AS name, (SELECT CAST(sum(n_items) AS BIGINT) FROM class_metrics WHERE model_run_id = (SELECT id FROM r)) AS n_items, round(wmape, 6) AS wmape, round(CASE WHEN median_period_accuracy <> 0 THEN median_period_accuracy ELSE volume_accuracy END, 6) AS accuracy,
  round(coalesce(r2, 0), 6) AS r2, round(mae, 6) AS mae, NULL::DOUBLE AS quantity_sold, NULL::DOUBLE AS predicted FROM r
 UNION ALL SELECT 'class', abc_class, n_items, round(wmape, 6), round(coalesce(nullif(median_period_accuracy, 0), volume_accuracy), 6), NULL, NULL, NULL, NULL
  FROM class_metrics WHERE model_run_id = (SELECT id FROM r)
@@ -184,6 +184,21 @@ SELECT date, raw_material, round(q, 4) AS quantity_required FROM fneeds WHERE ra
 ORDER BY 1, 2 LIMIT 300 OFFSET 300""")
 
 
+def forecast_recipe_materials(spark, sf):
+    """Material needs of the mean forecast through the recipe schema, first page of a date range."""
+    forecast = views.mean_forecast(views.item_series(spark, sf, "daily")).select(
+        "Date", "Item", F.col("Predicted").alias("Quantity"))
+    wanted = serving.between(forecast, "2001-08-10", "2001-08-20", column="Date")
+    needs = bom.recipe_requirements(wanted, adapters.recipe_tables(spark, sf))
+    found = serving.page_of(needs, ["Date", "Raw_Material"], 1, 1000)
+    return found.withColumn("Quantity_Required", rounded("Quantity_Required", 3))
+
+
+ORACLES["forecast_recipe_materials"] = with_(*_MEANF, *RECIPE_VIEWS, body=RECIPE_SQL + """,
+sold AS (SELECT "Date", lower(Item) AS key, sum(p) AS q FROM meanf WHERE "Date" BETWEEN DATE '2001-08-10' AND DATE '2001-08-20' GROUP BY 1, 2)
+SELECT "Date", raw AS Raw_Material, round(sum(q * qty), 3) AS Quantity_Required FROM sold JOIN unit USING (key) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000""")
+
+
 def registry_after_retrain(spark, sf):
     """The registry after a boosted retrain whose forecasts are the naive hold-out."""
     tables = views.run_tables(spark, sf)

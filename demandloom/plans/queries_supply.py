@@ -10,12 +10,11 @@ from demandloom.operators import bom, rules, serving
 from demandloom.operators.registry import latest_active_run
 from demandloom.plans import views
 from demandloom.plans.oracle_views import VIEWS, initcap, with_
-from demandloom.session import materialise
 from demandloom.sources import adapters
 
 QUERIES, ORACLES = {}, {}
 _BOM = ("cond", "walk", "leaves", "bom", "item_leaf")
-_RECIPES = ("products", "variants", "materials", "condiments", "units", "recipe_lines", "condiment_lines", "links", "categories")
+RECIPE_VIEWS = ("products", "variants", "materials", "condiments", "units", "recipe_lines", "condiment_lines", "links", "categories")
 
 
 def material_name_sql(column: str) -> str:
@@ -26,7 +25,7 @@ def bom_menu_flatten(spark, sf):
     return bom.flatten_menu(adapters.recipe_tables(spark, sf))
 
 
-ORACLES["bom_menu_flatten"] = with_(*_RECIPES, body="""
+ORACLES["bom_menu_flatten"] = with_(*RECIPE_VIEWS, body="""
 SELECT coalesce(cat.name, 'Uncategorized') AS Tipe, CASE WHEN pv.id IS NOT NULL AND pv.name <> 'default' THEN p.name || ' ' || pv.name ELSE p.name END AS Item,
  coalesce(m.name, c.name) AS Bahan, r.quantity AS Qty, coalesce(mu.code, cu.code, '') AS Unit
 FROM recipe_lines r JOIN products p ON p.id = r.product_id LEFT JOIN variants pv ON pv.id = r.variant_id LEFT JOIN materials m ON m.id = r.material_id
@@ -113,18 +112,20 @@ def recipe_materials(spark, sf):
     return found.withColumn("Quantity_Required", rounded("Quantity_Required", 3))
 
 
-ORACLES["recipe_materials"] = with_("sales", *_RECIPES, body="""
+# Leaf materials in one unit of each item key, by the two-tier match.
+RECIPE_SQL = """
 , lines AS (SELECT lower(p.name) AS product_key, lower(CASE WHEN v.name IS NOT NULL THEN p.name || ' ' || v.name ELSE p.name END) AS item_key, m.name AS material, c.name AS condiment, r.quantity AS qty
   FROM recipe_lines r JOIN products p ON p.id = r.product_id LEFT JOIN variants v ON v.id = r.variant_id LEFT JOIN materials m ON m.id = r.material_id LEFT JOIN condiments c ON c.id = r.condiment_id WHERE p.is_active),
-sold AS (SELECT "Date", lower(CASE WHEN line % 2 = 0 THEN upper(Item) || ' ' || raw_category ELSE Item END) AS key, sum(q) AS q FROM sales GROUP BY 1, 2),
 recipes AS (SELECT item_key AS key, material, condiment, qty FROM lines UNION ALL
   SELECT product_key, material, condiment, qty FROM lines WHERE product_key NOT IN (SELECT item_key FROM lines)),
 subs AS (SELECT c.name AS condiment, m.name AS sub, ci.quantity / CASE WHEN coalesce(c.batch_quantity, 0) = 0 THEN 1.0 ELSE c.batch_quantity END AS rate
   FROM condiment_lines ci JOIN condiments c ON c.id = ci.condiment_id LEFT JOIN materials m ON m.id = ci.material_id),
-needs AS (SELECT key, material AS raw, qty FROM recipes WHERE material IS NOT NULL UNION ALL
+parts AS (SELECT key, material AS raw, qty FROM recipes WHERE material IS NOT NULL UNION ALL
   SELECT key, sub, qty * rate FROM recipes JOIN subs USING (condiment) WHERE sub IS NOT NULL UNION ALL
   SELECT key, condiment, qty FROM recipes WHERE condiment IS NOT NULL AND condiment NOT IN (SELECT condiment FROM subs)),
-unit AS (SELECT key, raw, sum(qty) AS qty FROM needs GROUP BY 1, 2)
+unit AS (SELECT key, raw, sum(qty) AS qty FROM parts GROUP BY 1, 2)"""
+ORACLES["recipe_materials"] = with_("sales", *RECIPE_VIEWS, body=RECIPE_SQL + """,
+sold AS (SELECT "Date", lower(CASE WHEN line % 2 = 0 THEN upper(Item) || ' ' || raw_category ELSE Item END) AS key, sum(q) AS q FROM sales GROUP BY 1, 2)
 SELECT "Date", raw AS Raw_Material, round(sum(q * qty), 3) AS Quantity_Required FROM sold JOIN unit USING (key) GROUP BY 1, 2""")
 
 

@@ -102,6 +102,14 @@ def test_summary_falls_back_to_volume_accuracy(spark):
     assert got == {("global", None): 77.0, ("class", "A"): 80.0, ("item", "x"): 80.0}
 
 
+def test_abc_is_stored_by_item_id(spark):
+    df = spark.createDataFrame([("a", 60.0), ("b", 30.0), ("zz", 10.0)], "Item string, Quantity_Sold double")
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    stored = registry.persisted_abc(metrics.classify_abc(df), items)
+    assert rows(stored.drop("computed_at"), "item_id") == [(1, 60.0, 60.0, 0.6, "A"), (2, 30.0, 90.0, 0.9, "B")]
+    assert stored.where("computed_at is null").isEmpty()
+
+
 def test_record_and_cleanup(spark):
     t = run_tables(spark)
     new = t.runs.where("id = 1").withColumn("id", F.lit(4))

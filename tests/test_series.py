@@ -1,6 +1,5 @@
-"""Resampling, windows and features; pandas is the reference for the window arithmetic."""
+"""Resampling, windows and features; pandas checks the window arithmetic."""
 
-import datetime as dt
 
 import numpy as np
 import pandas as pd

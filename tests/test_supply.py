@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandloom.operators import bom, rules
-from demandloom.session import build_session  # noqa: F401
 from helpers import D, rows
 
 MENU = "Tipe string, Item string, Bahan string, Qty string, Unit string"
