@@ -32,11 +32,18 @@ def collapse_pattern(name: Column, fragment: str = "v60", target: str = "Filter"
     return F.when(F.lower(name).contains(fragment), F.lit(target)).otherwise(name)
 
 
+def title_case(text: Column) -> Column:
+    """Capital after every character that is not a letter, small letters otherwise."""
+    # initcap starts words at blanks only, so each other break gets a marked blank for the moment.
+    marked = F.regexp_replace(F.lower(text), r"([^\p{L} ])", "$1\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+
+
 def material_name(name: Column) -> Column:
-    """Acronyms in capitals, everything else in title case (a capital after each space)."""
+    """Acronyms in capitals, everything else in title case."""
     trimmed = F.trim(name)
     upper = F.upper(trimmed)
-    return F.when(upper.isin(*MATERIAL_ACRONYMS), upper).otherwise(F.initcap(trimmed))
+    return F.when(upper.isin(*MATERIAL_ACRONYMS), upper).otherwise(title_case(trimmed))
 
 
 def product_variant_name(product: Column, variant: Column, bare_variant: str | None = "default") -> Column:

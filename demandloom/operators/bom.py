@@ -129,7 +129,8 @@ def _needs_by_day(demand: DataFrame, needs: DataFrame, out: str, amount: str) ->
     """
     recipe, small = counted_broadcast(needs)
     if small:
-        demand = spread(demand, "Date")
+        # In date order the sums of one day are touched together.
+        demand = spread(demand, "Date").sortWithinPartitions("Date")
     return (
         demand.join(recipe, "key").groupBy("Date", out)
         .agg(F.sum(F.col("sold") * F.col("per_unit")).alias(amount))

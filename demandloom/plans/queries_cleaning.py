@@ -273,11 +273,13 @@ SELECT i.Item, coalesce(m.Tipe, 'Unknown') AS Category FROM (SELECT DISTINCT {in
 
 def material_names(spark, sf):
     raw = F.when(F.col("p_size") % 10 == 0, F.lit(" skm ")).when(
-        F.col("p_size") % 10 == 1, F.lit("Bsj")).otherwise(F.concat(F.lit("  "), F.upper("p_name")))
+        F.col("p_size") % 10 == 1, F.lit("Bsj")).when(
+        F.col("p_size") % 10 == 2, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(
+        F.concat(F.lit("  "), F.upper("p_name")))
     return table(spark, sf, "part").select("p_partkey", text.material_name(raw).alias("material"))
 
 
-ORACLES["material_names"] = f"""SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'SKM' WHEN 1 THEN 'BSJ' ELSE {initcap('p_name')} END AS material FROM part"""
+ORACLES["material_names"] = f"""SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'SKM' WHEN 1 THEN 'BSJ' WHEN 2 THEN replace({initcap('p_name')}, ' ', '-') ELSE {initcap('p_name')} END AS material FROM part"""
 
 
 def calendar_features(spark, sf):

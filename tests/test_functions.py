@@ -85,8 +85,9 @@ def test_modifier_suffix(spark):
 
 def test_names_and_rule_text(spark):
     assert mapped(spark, ["V60 X", "Latte", None], text.collapse_pattern) == ["Filter", "Latte", None]
-    assert mapped(spark, ["skm", " cleo galon ", "bsj", "BEANS arabika"], text.material_name) == [
-        "SKM", "Cleo Galon", "BSJ", "Beans Arabika"]
+    names = ["skm", " cleo galon ", "bsj", "BEANS arabika", "cleo's", "3in1 mix", "beans-arabika (dark)", "a--b  c", "crème brûlée"]
+    assert mapped(spark, names, text.material_name) == [
+        "SKM", "Cleo Galon", "BSJ", *[n.strip().title() for n in names[3:]]]
     assert mapped(spark, ["frozenset({'Es Teh'})", "plain"], text.single_item_of_set_text) == ["Es Teh", "plain"]
     assert mapped(spark, ["{'A', 'b', 'a'}", "", None, "[X]"], text.items_of_rule_text) == [["a", "b"], [], [], ["x"]]
     assert mapped(spark, ['["A", " b ", ""]', "not json", None], text.items_of_json_text) == [["a", "b"], [], []]
