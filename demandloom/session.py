@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, so their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_demandloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="demandloom-code-")) / "demandloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._demandloom_shipped = True
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage.
 
