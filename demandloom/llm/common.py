@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,53 @@ def _lengths(column: pa.Array) -> list[int]:
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.to_pylist()]
+
+
+def row_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict]:
+    """Runs of rows with equal first ``keys`` columns, as numpy arrays, from sorted batches.
+
+    A run may cross batches; callers bound its size.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        if held:
+            last = held[-1]
+            change[0] = any(last.column(i)[last.num_rows - 1] != batch.column(i)[0] for i in range(keys))
+        cuts = np.flatnonzero(change).tolist()
+        start = 0
+        for cut in cuts:
+            if cut > start:
+                held.append(batch.slice(start, cut - start))
+            yield _joined(held)
+            held, start = [], cut
+        held.append(batch.slice(start))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> dict:
+    whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return {name: whole.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(whole.schema.names)}
+
+
+def written(names: list[tuple[str, pa.DataType]], rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of tuples."""
+    schema = pa.schema(names)
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield _batch(schema, held)
+            held = []
+    if held:
+        yield _batch(schema, held)
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
