@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from demandloom.llm import line_dedup, packing, secrets, simhash
+from demandloom.llm import line_dedup, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
