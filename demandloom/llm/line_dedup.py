@@ -65,12 +65,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, k: every chunk that an earlier place holds byte for byte."""
     docs = docs.select("doc_id", "text")
     keys = _numbered(docs).select("doc_id", "k", F.xxhash64("body").alias("key"))
-    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written out first, so that the join deals both sides anew and a frequent key's rows can be split.
+    again = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     held = materialise(keys.join(again, "key").groupBy("doc_id").agg(F.collect_set("k").alias("ks")))
     bodies = docs.join(held, "doc_id").select("doc_id", "ks", chunks(F.col("text")).alias("chunks")).select(
         "doc_id", F.explode("ks").alias("k"), "chunks").select("doc_id", "k", F.col("chunks")[F.col("k")]["body"].alias("body"))
     places = materialise(bodies.select(F.xxhash64("body").alias("key"), "body", F.struct("doc_id", "k").alias("place")))
-    first = places.groupBy("key", "body").agg(F.min("place").alias("first"))
+    first = materialise(places.groupBy("key", "body").agg(F.min("place").alias("first")))
     again = places.join(first, ["key", "body"]).where(F.col("place") != F.col("first"))
     return again.select("place.doc_id", "place.k")
 
