@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import line_dedup, packing, quality, secrets, simhash
+from demandloom.llm import decontamination, line_dedup, packing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
