@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import decontamination, line_dedup, lm_scoring, neighbours, packing, quality, secrets, simhash, toxicity
+from demandloom.llm import decontamination, line_dedup, lm_scoring, neighbours, packing, quality, secrets, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_neighbours": neighbours.op6_neighbours,
         "op7_toxicity": toxicity.op7_toxicity,

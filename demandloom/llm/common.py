@@ -94,3 +94,27 @@ def written(names: list[tuple[str, pa.DataType]], rows: Iterator[tuple], size: i
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+
+def _filter_bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each unsigned 64-bit hash in a filter of ``bits`` bits, a power of two."""
+    return (hashes >> np.uint64(32)).astype(np.int64) % bits, (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) % bits
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the one column of longs, as bytes: at most bits / 64 rows come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_filter_bits(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["place", "word"])
+
+    rows = hashes.mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
+    filled = np.zeros(bits // 64, np.int64)
+    filled[rows.column("place").to_numpy()] = rows.column("word").to_numpy()
+    return filled.view(np.uint8)
+
+
+def passing(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    one, two = _filter_bits(hashes, 8 * len(filled))
+    return (filled[one >> 3] >> (one & 7) & 1 & (filled[two >> 3] >> (two & 7))).astype(bool)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import table, text_steps, written
+from demandloom.llm.common import hash_filter, passing, table, text_steps, written
 from demandloom.session import materialise, ship_package
 
 WINDOW = 8
@@ -148,10 +148,6 @@ COLUMNS = [("id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("templ
 SCHEMA = "id long, at long, size long, template string, slots array<string>"
 
 
-def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes >> np.uint64(40)).astype(np.int64) % FILTER_BITS, (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) % FILTER_BITS
-
-
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """id, at, size, template, slots, hash, words (of the whole item) of each window of the distinct items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,20 +174,6 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return found.dropDuplicates(["id", "at", "size", "template"])
 
 
-def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The filter's bytes and the window sizes in use. At most FILTER_BITS / 64 rows come to the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.concatenate(bits_of(batch.column(0).to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], names=["place", "bits"])
-
-    rows = windows.select("hash").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).collect()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    for place, bits in rows:
-        filled[place] = bits
-    return filled.view(np.uint8), sorted(r[0] for r in windows.select("size").distinct().collect())
-
-
 def document_windows(docs: DataFrame, filled: np.ndarray, sizes: list[int]) -> DataFrame:
     """The documents' windows that the filter lets through."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
@@ -205,8 +187,7 @@ def document_windows(docs: DataFrame, filled: np.ndarray, sizes: list[int]) -> D
                 found = Texts(texts, canon)
                 for size in sizes:
                     at, hashes = found.windows(size)
-                    one, two = bits_of(hashes)
-                    for a in at[(held[one >> 3] >> (one & 7) & 1 & (held[two >> 3] >> (two & 7))).astype(bool)].tolist():
+                    for a in at[passing(held, hashes)].tolist():
                         owner = int(found.owner[a])
                         yield ids[owner], a - int(found.first[owner]), size, *found.window(a, size)
 
@@ -220,7 +201,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, item_words of every document and the items that contaminate it."""
     ship_package(docs.sparkSession)
     theirs = materialise(benchmark_windows(items))
-    filled, sizes = window_filter(theirs)
+    filled = hash_filter(theirs.select("hash"), FILTER_BITS)
+    sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # SHORTEST to WINDOW
     ours = document_windows(docs, filled, sizes).alias("d")
     met = ours.join(theirs.alias("b"), ["template", "size"]).select(
         F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), "size", "words",

@@ -170,6 +170,20 @@ def classes(docs: DataFrame, width: int, radius: int) -> DataFrame:
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """One row of ``docs`` for each class, that of the smallest doc_id, with all its columns.
+
+    A class without any doc_id keeps one of its rows, and rows without doc_id go where the class has one.
+    """
+    found = classes(docs, width, radius)
+    nameless = F.lit(-(1 << 63)).cast("long")
+    kept = found.where("doc_id <=> component_id").select(
+        F.coalesce("doc_id", nameless).alias("_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).distinct()
+    # Rows that share a doc_id are dealt to one place by the join and leave one of them there.
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
+    return keyed.join(kept.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
