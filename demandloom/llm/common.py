@@ -22,10 +22,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 bytes (null: empty), a few megabytes at a time."""
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def text_steps(batches: Iterator[pa.RecordBatch], at: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as UTF-8 bytes (null: empty), a few megabytes at a time.
+
+    The texts are column ``at``, or the one named text.
+    """
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        column = batch.column(batch.schema.get_field_index("text") if at is None else at).cast(pa.binary())
         start, size = 0, 0
         for i, length in enumerate(_lengths(column)):
             size += length

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import hash_filter, passing, table, text_steps, written
+from demandloom.llm.common import free_name, hash_filter, passing, table, text_steps, written
 from demandloom.session import materialise, ship_package
 
 WINDOW = 8
@@ -223,8 +223,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    ids = contaminated(docs, items).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    name = free_name("bad_id", docs.columns)
+    ids = contaminated(docs, items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

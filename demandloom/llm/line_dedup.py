@@ -1,13 +1,15 @@
 """Line deduplication by content-defined chunks. SQL functions only.
 
-A document's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes decides where a chunk
-ends, so the same run of lines is cut alike wherever it stands. Chunks of two or more lines that occur
-again anywhere are compared byte for byte; of equal ones the first by (doc_id, position) stays.
+A document's lines are hashed; a rolling hash over the last two line hashes marks one line in ``MODULUS``. A
+chunk ends at a marked line whose predecessor isn't marked, so the same run of lines is cut alike wherever it
+stands and no chunk of a longer document has a single line. Chunks that occur again anywhere are compared byte
+for byte; of equal ones the first by (doc_id, position) stays.
 
 Chunk keys are counted first; only chunks with a repeated key bring their bytes to the comparison, and
 the lists of chunks, far smaller than the texts, are checkpointed between the steps.
 
-Null text stays null. Chunks without a visible character are never removed. Rows that share a doc_id
+Null text stays null; what repeats entirely becomes empty. Documents of one line, and chunks without a visible
+character, are never touched. Rows that share a doc_id
 count as one document, rows without doc_id are left as they are, columns other than doc_id and text are
 passed on by ``remove`` and neither read nor returned by ``report``. An empty table gives an empty one.
 """
@@ -17,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import let, table
+from demandloom.llm.common import free_name, let, table
 from demandloom.session import materialise
 
-WINDOW = 2
-# One rolling hash in MODULUS ends a chunk.
+# One rolling hash in MODULUS marks a line.
 MODULUS = 4
 FACTOR = 31
 
@@ -32,25 +33,26 @@ def line_hash(line: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """array<struct<n, body>>: the text's chunks in order, with their number of lines."""
-    def cut(x):
-        def ends(i):  # line i, counted from 1, ends a chunk
-            rolled = x["hashes"][i - 1] + F.when(i > 1, x["hashes"][F.greatest(i - 2, F.lit(0))]).otherwise(0) * FACTOR
-            return rolled % MODULUS == 0
-
-        starts = F.filter(F.sequence(F.lit(1), F.size(x["lines"])), lambda i: (i == 1) | ends(F.greatest(i - 1, F.lit(1))))
+    def marked(x):
+        rolled = lambda h, i: h + F.when(i > 0, x[F.greatest(i - 1, F.lit(0))]).otherwise(0) * FACTOR
+        return F.transform(x, lambda h, i: rolled(h, i) % MODULUS == 0)
 
-        def taken(s):
-            def one(start, k):
-                after = F.coalesce(F.get(s, k + 1), F.size(x["lines"]) + 1)
-                return F.struct((after - start).alias("n"), F.array_join(F.slice(x["lines"], start, after - start), "\n").alias("body"))
+    def starts(x):
+        """Line numbers, from 1, at which a chunk starts."""
+        after = lambda i: x["marks"][i - 2] & ~x["marks"][F.greatest(i - 3, F.lit(0))] & (i < F.size(x["lines"]))
+        return F.filter(F.sequence(F.lit(1), F.size(x["lines"])), lambda i: F.when(i > 2, after(i)).otherwise(i == 1))
 
-            return F.transform(s, one)
+    def cut(x):
+        def one(start, k):
+            count = F.coalesce(F.get(x["starts"], k + 1), F.size(x["lines"]) + 1) - start
+            return F.struct(count.alias("n"), F.array_join(F.slice(x["lines"], start, count), "\n").alias("body"))
 
-        return let(starts, taken)
+        return F.transform(x["starts"], one)
 
-    lines = F.split(text, "\n", -1)
-    return let(lines, lambda found: let(
-        F.struct(found.alias("lines"), F.transform(found, line_hash).alias("hashes")), cut))
+    return let(F.split(text, "\n", -1), lambda lines: let(
+        F.transform(lines, line_hash), lambda hashes: let(
+            F.struct(lines.alias("lines"), marked(hashes).alias("marks")), lambda x: let(
+                F.struct(x["lines"].alias("lines"), starts(x).alias("starts")), cut))))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -78,19 +80,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """The documents with the chunk positions to remove, and the names of the two added columns."""
-    marks, parts = (_free(name, docs.columns) for name in ("gone", "parts"))
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_set("k").alias(marks))
-    found = docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    marks, parts = (free_name(name, docs.columns) for name in ("gone", "parts"))
+    ids = free_name("gone_id", docs.columns)
+    gone = repeated_chunks(docs).groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("k").alias(marks))
+    found = docs.join(gone, F.col("doc_id") == F.col(ids), "left").drop(ids)
     return found.withColumn(parts, F.when(F.col(marks).isNotNull(), chunks(F.col("text")))), marks, parts
 
 
-def _free(name: str, taken: list[str]) -> str:
-    lower = {x.lower() for x in taken}
-    while name in lower:
-        name += "_"
-    return name
-
-
 def _left(marks: str, parts: str) -> Column:
     kept = F.filter(parts, lambda c, k: ~F.array_contains(marks, k))
     return F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
@@ -123,11 +119,13 @@ WITH split_lines AS (
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 hashed AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM split_lines),
-ended AS (
-  SELECT *, (h + {FACTOR} * coalesce(lag(h) OVER d, 0)) % {MODULUS} = 0 AS ends
+marked AS (
+  SELECT *, (h + {FACTOR} * coalesce(lag(h) OVER d, 0)) % {MODULUS} = 0 AS mark, count(*) OVER (PARTITION BY doc_id) AS lines
   FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (
+  SELECT *, mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i) AND i BETWEEN 2 AND lines - 2 AS ends FROM marked),
 numbered AS (
-  SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  SELECT *, coalesce(sum(CAST(coalesce(ends, false) AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
   FROM ended),
 parts AS (
   SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k),

@@ -145,6 +145,20 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     return classify(docs, train(docs, labels, "quality", settings), settings)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, least: float = KEEP, settings: Settings = Settings()) -> DataFrame:
+    """The rows whose text scores at least ``least``, with all their columns."""
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "quality", settings))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for rows, texts in text_steps(batches, at):
+            yield rows.filter(pa.array(scores(texts, words, sent.value, settings) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import row_groups, table, text_steps, written
+from demandloom.llm.common import free_name, row_groups, table, text_steps, written
 from demandloom.llm.components import components
 from demandloom.session import materialise, ship_package
 
@@ -173,15 +173,14 @@ def classes(docs: DataFrame, width: int, radius: int) -> DataFrame:
 def first_of_each(docs: DataFrame, width: int, radius: int) -> DataFrame:
     """One row of ``docs`` for each class, that of the smallest doc_id, with all its columns.
 
-    A class without any doc_id keeps one of its rows, and rows without doc_id go where the class has one.
+    Rows that share a doc_id leave one. Rows without doc_id stay as they are.
     """
-    found = classes(docs, width, radius)
-    nameless = F.lit(-(1 << 63)).cast("long")
-    kept = found.where("doc_id <=> component_id").select(
-        F.coalesce("doc_id", nameless).alias("_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).distinct()
-    # Rows that share a doc_id are dealt to one place by the join and leave one of them there.
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
-    return keyed.join(kept.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    name = free_name("kept_id", docs.columns)
+    kept = classes(docs.select("doc_id", "text"), width, radius).where("doc_id = component_id")
+    kept = kept.select(F.col("doc_id").alias(name)).distinct()
+    # The rows that share a doc_id are dealt to one place by the join already.
+    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
