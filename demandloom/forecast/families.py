@@ -27,6 +27,9 @@ FAMILIES = ("boosted", "forest", "arima", "additive")
 POOLED = ("boosted", "forest", "linear", "tweedie")
 
 
+_METADATA = "family string, frequency string, columns array<string>, items array<string>, first_date string, last_date string"
+
+
 @dataclass(frozen=True)
 class Bundle:
     """A trained family: the pooled model (if any) and tables of item parameters."""
@@ -38,6 +41,10 @@ class Bundle:
     mean: DataFrame
     item_models: DataFrame
     pooled: PipelineModel | None = field(default=None)
+    # Items with a model of their own, and the first and last date of the training rows.
+    items: tuple[str, ...] = ()
+    first_date: str | None = None
+    last_date: str | None = None
 
     def save(self, folder: str) -> None:
         if self.pooled is not None:
@@ -46,15 +53,15 @@ class Bundle:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
         spark = self.factors.sparkSession
         spark.createDataFrame(
-            [(self.family, self.frequency, list(self.columns))],
-            "family string, frequency string, columns array<string>",
+            [(self.family, self.frequency, list(self.columns), list(self.items), self.first_date, self.last_date)], _METADATA,
         ).write.mode("overwrite").json(f"{folder}/metadata")
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> Bundle:
-        meta = spark.read.schema("family string, frequency string, columns array<string>").json(f"{folder}/metadata").first()
+        meta = spark.read.schema(_METADATA).json(f"{folder}/metadata").first()
         return Bundle(
             family=meta["family"], frequency=meta["frequency"], columns=tuple(meta["columns"]),
+            items=tuple(meta["items"]), first_date=meta["first_date"], last_date=meta["last_date"],
             **{name: spark.read.parquet(f"{folder}/{name}") for name in ("factors", "mean", "item_models")},
             pooled=PipelineModel.load(f"{folder}/pooled") if meta["family"] in POOLED else None,
         )
@@ -85,11 +92,16 @@ def _train_ready(ready: DataFrame, family: str, frequency: str, settings: Pooled
         own = perseries.fit_additive(ready, MIN_ROWS[frequency])
     else:
         raise ValueError(f"family must be one of {FAMILIES}")
+    own = materialise(own)
+    extent = ready.agg(F.min("Date").cast("string"), F.max("Date").cast("string")).first()
     return Bundle(
         family=family, frequency=frequency, columns=columns,
+        # One name for each item of the catalogue that has a model, as the run's stored list needs them.
+        items=tuple(r["Item"] for r in own.select("Item").orderBy("Item").collect()),
+        first_date=extent[0], last_date=extent[1],
         factors=feats.weekday_factors(ready),
         mean=ready.agg(F.coalesce(F.avg("Quantity_Sold"), F.lit(0.0)).alias("mean")),
-        item_models=materialise(own), pooled=model,
+        item_models=own, pooled=model,
     )
 
 
@@ -140,22 +152,22 @@ def overfit_check(frame: DataFrame, family: str = "boosted", frequency: str = "w
     return metrics.overfit_check(scored.withColumn("split", F.when(is_test, "test").otherwise("train")))
 
 
+COMPARED = ("r2", "wmape", "mae", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct")
+
+
 def compare(frame: DataFrame, families: Sequence[str] = FAMILIES, frequency: str = "weekly",
-            settings: PooledSettings = PooledSettings()) -> DataFrame:
-    """Hold-out metrics, seconds and status of each family; one that fails is a row of zeros."""
+            settings: PooledSettings = PooledSettings()) -> tuple[DataFrame, DataFrame]:
+    """Hold-out metrics of each family, and the seconds that each took. A family that can't be fitted raises."""
     spark = frame.sparkSession
-    names = ("r2", "wmape", "mae", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct")
-    rows = []
+    rows, seconds = [], []
     for family in families:
         start = time.time()
-        try:
-            found = metrics.forecast_metrics(train_and_predict(frame, family, frequency, settings=settings)).first()
-            values, status = [float(found[n]) for n in names], "OK"
-        except Exception as error:  # noqa: BLE001 - the table reports any failure
-            values, status = [0.0] * len(names), f"FAIL: {type(error).__name__}"
-        rows.append((family, *values, round(time.time() - start, 1), status))
-    return spark.createDataFrame(
-        rows, "model string, " + ", ".join(f"{n} double" for n in names) + ", time_sec double, status string")
+        found = metrics.forecast_metrics(train_and_predict(frame, family, frequency, settings=settings)).first()
+        rows.append((family, *[None if found[n] is None else float(found[n]) for n in COMPARED]))
+        seconds.append((family, round(time.time() - start, 1)))
+    return (
+        spark.createDataFrame(rows, "model string, " + ", ".join(f"{n} double" for n in COMPARED)),
+        spark.createDataFrame(seconds, "model string, time_sec double"))
 
 
 def generate_forecast(series: DataFrame, bundle: Bundle, weeks: int = 12, calendar: TradingCalendar = TradingCalendar(),
@@ -164,7 +176,9 @@ def generate_forecast(series: DataFrame, bundle: Bundle, weeks: int = 12, calend
     if bundle.pooled is None:
         return predict(future_grid(series, weeks * (7 if bundle.frequency == "daily" else 1), bundle.frequency), bundle)
     codes = item_codes(series) if codes is None else codes
-    return predict(feats.future_features(series, weeks, bundle.frequency, calendar, codes), bundle)
+    # Differences shift over history and future together, so the first future period knows the last past one.
+    frame = feats.future_features(series, weeks, bundle.frequency, calendar, codes, finish=without_leaks)
+    return predict(frame, bundle, leak_free=True)
 
 
 # --- rolling-origin cross-validation ---------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -13,12 +13,14 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandloom.session import materialise
+
 
 @dataclass(frozen=True)
 class PooledSettings:
     """Sizes of the pooled learners.
 
-    ``rounds`` times ``step`` is how far the boosted sum can travel: fewer rounds want a larger step.
+    ``rounds`` are the most that boosting takes; it ends at the best validation error.
     """
 
     rounds: int = 300
@@ -30,6 +32,8 @@ class PooledSettings:
     forest_depth: int = 4
     forest_min_rows: int = 5
     validation_share: float = 0.15
+    # Rounds without a better validation error that end boosting.
+    patience: int = 15
     seed: int = 42
 
 
@@ -39,7 +43,7 @@ def _learner(kind: str, settings: PooledSettings):
         return GBTRegressor(
             **common, maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.boosted_depth,
             minInstancesPerNode=settings.boosted_min_rows, subsamplingRate=settings.sample,
-            featureSubsetStrategy=str(settings.sample), validationIndicatorCol="is_val", seed=settings.seed,
+            featureSubsetStrategy=str(settings.sample), seed=settings.seed,
         )
     if kind == "forest":
         return RandomForestRegressor(
@@ -63,8 +67,44 @@ def mark_validation(train: DataFrame, share: float) -> DataFrame:
 
 def fit_pooled(train: DataFrame, columns: Sequence[str], kind: str, settings: PooledSettings) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    frame = mark_validation(train, settings.validation_share) if kind == "boosted" else train
-    return Pipeline(stages=[assembler, _learner(kind, settings)]).fit(frame)
+    if kind != "boosted":
+        return Pipeline(stages=[assembler, _learner(kind, settings)]).fit(train)
+    marked = mark_validation(assembler.transform(train).select("Item", "Date", "features", "Quantity_Sold"), settings.validation_share)
+    marked = materialise(marked.select("features", "Quantity_Sold", "is_val"))
+    return PipelineModel([assembler, _boosted(marked.where(~F.col("is_val")), marked.where("is_val"), settings)])
+
+
+def best_round(errors: Sequence[float], patience: int) -> int | None:
+    """The round (from 1) after which ``patience`` rounds brought no lower error; None while still open."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1
+    return None
+
+
+def _boosted(core: DataFrame, held: DataFrame, settings: PooledSettings):
+    """The boosted trees up to the best round on the held rows.
+
+    A learner's first trees don't depend on how many follow, so a short fit that shows the best round is
+    enough; where it is still improving, the next one is twice as long.
+    """
+    rounds = min(settings.rounds, 4 * settings.patience)
+    empty = held.isEmpty()
+    while True:
+        model = _learner("boosted", replace(settings, rounds=rounds)).fit(core)
+        if empty:
+            best = settings.rounds
+        else:
+            errors = model.evaluateEachIteration(held, "squared")
+            best = best_round(errors, settings.patience)
+            if best is None and rounds >= settings.rounds:
+                best = min(range(len(errors)), key=errors.__getitem__) + 1
+        if best is not None:
+            return model if best == rounds else _learner("boosted", replace(settings, rounds=best)).fit(core)
+        rounds = min(settings.rounds, 2 * rounds)
 
 
 def score_pooled(model: PipelineModel, rows: DataFrame) -> DataFrame:

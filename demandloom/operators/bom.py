@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.functions.numeric import safe_float
+from demandloom.functions.numeric import safe_float, safe_ratio
 from demandloom.functions.text import material_name, name_key, product_variant_name
-from demandloom.session import counted_broadcast, materialise, spread
+from demandloom.session import materialise, spread
 
 MAX_DEPTH = 64
 
@@ -19,7 +19,8 @@ class BomCycleError(ValueError):
 
 
 def _edges(condiment_bom: DataFrame, line: str | None) -> DataFrame:
-    """parent, child, amount of child in one unit of parent; lines without a number are skipped.
+    """parent, child, amount of child in one unit of parent; lines without a number are skipped, as are
+    condiments whose batch quantity is zero (``batches_of_nothing`` reports them).
 
     The batch quantity is the one on the condiment's first line.
     """
@@ -32,10 +33,16 @@ def _edges(condiment_bom: DataFrame, line: str | None) -> DataFrame:
         .where(F.col("amount").isNotNull())
         .join(batch, "Condiment")
         .groupBy(F.col("Condiment").alias("parent"), F.col("Sub_Ingredient").alias("child"))
-        .agg(F.sum(F.col("amount") / F.col("batch")).alias("rate"))
+        .agg(F.sum(safe_ratio(F.col("amount"), F.col("batch"))).alias("rate"))
+        .where(F.col("rate").isNotNull())
     )
 
 
+def batches_of_nothing(condiment_bom: DataFrame) -> DataFrame:
+    """Condiments with a line whose batch quantity is zero or no number: such lines can't be scaled."""
+    return condiment_bom.where(F.coalesce(safe_float(F.col("Condiment_Qty")), F.lit(0.0)) == 0).select("Condiment").distinct()
+
+
 def unit_expansion(condiment_bom: DataFrame, line: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Condiment, Material, Unit_Qty: the leaf materials in one unit of each condiment.
 
@@ -120,20 +127,28 @@ def _daily_demand(sales: DataFrame, quantity: str) -> DataFrame:
     )
 
 
+# Parts into which an item's demand is laid out by date.
+DATE_PARTS = 32
+
+
 def _needs_by_day(demand: DataFrame, needs: DataFrame, out: str, amount: str) -> DataFrame:
     """Sum of sold times per-unit need by date; ``needs`` has key, ``out`` and per_unit.
 
-    The join multiplies rows. With a small recipe table the demand is laid out by date and the
-    recipe goes to it, so the multiplied rows are summed where they arise and never shuffled. With a
-    large one both sides shuffle on the item and partial sums follow.
+    The join multiplies rows: an item's days times its materials. So an item's demand is spread over
+    parts of the calendar, each of which meets a copy of its recipe, and an item with a third of all rows
+    still keeps many tasks busy. Names turn into numbers before the join and back after the sums; the
+    products are summed where they arise, before they move.
     """
-    recipe, small = counted_broadcast(needs)
-    if small:
-        # In date order the sums of one day are touched together.
-        demand = spread(demand, "Date").sortWithinPartitions("Date")
+    needs = materialise(needs)
+    materials = materialise(needs.select(out).distinct().withColumn("material", F.monotonically_increasing_id()))
+    part = F.pmod(F.datediff("Date", F.lit("1970-01-01").cast("date")), F.lit(DATE_PARTS))
+    recipe = needs.join(materials, out).select(
+        F.col("key").alias("item"), "material", "per_unit", F.explode(F.sequence(F.lit(0), F.lit(DATE_PARTS - 1))).alias("part"))
+    dated = spread(demand.withColumn("part", part), "key", "part")
     return (
-        demand.join(recipe, "key").groupBy("Date", out)
-        .agg(F.sum(F.col("sold") * F.col("per_unit")).alias(amount))
+        dated.join(recipe, (F.col("key") == F.col("item")) & (dated["part"] == recipe["part"]))
+        .groupBy("Date", "material").agg(F.sum(F.col("sold") * F.col("per_unit")).alias(amount))
+        .join(materials, "material").select("Date", out, amount)
     )
 
 
@@ -270,6 +285,7 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
     def per_key(key: str) -> DataFrame:
         return lines.groupBy(F.col(key).alias("key"), "material", "condiment").agg(F.sum("qty").alias("qty"))
 
+    # Read twice: for the names sold, and for the amounts.
     demand = materialise(
         forecast.groupBy(F.col("Date").cast("date").alias("Date"), F.lower("Item").alias("key"))
         .agg(F.sum(safe_float(F.col(quantity), 0.0)).alias("sold"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.numeric import safe_float
 from demandloom.operators.ranking import row_numbers
 
 
-def upsert_names(existing: DataFrame, incoming: DataFrame, name: str = "name", extra: Sequence[str] = ()) -> DataFrame:
-    """Existing rows (id, name, …) and the new names with the ids that follow, in name order."""
+def new_names(existing: DataFrame, incoming: DataFrame, name: str = "name", extra: Sequence[str] = ()) -> DataFrame:
+    """The new names with the ids that follow, in name order, to be appended to ``existing`` (id, name, …)."""
     fresh = (
         incoming.where(F.col(name).isNotNull())
         .groupBy(F.trim(name).alias(name))
@@ -21,16 +21,14 @@ def upsert_names(existing: DataFrame, incoming: DataFrame, name: str = "name", e
         .join(existing.select(name), name, "left_anti")
     )
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    added = row_numbers(fresh, [F.col(name)], "_n").select(
+    return row_numbers(fresh, [F.col(name)], "_n").select(
         (highest + F.col("_n")).cast("long").alias("id"), name, *extra
     )
-    return existing.select(F.col("id").cast("long").alias("id"), name, *extra).unionByName(added)
 
 
-def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Existing rows and the incoming ones whose key is new. ``incoming`` is unique on the key."""
-    fresh = incoming.join(existing.select(*key), list(key), "left_anti")
-    return existing.unionByName(fresh.select(*existing.columns))
+def absent_rows(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The incoming rows whose key is new, to be appended. ``incoming`` is unique on the key."""
+    return incoming.join(existing.select(*key), list(key), "left_anti").select(*existing.columns)
 
 
 def item_facts(sales: DataFrame, items: DataFrame, quantity: str = "Quantity_Sold") -> DataFrame:
@@ -44,6 +42,23 @@ def item_facts(sales: DataFrame, items: DataFrame, quantity: str = "Quantity_Sol
     )
 
 
+def category_facts(daily: DataFrame, categories: DataFrame) -> DataFrame:
+    """date, category_id and measures of the daily category table; unknown categories are dropped."""
+    ids = categories.select(F.col("id").alias("category_id"), F.col("name").alias("Category"))
+    return daily.join(ids, "Category").select(F.col("Date_Only").alias("date"), "category_id", *_measures())
+
+
+def total_facts(daily: DataFrame) -> DataFrame:
+    """date and measures of the daily total table."""
+    return daily.select(F.col("Date_Only").alias("date"), *_measures())
+
+
+def _measures() -> list[Column]:
+    return [
+        F.col("Quantity").alias("quantity"), F.col("Net sales").alias("net_sales"), F.col("Gross sales").alias("gross_sales"),
+        F.col("UniqueItemCount").alias("unique_items")]
+
+
 def resolve_bom(menu_bom: DataFrame, categories: DataFrame, items: DataFrame) -> DataFrame:
     """Recipe lines with a numeric quantity, and category and item ids where the names are known."""
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))

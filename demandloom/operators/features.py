@@ -7,7 +7,7 @@ the whole frame. A window never holds more than the periods of one item.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -293,14 +293,18 @@ def future_features(
     frequency: str = "weekly",
     calendar: TradingCalendar = TradingCalendar(),
     codes: DataFrame | None = None,
+    finish: Callable[[DataFrame], DataFrame] = lambda frame: frame,
 ) -> DataFrame:
-    """Features of the future periods; future quantities are 0 and enter later windows as such."""
+    """Features of the future periods; future quantities are 0 and enter later windows as such.
+
+    ``finish`` works on history and future together, before the future is cut out.
+    """
     periods = weeks * 7 if frequency == "daily" else weeks
     grid = future_grid(series, periods, frequency)
     last = series.agg(F.max("Date")).scalar()
     everything = series.unionByName(grid)
     codes = item_codes(series) if codes is None else codes
-    featured = create_features(everything, frequency, calendar, codes)
+    featured = finish(create_features(everything, frequency, calendar, codes))
     return featured.where(F.col("Date") > last)
 
 

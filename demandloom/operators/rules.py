@@ -49,12 +49,9 @@ def association_rules(
     min_confidence: float = 0.3,
     receipt: str = "Receipt number",
     item: str = "Item",
-    max_items: int | None = None,
 ) -> DataFrame:
     """Rules with one consequent and all measures, from the supports of the frequent itemsets."""
     itemsets, baskets = frequent_itemsets(lines, min_support, receipt, item)
-    if max_items is not None:
-        itemsets = itemsets.where(F.size("items") <= max_items)
     whole = itemsets.where(F.size("items") >= 2).withColumn("consequent", F.explode("items"))
     split = whole.select(
         F.array_remove("items", F.col("consequent")).alias("antecedents"),

@@ -347,7 +347,7 @@ FROM sales JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c
 def dim_items_upsert(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_name").alias("name"))
     existing = views.item_dim(spark, sf).where(~F.col("name").startswith("new ")).select("id", "name")
-    return dimensions.upsert_names(existing, names)
+    return existing.unionByName(dimensions.new_names(existing, names))
 
 
 _ITEM_DIM = """dimcats AS (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT p_type AS name FROM part WHERE p_type <> 'PROMO')),
@@ -365,7 +365,7 @@ def fact_insert_if_absent(spark, sf):
     facts = dimensions.item_facts(views.demand(spark, sf), views.item_dim(spark, sf))
     stored = facts.where(F.col("date") < F.lit("1998-01-01").cast("date")).withColumn(
         "quantity_sold", F.col("quantity_sold") * 2)
-    return dimensions.insert_if_absent(stored, facts, ["date", "item_id"])
+    return stored.unionByName(dimensions.absent_rows(stored, facts, ["date", "item_id"]))
 
 
 ORACLES["fact_insert_if_absent"] = f"""WITH cats AS ({VIEWS['cats']}), sales AS ({VIEWS['sales']}), {_ITEM_DIM}
@@ -373,6 +373,46 @@ SELECT "Date" AS date, d.id AS item_id, sum(q) * CASE WHEN "Date" < DATE '1998-0
 FROM sales JOIN dimitems d ON d.name = Item GROUP BY "Date", d.id"""
 
 
+def category_facts_absent(spark, sf):
+    """The rows to append at the category grain; days before 1998 are stored already."""
+    daily = aggregates.daily_category_sales(views.daily_items(spark, sf))
+    facts = dimensions.category_facts(daily, views.category_dim(spark, sf))
+    found = dimensions.absent_rows(facts.where(F.col("date") < F.lit("1998-01-01").cast("date")), facts, ["date", "category_id"])
+    return found.withColumns({c: numeric.rounded(c, 4) for c in ("net_sales", "gross_sales")})
+
+
+ORACLES["category_facts_absent"] = f"""WITH cats AS ({VIEWS['cats']}), sales AS ({VIEWS['sales']}), {_ITEM_DIM}
+SELECT "Date" AS date, d.id AS category_id, sum(q) AS quantity, round(sum(net), 4) AS net_sales, round(sum(gross), 4) AS gross_sales,
+ count(DISTINCT s.Item) AS unique_items
+FROM sales s JOIN cats c ON c.Item = s.Item JOIN dimcats d ON d.name = c.Category
+WHERE q > 0 AND "Date" >= DATE '1998-01-01' GROUP BY "Date", d.id"""
+
+
+def total_facts_absent(spark, sf):
+    """The rows to append at the total grain."""
+    facts = dimensions.total_facts(aggregates.daily_total_sales(views.daily_items(spark, sf)))
+    found = dimensions.absent_rows(facts.where(F.col("date") < F.lit("1998-01-01").cast("date")), facts, ["date"])
+    return found.withColumns({c: numeric.rounded(c, 4) for c in ("net_sales", "gross_sales")})
+
+
+ORACLES["total_facts_absent"] = with_("sales", body="""
+SELECT "Date" AS date, sum(q) AS quantity, round(sum(net), 4) AS net_sales, round(sum(gross), 4) AS gross_sales, count(DISTINCT Item) AS unique_items
+FROM sales WHERE q > 0 AND "Date" >= DATE '1998-01-01' GROUP BY "Date" """)
+
+
+def condiment_load(spark, sf):
+    """Condiment lines as the recipe load stores them; some amounts are no numbers."""
+    bom = adapters.condiment_bom(spark, sf)
+    worded = bom.withColumn("Qty_per_condiment_unit", F.when(F.length("Sub_Ingredient") % 5 == 0, F.lit("some")).otherwise(
+        F.col("Qty_per_condiment_unit").cast("string")))
+    return dimensions.resolve_condiments(worded)
+
+
+ORACLES["condiment_load"] = f"""WITH cond AS ({VIEWS['cond']})
+SELECT parent AS condiment, CAST(batch AS DOUBLE) AS condiment_qty, 'gr' AS condiment_unit, child AS sub_ingredient,
+ CAST(q AS DOUBLE) AS qty_per_unit, 'gr' AS sub_unit FROM cond WHERE length(child) % 5 <> 0"""
+
+
 def bom_resolve_ids(spark, sf):
     bom = adapters.menu_bom(spark, sf).withColumn(
         "Qty", F.when(F.col("Qty") > 0.5, F.lit("half a kilo")).otherwise(F.col("Qty").cast("string")))

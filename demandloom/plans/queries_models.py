@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.forecast import families
-from demandloom.forecast.pooled import PooledSettings
 from demandloom.forecast.recursive import recursive_forecast
 from demandloom.operators import features, metrics, series, serving
 from demandloom.plans import queries_features, views  # noqa: F401 - defines shared oracle views
@@ -15,8 +14,6 @@ from demandloom.sources.adapters import STAR_CALENDAR
 
 QUERIES, ORACLES = {}, {}
 
-# Fewer rounds of a larger step than the defaults travel as far (30 x 0.15 = 300 x 0.015).
-SETTINGS = PooledSettings(rounds=30, step=0.15, trees=60)
 # Three test windows at the end of the given history.
 FOLDS = (("2001-02-01", "2001-03-31"), ("2001-04-01", "2001-05-31"), ("2001-06-01", "2001-07-31"))
 
@@ -28,7 +25,7 @@ def _features(spark, sf):
 def _held_out(spark, sf, family):
     """Only the pooled families read features; the others need the series alone."""
     frame = _features(spark, sf) if family in families.POOLED else views.item_series(spark, sf)
-    return families.train_and_predict(frame, family, settings=SETTINGS)
+    return families.train_and_predict(frame, family)
 
 
 def forecast_boosted(spark, sf):
@@ -57,7 +54,7 @@ def forecast_12w(spark, sf):
     weekly = views.item_series(spark, sf)
     codes = materialise(series.item_codes(weekly))
     frame = materialise(features.create_features(weekly, "weekly", STAR_CALENDAR, codes))
-    bundle = families.train(frame, "boosted", settings=SETTINGS)
+    bundle = families.train(frame, "boosted")
     return families.generate_forecast(weekly, bundle, 12, STAR_CALENDAR, codes).select("Item", "Date", "Predicted")
 
 
@@ -66,7 +63,7 @@ def forecast_items(spark, sf):
     weekly = views.item_series(spark, sf)
     codes = materialise(series.item_codes(weekly))
     frame = materialise(features.create_features(weekly, "weekly", STAR_CALENDAR, codes))
-    bundle = families.train(frame, "forest", settings=SETTINGS)
+    bundle = families.train(frame, "forest")
     wanted = serving.history_for_items(weekly, ["hot ring", "cold ring", "old rod"])
     return families.generate_forecast(wanted, bundle, 4, STAR_CALENDAR, codes).select("Item", "Date", "Predicted")
 
@@ -92,7 +89,7 @@ FROM weekly JOIN (VALUES {_FOLDS}) f(fold, s, e) ON "Date" <= e GROUP BY 1, 2"""
 def _folded(spark, sf):
     frame = materialise(families.without_leaks(_features(spark, sf)))
     predictions = families.cross_validate(
-        frame, FOLDS, features.feature_columns("weekly"), "linear", settings=SETTINGS)
+        frame, FOLDS, features.feature_columns("weekly"))
     return families.cv_metrics(materialise(predictions))
 
 
@@ -105,11 +102,11 @@ def cv_stability(spark, sf):
 
 
 def overfit_check(spark, sf):
-    return families.overfit_check(_features(spark, sf), "boosted", settings=SETTINGS)
+    return families.overfit_check(_features(spark, sf), "boosted")
 
 
 def model_comparison(spark, sf):
-    return families.compare(_features(spark, sf), settings=SETTINGS)
+    return families.compare(_features(spark, sf))[0]
 
 
 QUERIES |= {

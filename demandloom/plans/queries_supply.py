@@ -25,24 +25,34 @@ def bom_menu_flatten(spark, sf):
     return bom.flatten_menu(adapters.recipe_tables(spark, sf))
 
 
-ORACLES["bom_menu_flatten"] = with_(*RECIPE_VIEWS, body="""
-SELECT coalesce(cat.name, 'Uncategorized') AS Tipe, CASE WHEN pv.id IS NOT NULL AND pv.name <> 'default' THEN p.name || ' ' || pv.name ELSE p.name END AS Item,
- coalesce(m.name, c.name) AS Bahan, r.quantity AS Qty, coalesce(mu.code, cu.code, '') AS Unit
-FROM recipe_lines r JOIN products p ON p.id = r.product_id LEFT JOIN variants pv ON pv.id = r.variant_id LEFT JOIN materials m ON m.id = r.material_id
- LEFT JOIN condiments c ON c.id = r.condiment_id LEFT JOIN links l ON l.product_id = p.id LEFT JOIN categories cat ON cat.id = l.category_id
- LEFT JOIN units mu ON mu.id = m.unit_id LEFT JOIN units cu ON cu.id = c.unit_id
-WHERE p.is_active AND (m.is_active OR m.id IS NULL) AND (pv.id IS NULL OR pv.is_active)""")
+# What a line can name: 'm' or 'c' and an id, with the name and the code of its unit.
+_PIECES = """pieces AS (
+ SELECT 'm' || id AS ref, name, list_extract(map_extract((SELECT map_from_entries(list((id, code))) FROM units), unit_id), 1) AS code FROM materials
+ UNION ALL
+ SELECT 'c' || id, name, list_extract(map_extract((SELECT map_from_entries(list((id, code))) FROM units), unit_id), 1) FROM condiments)"""
+ORACLES["bom_menu_flatten"] = with_(*RECIPE_VIEWS, body=f"""
+, {_PIECES},
+off AS (SELECT 'v' || id AS ref FROM variants WHERE is_active IS NOT TRUE UNION ALL SELECT 'm' || id FROM materials WHERE is_active IS NOT TRUE),
+live AS (
+ SELECT * FROM recipe_lines WHERE product_id IN (SELECT id FROM products WHERE is_active)
+ AND NOT EXISTS (FROM off WHERE off.ref = 'v' || variant_id) AND NOT EXISTS (FROM off WHERE off.ref = 'm' || material_id)),
+labels AS (SELECT product_id, categories.name AS label FROM links LEFT JOIN categories ON categories.id = category_id),
+titled AS (
+ SELECT live.*, (SELECT max(name) FROM products WHERE id = product_id) || coalesce(nullif(' ' || (SELECT max(name) FROM variants WHERE id = variant_id), ' default'), '') AS title FROM live)
+SELECT coalesce(label, 'Uncategorized') AS Tipe, title AS Item, coalesce(one.name, other.name) AS Bahan, quantity AS Qty, coalesce(one.code, other.code, '') AS Unit
+FROM titled LEFT JOIN labels USING (product_id) LEFT JOIN pieces one ON one.ref = 'm' || material_id LEFT JOIN pieces other ON other.ref = 'c' || condiment_id""")
 
 
 def bom_condiment_flatten(spark, sf):
     return bom.flatten_condiments(adapters.recipe_tables(spark, sf))
 
 
-ORACLES["bom_condiment_flatten"] = with_("materials", "condiments", "units", "condiment_lines", body="""
-SELECT c.name AS Condiment, c.batch_quantity AS Condiment_Qty, u.code AS Condiment_Unit, coalesce(m.name, cc.name) AS Sub_Ingredient,
- ci.quantity AS Qty_per_condiment_unit, mu.code AS Sub_Unit
-FROM condiment_lines ci JOIN condiments c ON c.id = ci.condiment_id LEFT JOIN units u ON u.id = c.unit_id LEFT JOIN materials m ON m.id = ci.material_id
- LEFT JOIN condiments cc ON cc.id = ci.child_condiment_id LEFT JOIN units mu ON mu.id = CASE WHEN ci.material_id IS NOT NULL THEN m.unit_id END""")
+ORACLES["bom_condiment_flatten"] = with_("materials", "condiments", "units", "condiment_lines", body=f"""
+, {_PIECES},
+inner_parts AS (SELECT condiment_id, quantity, coalesce('m' || material_id, 'c' || child_condiment_id) AS ref FROM condiment_lines)
+SELECT owner.name AS Condiment, batch_quantity AS Condiment_Qty, owner.code AS Condiment_Unit, part.name AS Sub_Ingredient, quantity AS Qty_per_condiment_unit,
+ CASE WHEN inner_parts.ref LIKE 'm%' THEN part.code END AS Sub_Unit
+FROM inner_parts JOIN condiments ON condiments.id = condiment_id JOIN pieces owner ON owner.ref = 'c' || condiment_id LEFT JOIN pieces part ON part.ref = inner_parts.ref""")
 
 
 def bom_explode_level1(spark, sf):
@@ -155,53 +165,62 @@ SELECT {_SET_TEXT.replace('{0}', 'a')} AS antecedents, {_SET_TEXT.replace('{0}',
  round((support - pa * pb) / nullif(greatest(support * (1 - pa), pa * (pb - support)), 0), 6) + 0.0 AS zhangs_metric, round(support / (pa + pb - support), 6) AS jaccard FROM q""")
 
 
-def _pair_rules(spark, sf):
-    return rules.association_rules(adapters.basket_lines(spark, sf), _PAIR_SUPPORT, 0.0, max_items=2)
+def _item_rules(spark, sf):
+    return rules.association_rules(adapters.basket_lines(spark, sf), _PAIR_SUPPORT, 0.0)
 
 
 def pair_rules_metrics(spark, sf):
-    found = _pair_rules(spark, sf)
-    one = found.withColumns({"antecedents": F.col("antecedents")[0], "consequents": F.col("consequents")[0]})
+    """All measures of the rules between items, antecedents of any length."""
+    found = _item_rules(spark, sf)
+    one = found.withColumns({"antecedents": F.array_join("antecedents", "|"), "consequents": F.col("consequents")[0]})
     return one.withColumns({c: rounded(c, 6) for c, kind in found.dtypes if kind == "double"})
 
 
 VIEWS["basket"] = "SELECT DISTINCT receipt, Item FROM sales"
-VIEWS["single"] = "SELECT Item, count(*) AS n FROM basket GROUP BY 1"
 VIEWS["nb"] = "SELECT count(DISTINCT receipt)::DOUBLE AS nb FROM basket"
-VIEWS["pairs"] = f"""
+VIEWS["common"] = f"""
+ SELECT receipt, Item FROM basket WHERE Item IN (
+  SELECT Item FROM basket GROUP BY 1 HAVING count(*) >= (SELECT ceil({_PAIR_SUPPORT}::DOUBLE * nb) FROM nb))"""
+# Sets grow by one later item of the same basket; only sets that stay frequent count.
+VIEWS["grown"] = """
+ SELECT receipt, [Item] AS s, Item AS top FROM common UNION ALL
+ SELECT g.receipt, list_append(g.s, c.Item), c.Item FROM grown g JOIN common c ON c.receipt = g.receipt AND c.Item > g.top"""
+VIEWS["frequent"] = f"""
+ SELECT s, count(*) AS n FROM grown GROUP BY 1 HAVING count(*) >= (SELECT ceil({_PAIR_SUPPORT}::DOUBLE * nb) FROM nb)"""
+VIEWS["pairs"] = """
  SELECT a, b, n_ab / nb AS support, n_ab / n_a AS confidence, n_ab * nb / (n_a * n_b) AS lift, n_a / nb AS pa, n_b / nb AS pb, n_ab / nb AS pab FROM (
-  SELECT x.Item AS a, y.Item AS b, count(*) AS n_ab FROM basket x JOIN basket y ON x.receipt = y.receipt AND x.Item <> y.Item GROUP BY 1, 2)
- JOIN (SELECT Item AS a, n AS n_a FROM single) USING (a) JOIN (SELECT Item AS b, n AS n_b FROM single) USING (b), nb WHERE n_ab >= ceil({_PAIR_SUPPORT}::DOUBLE * nb)"""
-_PAIRS = ("sales", "basket", "single", "nb", "pairs")
-ORACLES["pair_rules_metrics"] = with_(*_PAIRS, body="""
-SELECT a AS antecedents, b AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, 1.0::DOUBLE AS representativity,
+  SELECT list_filter(w.s, lambda x: x <> w.one) AS a, w.one AS b, w.n AS n_ab FROM (SELECT s, n, unnest(s) AS one FROM frequent WHERE len(s) > 1) w)
+ JOIN (SELECT s AS a, n AS n_a FROM frequent) USING (a) JOIN (SELECT s[1] AS b, n AS n_b FROM frequent WHERE len(s) = 1) USING (b), nb"""
+_PAIRS = ("sales", "basket", "nb", "common", "grown", "frequent", "pairs")
+ORACLES["pair_rules_metrics"] = with_(*_PAIRS, recursive=True, body="""
+SELECT array_to_string(a, '|') AS antecedents, b AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, 1.0::DOUBLE AS representativity,
  round(pab - pa * pb, 6) + 0.0 AS leverage, round((1 - pb) / nullif(1 - confidence, 0), 6) AS conviction,
  round((pab - pa * pb) / nullif(greatest(pab * (1 - pa), pa * (pb - pab)), 0), 6) + 0.0 AS zhangs_metric, round(pab / (pa + pb - pab), 6) AS jaccard FROM pairs""")
 
 
 def association_rules_top(spark, sf):
-    found = rules.top_rules(rules.as_rule_text(_pair_rules(spark, sf)), 0.05, 0.5)
+    found = rules.top_rules(rules.as_rule_text(_item_rules(spark, sf)), 0.05, 0.5)
     return found.select("antecedents", "consequents", *[rounded(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-_TEXT = "'frozenset({''' || {0} || '''})'"
-_TOP = f"""SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', 'b')} AS consequents, support, confidence, lift, b FROM pairs
-WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, a, b LIMIT 100"""
-ORACLES["association_rules_top"] = with_(*_PAIRS, body=f"""
+_TEXT = "'frozenset({' || array_to_string(list_transform({0}, lambda x: chr(39) || x || chr(39)), ', ') || '})'"
+_TOP = f"""SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', '[b]')} AS consequents, support, confidence, lift, b FROM pairs
+WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, 1, 2 LIMIT 100"""
+ORACLES["association_rules_top"] = with_(*_PAIRS, recursive=True, body=f"""
 SELECT antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM ({_TOP})""")
 
 
 def rule_text_parse(spark, sf):
-    """Set text of every pair rule, read back by both parsers."""
-    written = rules.as_rule_text(_pair_rules(spark, sf))
+    """Set text of every rule, read back by both parsers: the last item of a set, and all items."""
+    written = rules.as_rule_text(_item_rules(spark, sf))
     return written.select(
         "antecedents", "consequents",
         text.single_item_of_set_text(F.col("antecedents")).alias("antecedent"),
         F.array_join(text.items_of_rule_text(F.regexp_replace("consequents", "^frozenset", "")), "|").alias("consequent_items"))
 
 
-ORACLES["rule_text_parse"] = with_(*_PAIRS, body=f"""
-SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', 'b')} AS consequents, a AS antecedent, lower(b) AS consequent_items FROM pairs""")
+ORACLES["rule_text_parse"] = with_(*_PAIRS, recursive=True, body=f"""
+SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', '[b]')} AS consequents, a[-1] AS antecedent, lower(b) AS consequent_items FROM pairs""")
 
 
 def rules_for_model(spark, sf):
@@ -212,16 +231,16 @@ def rules_for_model(spark, sf):
     # Item lists come as JSON text; one short list per stored row, so no list grows with the catalogue.
     stored = names.select(F.to_json(F.array("item_name", F.upper("item_name"))).alias("items_with_models"))
     items = stored.select(F.explode(text.items_of_json_text(F.col("items_with_models"))).alias("item"))
-    written = rules.as_rule_text(_pair_rules(spark, sf))
+    written = rules.as_rule_text(_item_rules(spark, sf))
     plain = written.withColumns({c: text.single_item_of_set_text(F.col(c)) for c in ("antecedents", "consequents")})
     found = rules.rules_for_items(plain, items, 0.05, 0.5)
     return found.select("antecedents", "consequents", *[rounded(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-ORACLES["rules_for_model"] = with_(*_PAIRS, "runs", "top_rows", body="""
+ORACLES["rules_for_model"] = with_(*_PAIRS, "runs", "top_rows", recursive=True, body="""
 , wanted AS (SELECT lower(item_name) AS item FROM top_rows WHERE accuracy_pct >= 95 AND model_run_id = (
    SELECT id FROM runs WHERE is_active AND model_type = 'forest' ORDER BY trained_at DESC, id DESC LIMIT 1)),
-top AS (SELECT a, b, support, confidence, lift FROM pairs WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, a, b LIMIT 100)
+top AS (SELECT a[-1] AS a, b, support, confidence, lift FROM pairs WHERE confidence >= 0.05 AND lift >= 0.5 ORDER BY lift DESC, 1, b LIMIT 100)
 SELECT a AS antecedents, b AS consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift
 FROM top WHERE lower(b) IN (SELECT item FROM wanted)""")
 

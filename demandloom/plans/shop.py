@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from demandloom import schemas
 from demandloom.forecast import families
 from demandloom.forecast.pooled import PooledSettings
 from demandloom.functions.dates import TradingCalendar
 from demandloom.operators import aggregates, bom, cleaning, features, metrics, registry, series
 from demandloom.operators.registry import RunTables
 from demandloom.session import materialise
-from demandloom.sources.files import write_table
+from demandloom.sources.files import read_version, write_table, write_version
 
 
 def clean_receipts(spark: SparkSession, paths: Sequence[str], menu: DataFrame, remove_discontinued: bool = True) -> DataFrame:
@@ -98,6 +101,7 @@ def retrain(
         "volume_accuracy", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct",
         F.to_json(F.array(*map(F.lit, bundle.columns))).alias("features"),
         F.to_json(F.struct(F.lit(max_items).cast("int").alias("max_items"))).alias("params"),
+        F.lit(json.dumps(bundle.items)).alias("items_with_models"),
         F.lit(True).alias("is_active"),
     )
     classes = analysis["class_metrics"].select(
@@ -112,8 +116,33 @@ def retrain(
 
 
 def write_run_tables(tables: RunTables, folder: str) -> dict[str, str]:
-    """The registry and its children; forecasts are laid out by run, so one run reads one folder."""
-    written = {"runs": write_table(tables.runs, "runs", folder)}
+    """Store the runs that ``folder`` doesn't have yet, and the registry's new state.
+
+    The tables may be read from the same folder. Children are laid out by run and only new runs are
+    written, so a stored forecast is never rewritten and a repeated save replaces its own rows. The
+    registry is a new version that readers see once it is complete, after its children.
+    """
+    spark = tables.runs.sparkSession
+    stored = read_version(spark, f"{folder}/runs")
+    ids = tables.runs.select("id")
+    fresh = [r["id"] for r in (ids if stored is None else ids.join(stored.select("id"), "id", "left_anti")).collect()]
+    written = {}
     for name, child in tables.children().items():
-        written[name] = write_table(child, name, folder, partition_by=["model_run_id"] if name == "forecasts" else ())
-    return written
+        written[name] = f"{folder}/{name}"
+        child.where(F.col("model_run_id").isin(fresh)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("model_run_id").parquet(written[name])
+    return written | {"runs": write_version(tables.runs, f"{folder}/runs")}
+
+
+def read_run_tables(spark: SparkSession, folder: str) -> RunTables:
+    """The stored registry; empty tables where nothing is stored."""
+    def child(name: str, schema: StructType) -> DataFrame:
+        if runs is None:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
+
+    runs = read_version(spark, f"{folder}/runs")
+    return RunTables(
+        runs=spark.createDataFrame([], schemas.MODEL_RUNS) if runs is None else runs,
+        class_metrics=child("class_metrics", schemas.RUN_CLASS_METRICS), top_items=child("top_items", schemas.RUN_TOP_ITEMS),
+        forecasts=child("forecasts", schemas.FORECASTS))

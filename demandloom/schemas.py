@@ -62,15 +62,21 @@ RECEIPTS = StructType([
     for name in RECEIPT_COLUMNS
 ])
 
-DAILY_ITEM_SALES = StructType([
-    StructField("Date_Only", DateType()), StructField("Item", _S), StructField("Category", _S),
-    StructField("Quantity", _D), StructField("Net sales", _D), StructField("Gross sales", _D),
+# Columns that every daily table of the stage folder ends with.
+_DATE_PARTS = [
     StructField("Year", _I), StructField("Month", _I), StructField("Day", _I),
     StructField("DayOfWeek", _I), StructField("DayOfWeekName", _S), StructField("WeekOfYear", _I),
     StructField("Quarter", _I), StructField("DayOfYear", _I), StructField("IsWeekend", _I),
     StructField("MonthProgress", _D),
-])
-ITEM_SERIES = _table(Item=_S, Date=DateType(), Quantity_Sold=_D)
+]
+_SUMS = [StructField("Quantity", _D), StructField("Net sales", _D), StructField("Gross sales", _D)]
+DAILY_ITEM_SALES = StructType([
+    StructField("Date_Only", DateType()), StructField("Item", _S), StructField("Category", _S), *_SUMS, *_DATE_PARTS])
+DAILY_CATEGORY_SALES = StructType([
+    StructField("Date_Only", DateType()), StructField("Category", _S), *_SUMS, StructField("UniqueItemCount", _L), *_DATE_PARTS])
+DAILY_TOTAL_SALES = StructType([
+    StructField("Date_Only", DateType()), *_SUMS, StructField("UniqueItemCount", _L), StructField("UniqueCategoryCount", _L),
+    *_DATE_PARTS])
 # Quantities stay text in the BOM files: a line whose quantity is not a number is skipped later.
 MENU_BOM = _table(Tipe=_S, Item=_S, Bahan=_S, Qty=_S, Unit=_S)
 CONDIMENT_BOM = _table(
@@ -78,11 +84,6 @@ CONDIMENT_BOM = _table(
     Qty_per_condiment_unit=_S, Sub_Unit=_S,
 )
 FORECAST_FILE = _table(Date=DateType(), Item=_S, Quantity_Sold=_D)
-MATERIAL_REQUIREMENTS = _table(date=DateType(), raw_material=_S, quantity_required=_D)
-DAILY_CATEGORY_SALES = _table(
-    date=DateType(), category=_S, quantity=_D, net_sales=_D, gross_sales=_D, unique_items=_L)
-DAILY_TOTAL_SALES = _table(
-    date=DateType(), quantity=_D, net_sales=_D, gross_sales=_D, unique_items=_L)
 MODEL_RUNS = _table(
     id=_I, model_type=_S, trained_at=TimestampType(), n_item_models=_I, n_records=_L,
     date_range_start=DateType(), date_range_end=DateType(), r2=_D, wmape=_D, mae=_D,
@@ -95,6 +96,3 @@ RUN_CLASS_METRICS = _table(
 RUN_TOP_ITEMS = _table(
     model_run_id=_I, item_name=_S, quantity_sold=_D, predicted=_D, accuracy_pct=_D)
 FORECASTS = _table(model_run_id=_I, item_id=_L, date=DateType(), quantity_predicted=_D)
-ASSOCIATION_RULES_FILE = _table(
-    antecedents=_S, consequents=_S, support=_D, confidence=_D, lift=_D, representativity=_D,
-    leverage=_D, conviction=_D, zhangs_metric=_D, jaccard=_D)

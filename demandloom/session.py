@@ -7,7 +7,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job of this package wants. AQE coalesces small shuffle partitions, splits skewed
 # join partitions and turns a join into a broadcast only after it has measured the side's size.
@@ -75,18 +74,11 @@ def materialise(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition over all shuffle partitions, for a step whose work outgrows its input.
 
-    AQE sizes partitions by the bytes that enter a stage. Where a join multiplies rows, or Python or
-    dozens of windows run per row, a fixed number of partitions keeps every core busy.
+    AQE merges small partitions by the bytes that enter a stage. Where a join multiplies rows, or Python
+    or dozens of windows run per row, the session's number of partitions, or the cores if they are more,
+    keeps every core busy.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    session = df.sparkSession
+    count = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(count, *columns)
 
-
-# Rows of a few short columns that fit every executor's memory many times over.
-BROADCAST_ROWS = 500_000
-
-
-def counted_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` materialised, marked for broadcast only if it has been counted to be small."""
-    ready = materialise(df)
-    small = ready.count() <= most
-    return (F.broadcast(ready) if small else ready), small

@@ -67,8 +67,8 @@ def sale_lines(spark: SparkSession, folder: str, party: bool = False) -> DataFra
 def demand_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Date, Item and the three measures, for callers that only sum them.
 
-    A catalogue counted to be small goes to the lines. A larger one meets them after they are summed
-    by date and part, so a part with a third of all lines reaches the join as one row per day.
+    The catalogue meets the lines after they are summed by date and part, so a part with a third of all
+    lines reaches the join as one row per day.
     """
     lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
@@ -79,12 +79,8 @@ def demand_lines(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("Net sales"),
         F.col("l_extendedprice").alias("Gross sales"),
     ).where(F.col("Quantity") > 0)
-    if part.count() <= session.BROADCAST_ROWS:
-        part = F.broadcast(part)
-    else:
-        dated = dated.groupBy("Date", "l_partkey").agg(
-            *[F.sum(c).alias(c) for c in ("Quantity", "Net sales", "Gross sales")])
-    return dated.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    summed = dated.groupBy("Date", "l_partkey").agg(*[F.sum(c).alias(c) for c in ("Quantity", "Net sales", "Gross sales")])
+    return summed.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
 def basket_lines(spark: SparkSession, folder: str) -> DataFrame:

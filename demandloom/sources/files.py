@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from demandloom import schemas
+from demandloom.session import materialise
 
 # The stage tables and their file schemas.
 STAGE_TABLES: dict[str, StructType] = {
@@ -28,11 +29,20 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",") -> DataFrame:
-    """Headered CSV. Without a schema every column stays text; nothing is inferred."""
-    reader = spark.read.option("header", True).option("sep", sep)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return strip_headers(reader.csv(path))
+    """Headered CSV, columns by name. Without a schema every column stays text; nothing is inferred.
+
+    With one, the named columns come in its order and types; a cell that isn't of the type is NULL.
+    """
+    found = strip_headers(spark.read.option("header", True).option("sep", sep).csv(path))
+    return found if schema is None else typed(found, schema)
+
+
+def typed(df: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns, by name; a table that lacks one is refused."""
+    absent = [field.name for field in schema if field.name not in df.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are not in {df.columns}")
+    return df.select(*[F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name) for field in schema])
 
 
 def read_table(spark: SparkSession, name: str, folder: str, fmt: str = "parquet") -> DataFrame:
@@ -40,7 +50,7 @@ def read_table(spark: SparkSession, name: str, folder: str, fmt: str = "parquet"
     path = f"{folder}/{name}"
     if fmt == "csv":
         return read_csv(spark, path, STAGE_TABLES[name])
-    return spark.read.schema(STAGE_TABLES[name]).parquet(path)
+    return typed(spark.read.parquet(path), STAGE_TABLES[name])
 
 
 def read_jdbc(
@@ -80,8 +90,12 @@ def write_table(df: DataFrame, name: str, folder: str, fmt: str = "parquet", par
 
 
 def reload_all(tables: Mapping[str, DataFrame], folder: str, order: Sequence[str]) -> dict[str, str]:
-    """Bulk reload: every table replaced, parents before children."""
-    return {name: write_table(tables[name], name, folder) for name in order}
+    """Bulk reload: every table replaced, parents before children.
+
+    All tables are computed before the first is replaced, so they may come from the same folder.
+    """
+    ready = {name: materialise(tables[name]) for name in order}
+    return {name: write_table(df, name, folder) for name, df in ready.items()}
 
 
 def pick_column(df: DataFrame, *candidates: str) -> str:
@@ -100,3 +114,28 @@ def read_item_demand(df: DataFrame) -> DataFrame:
         "Item",
         F.col(pick_column(df, "Quantity", "Quantity_Sold")).cast("double").alias("Quantity_Sold"),
     )
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions under a folder, in any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    children = [status.getPath() for status in files.listStatus(place)]
+    done = [c for c in children if c.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(c, "_SUCCESS"))]
+    return sorted(int(c.getName()[2:]) for c in done)
+
+
+def write_version(df: DataFrame, path: str) -> str:
+    """A small table as the next version; readers see it once it is complete. It may be read from ``path``."""
+    spark = df.sparkSession
+    target = f"{path}/v={max(_versions(spark, path), default=0) + 1}"
+    df.write.mode("overwrite").parquet(target)
+    return target
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version, if there is one."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None

@@ -125,13 +125,12 @@ def test_record_and_cleanup(spark):
 def test_upsert_and_insert(spark):
     have = spark.createDataFrame([(7, "b")], "id long, name string")
     incoming = spark.createDataFrame([("c",), (" a ",), ("b",), ("a",), (None,)], "name string")
-    assert rows(dimensions.upsert_names(have, incoming), "id") == [(7, "b"), (8, "a"), (9, "c")]
+    assert rows(dimensions.new_names(have, incoming), "id") == [(8, "a"), (9, "c")]
     empty = have.limit(0)
-    assert rows(dimensions.upsert_names(empty, incoming), "id") == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows(dimensions.new_names(empty, incoming), "id") == [(1, "a"), (2, "b"), (3, "c")]
     stored = spark.createDataFrame([(D(2025, 1, 1), 1, 5.0)], "date date, item_id long, quantity_sold double")
     more = spark.createDataFrame([(D(2025, 1, 1), 1, 9.0), (D(2025, 1, 2), 1, 2.0)], "date date, item_id long, quantity_sold double")
-    assert rows(dimensions.insert_if_absent(stored, more, ["date", "item_id"]), "date") == [
-        (D(2025, 1, 1), 1, 5.0), (D(2025, 1, 2), 1, 2.0)]
+    assert rows(dimensions.absent_rows(stored, more, ["date", "item_id"])) == [(D(2025, 1, 2), 1, 2.0)]
 
 
 def test_bom_ids(spark):

@@ -1,6 +1,11 @@
 """Readers and writers, and the plans behind the joins."""
 
+import datetime as dt
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +37,65 @@ def test_headers_are_stripped_and_alternatives_found(spark, tmp_path):
         files.pick_column(raw, "nothing")
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "forecasts").mkdir()
+    (tmp_path / "forecasts" / "a.csv").write_text("Item, Date ,Quantity_Sold\na,2025-01-01,2.5\nb,never,x\n")
+    assert rows(files.read_table(spark, "forecasts", str(tmp_path), "csv"), "Item") == [(D(2025, 1, 1), "a", 2.5), (None, "b", None)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_named_column_that_is_absent_is_an_error(spark, tmp_path, fmt):
+    spark.createDataFrame([("a", 1.0)], "Item string, Quantity_Sold double").write.option("header", True).format(fmt).save(f"{tmp_path}/forecasts")
+    with pytest.raises(ValueError, match="Date"):
+        files.read_table(spark, "forecasts", str(tmp_path), fmt)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_every_stage_table_round_trips(spark, sf, tmp_path, fmt):
+    lines = adapters.sale_lines(spark, sf).limit(200)
+    daily = aggregates.daily_item_sales(lines, adapters.item_categories(spark, sf))
+    receipts = spark.createDataFrame([(dt.datetime(2025, 1, 1, 9), "r", *["x"] * 6, *[1.5] * 7, *["y"] * 8)], schemas.RECEIPTS)
+    tables = {
+        "merged_sales": receipts, "cleaned_sales": receipts, "daily_item_sales": daily,
+        "daily_category_sales": aggregates.daily_category_sales(daily), "daily_total_sales": aggregates.daily_total_sales(daily),
+        "forecasts": spark.createDataFrame([(D(2025, 1, 1), "a", 2.0)], schemas.FORECAST_FILE),
+        "menu_bom": spark.createDataFrame([("T", "i", "b", "1", "gr")], schemas.MENU_BOM),
+        "condiment_bom": spark.createDataFrame([("c", "1", "gr", "s", "2", "ml")], schemas.CONDIMENT_BOM)}
+    assert tables.keys() == files.STAGE_TABLES.keys()
+    for name, df in tables.items():
+        assert set(df.columns) == set(files.STAGE_TABLES[name].names)
+        held = df.select(*files.STAGE_TABLES[name].names).collect()
+        files.write_table(spark.createDataFrame(held, files.STAGE_TABLES[name]), name, str(tmp_path), fmt)
+        found = files.read_table(spark, name, str(tmp_path), fmt)
+        assert found.columns == files.STAGE_TABLES[name].names
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, held), key=repr)
+
+
+def test_reload_may_read_the_folder_it_replaces(spark, tmp_path):
+    files.reload_all({"items": spark.createDataFrame([(1,)], "id int")}, str(tmp_path), ["items"])
+    more = spark.read.parquet(f"{tmp_path}/items").unionByName(spark.createDataFrame([(2,)], "id int"))
+    files.reload_all({"items": more}, str(tmp_path), ["items"])
+    assert rows(spark.read.parquet(f"{tmp_path}/items"), "id") == [(1,), (2,)]
+
+
+PROGRAM = """
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from demandloom.session import build_session
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
+for name in ("pacf", "forecast_arima"):
+    print("ROWS", name, entry.queries()[name](spark, {sf!r}).count())
+"""
+
+
+def test_workers_find_the_package_from_another_folder(sf, tmp_path):
+    root = str(Path(files.__file__).resolve().parents[2])
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", PROGRAM.format(root=root, sf=sf)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.count("ROWS") == 2, done.stderr[-2000:]
+
+
 def test_reload_replaces(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "id int")
     two = spark.createDataFrame([(2,)], "id int")
@@ -61,7 +125,6 @@ def plan(df):
 def test_scan_reads_only_what_is_used(spark, sf):
     demand = views.demand(spark, sf).where(F.col("Date") >= F.lit(D(1998, 1, 1)))
     text = plan(demand.groupBy("Item").agg(F.sum("Quantity_Sold")))
-    assert "BroadcastHashJoin [l_partkey" in text
     schemas_read = [line.split("ReadSchema: ")[1] for line in text.splitlines() if "ReadSchema" in line]
     assert sorted(schemas_read) == sorted([
         "struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>",
@@ -69,13 +132,8 @@ def test_scan_reads_only_what_is_used(spark, sf):
     assert "o_orderdate" in text.split("PushedFilters")[2] or "GreaterThanOrEqual" in text
 
 
-def test_large_catalogue_meets_summed_lines(spark, sf, monkeypatch):
-    from demandloom import session
-    small = rows(views.daily_quantity(spark, sf), "Date", "Item")
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
-    large = views.daily_quantity(spark, sf)
-    assert rows(large, "Date", "Item") == small
-    text = plan(large)
+def test_catalogue_meets_summed_lines(spark, sf):
+    text = plan(views.daily_quantity(spark, sf))
     # Reading the plan upwards from the scans: the sum by part comes before the catalogue joins.
     assert text.index("Join [l_partkey") < text.index("keys=[Date#", text.index("Join [l_partkey"))
 

@@ -1,12 +1,14 @@
 """Forecaster families on small series."""
 
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from demandloom.forecast import families, perseries
+from demandloom.forecast import pooled
 from demandloom.forecast.pooled import PooledSettings
 from demandloom.forecast.recursive import recursive_forecast
 from demandloom.functions.dates import TradingCalendar
@@ -65,6 +67,9 @@ def test_save_and_load(spark, frame, weekly, tmp_path):
         one = rows(families.generate_forecast(weekly, bundle, 2, CALENDAR), "Item", "Date")
         two = rows(families.generate_forecast(weekly, again, 2, CALENDAR), "Item", "Date")
         assert one == two and len(one) == 8
+        assert again.items == bundle.items and (again.first_date, again.last_date) == ("2022-01-03", "2024-11-11")
+        if family == "forest":
+            assert again.items == ("a", "b", "c")
 
 
 def test_arima_falls_back_to_the_mean(frame, weekly):
@@ -125,10 +130,35 @@ def test_cross_validation(frame):
     assert found.join(peaks, "Item").where(F.col("Predicted") > 2 * F.col("m")).isEmpty()
 
 
-def test_comparison_reports_failures(frame):
-    got = {r["model"]: r for r in families.compare(frame, ["linear", "nonsense"], settings=SMALL).collect()}
-    assert got["linear"]["status"] == "OK" and got["nonsense"]["status"].startswith("FAIL")
-    assert got["nonsense"]["r2"] == 0.0
+def test_comparison(frame):
+    found, seconds = families.compare(frame, ["linear", "additive"], settings=SMALL)
+    assert [r["model"] for r in found.collect()] == ["linear", "additive"] and seconds.count() == 2
+    alone = metrics.forecast_metrics(families.train_and_predict(frame, "linear", settings=SMALL)).first()
+    assert found.first()["wmape"] == pytest.approx(alone["wmape"])
+    with pytest.raises(ValueError):
+        families.compare(frame, ["linear", "nonsense"], settings=SMALL)
+
+
+def test_boosting_keeps_many_trees_where_they_help(frame):
+    settings = PooledSettings(rounds=80, step=0.1)
+    ready = families.without_leaks(frame)
+    columns = features.feature_columns("weekly")
+    model = pooled.fit_pooled(ready, columns, "boosted", settings)
+    assert model.stages[-1].getNumTrees > 20
+    error = lambda m: pooled.score_pooled(m, ready).agg(F.avg(F.abs(F.col("pooled_pred") - F.col("Quantity_Sold")))).first()[0]
+    assert error(model) < 0.8 * error(pooled.fit_pooled(ready, columns, "boosted", replace(settings, rounds=1)))
+
+
+def test_patience():
+    assert pooled.best_round([5, 4, 3, 3, 3, 3], 3) == 3 and pooled.best_round([5, 4, 3, 3, 3], 3) is None
+    assert pooled.best_round([5, 6, 7, 8, 1], 3) == 1 and pooled.best_round([], 3) is None
+
+
+def test_first_served_week_knows_the_last_difference(spark):
+    """A history that ends 30, 4: the first future period has the difference -26, not 0."""
+    data = materialise(series_frame(spark, {"a": [10.0] * 30 + [30.0, 4.0]}, start=D(2024, 1, 1)))
+    served = features.future_features(data, 2, "weekly", CALENDAR, finish=families.without_leaks).orderBy("Date").collect()
+    assert [r["Diff_1"] for r in served] == [-26.0, -4.0]
 
 
 def test_overfit_verdict(frame):

@@ -1,6 +1,7 @@
 """The recurring jobs end to end on a small shop."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -59,9 +60,20 @@ def test_retrain_records_a_run(spark, tmp_path, family, monkeypatch):
     written = shop.write_run_tables(after, str(tmp_path))
     stored = spark.read.parquet(written["forecasts"])
     assert stored.where("model_run_id = 6 and quantity_predicted >= 0").count() == 8
+    assert shop.read_run_tables(spark, str(tmp_path / "nothing")).runs.isEmpty()
     assert registry.latest_active_run(spark.read.parquet(written["runs"])).first()["id"] == 6
     with pytest.raises(ValueError):
         shop.retrain(demand, items, tables, "unknown")
+    # The usual cycle: read what is stored, retrain, save to the same place.
+    read = shop.read_run_tables(spark, str(tmp_path))
+    assert json.loads(registry.latest_active_run(read.runs, family).first()["items_with_models"]) == ["a", "b"]
+    again = shop.retrain(demand, items, read, family, weeks=2, max_items=2, settings=PooledSettings(rounds=3))
+    for _ in range(2):  # a save that is repeated changes nothing
+        shop.write_run_tables(again, str(tmp_path))
+        read = shop.read_run_tables(spark, str(tmp_path))
+        assert rows(read.runs.select("id", "is_active"), "id") == [(4, False), (5, True), (6, False), (7, True)]
+        assert rows(read.forecasts.groupBy("model_run_id").count(), "model_run_id") == [(6, 8), (7, 4)]
+        assert {r["model_run_id"] for r in read.class_metrics.collect()} == {6, 7}
 
 
 def test_summary_files(spark, tmp_path):

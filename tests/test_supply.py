@@ -2,6 +2,8 @@
 
 import itertools
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,18 +66,31 @@ def test_colliding_spellings_use_the_last_listed(spark):
     assert rows(bom.item_materials(m, c, "n")) == [("latte", "water", 5.0)]
 
 
-def test_requirements_are_linear_and_paths_agree(spark, monkeypatch):
+def test_requirements_are_linear(spark):
     sales = spark.createDataFrame([(D(2025, 1, 1 + i % 3), f"i{i % 4}", float(i + 1)) for i in range(40)], SALES)
     m = menu(spark, *[(f"I{k}", b, str(k + 1)) for k in range(4) for b in ("mix", f"raw{k}")])
     c = condiments(spark, ("mix", "2", "u", "1"), ("mix", "2", "v", "3"))
     one = rows(bom.material_requirements(sales, m, c), "Date", "Raw_Material")
     twice = rows(bom.material_requirements(sales.withColumn("Quantity", F.col("Quantity") * 2), m, c), "Date", "Raw_Material")
     assert [(d, n, pytest.approx(q * 2)) for d, n, q in one] == twice
-    import demandloom.operators.bom as module
-    from demandloom.session import materialise
-    monkeypatch.setattr(module, "counted_broadcast", lambda df: (materialise(df), False))
-    assert rows(bom.material_requirements(sales, m, c), "Date", "Raw_Material") == [
-        (d, n, pytest.approx(q)) for d, n, q in one]
+
+
+def test_a_hot_item_is_spread_over_its_days(spark):
+    """An item with a third of the demand: its rows reach the recipe in many parts, and the sums are right."""
+    demand = [(D(2025, 1, 1) + dt.timedelta(days=i), "hot", 1.0) for i in range(200)] + [(D(2025, 1, 1), f"i{k}", 2.0) for k in range(400)]
+    demand = spark.createDataFrame(demand, "Date date, key string, sold double")
+    needs = spark.createDataFrame([("hot", "m", 3.0)] + [(f"i{k}", "n", 1.0) for k in range(400)], "key string, Raw string, per_unit double")
+    found = bom._needs_by_day(demand, needs, "Raw", "Amount")
+    assert rows(found.where("Raw = 'm'").agg(F.count("Date"), F.sum("Amount"))) == [(200, 600.0)]
+    assert rows(found.where("Raw = 'n'")) == [(D(2025, 1, 1), "n", 800.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower() and "part#" in plan
+
+
+def test_a_batch_of_nothing_is_left_out_and_reported(spark):
+    c = condiments(spark, ("empty", "0", "u", "1"), ("mix", "2", "v", "3"), ("words", "some", "w", "1"))
+    assert rows(bom.unit_expansion(c), "Condiment") == [("mix", "v", 1.5)]
+    assert rows(bom.batches_of_nothing(c), "Condiment") == [("empty",), ("words",)]
 
 
 def recipe_schema(spark):
@@ -134,8 +149,11 @@ def test_pair_rules_against_counting(spark):
     count = lambda *items: sum(set(items) <= b for b in baskets.values())
     found = {
         (r["antecedents"][0], r["consequents"][0]): r
-        for r in rules.association_rules(df, 0.1, 0.0, max_items=2).collect()
+        for r in rules.association_rules(df, 0.1, 0.0).collect() if len(r["antecedents"]) == 1
     }
+    longer = [r for r in rules.association_rules(df, 0.1, 0.0).collect() if len(r["antecedents"]) > 1]
+    sets = [c for k in range(3, 7) for c in itertools.combinations("abcdef", k) if count(*c) >= 0.1 * n]
+    assert {(*r["antecedents"], r["consequents"][0]) for r in longer} == {(*[x for x in c if x != y], y) for c in sets for y in c}
     expected = {p for p in itertools.permutations("abcdef", 2) if count(*p) >= 0.1 * n}
     assert set(found) == expected
     for (a, b), r in found.items():
