@@ -47,7 +47,7 @@ def forecast_summary(tables: RunTables, family: str | None = None) -> DataFrame:
     """Global, class and item rows of the latest active run in one long table.
 
     A missing or zero period accuracy falls back to the volume accuracy; the global item count is the
-    sum over the classes.
+    sum over the classes. Without an active run there is one global row of zeros.
     """
     run = latest_active_run(tables.runs, family)
 
@@ -62,12 +62,16 @@ def forecast_summary(tables: RunTables, family: str | None = None) -> DataFrame:
     of_run = run.select(F.col("id").alias("model_run_id"))
     class_rows = tables.class_metrics.join(of_run, "model_run_id", "left_semi")
     counted = class_rows.agg(F.sum("n_items")).scalar()
-    overall = run.select(
-        F.lit("global").alias("kind"), none.cast("string").alias("name"),
-        F.coalesce(counted, F.lit(0)).alias("n_items"),
-        F.coalesce("wmape", F.lit(0.0)).alias("wmape"),
-        or_volume().alias("accuracy"),
-        F.coalesce("r2", F.lit(0.0)).alias("r2"), F.coalesce("mae", F.lit(0.0)).alias("mae"),
+    # An aggregate without keys has one row even over no run; over one run it is that run.
+    def value(column):
+        return F.coalesce(F.max(column), F.lit(0.0))
+
+    overall = run.agg(
+        value("wmape").alias("wmape"), value(or_volume()).alias("accuracy"), value("r2").alias("r2"), value("mae").alias("mae"),
+        value("periods_within_20pct").alias("periods_within_20pct"), value("periods_within_50pct").alias("periods_within_50pct"),
+    ).select(
+        F.lit("global").alias("kind"), none.cast("string").alias("name"), F.coalesce(counted, F.lit(0)).alias("n_items"),
+        "wmape", "accuracy", "r2", "mae", "periods_within_20pct", "periods_within_50pct",
         none.cast("double").alias("quantity_sold"), none.cast("double").alias("predicted"),
     )
     classes = class_rows.select(

@@ -115,16 +115,17 @@ SELECT {', '.join(f'round(coalesce({m}, 0), 6) AS {m}' for m in registry.RUN_MET
 
 def forecast_summary(spark, sf):
     found = registry.forecast_summary(views.run_tables(spark, sf), "forest")
-    return found.withColumns({c: rounded(c, 6) for c in ("wmape", "accuracy", "r2", "mae")})
+    return found.withColumns({c: rounded(c, 6) for c in ("wmape", "accuracy", "r2", "mae", "periods_within_20pct", "periods_within_50pct")})
 
 
 ORACLES["forecast_summary"] = with_("runs", "class_metrics", "top_rows", body=f"""
 , r AS ({_latest('forest')})
 SELECT 'global' AS kind, NULL AS name, (SELECT CAST(sum(n_items) AS BIGINT) FROM class_metrics WHERE model_run_id = (SELECT id FROM r)) AS n_items, round(wmape, 6) AS wmape, round(CASE WHEN median_period_accuracy <> 0 THEN median_period_accuracy ELSE volume_accuracy END, 6) AS accuracy,
- round(coalesce(r2, 0), 6) AS r2, round(mae, 6) AS mae, NULL::DOUBLE AS quantity_sold, NULL::DOUBLE AS predicted FROM r
-UNION ALL SELECT 'class', abc_class, n_items, round(wmape, 6), round(coalesce(nullif(median_period_accuracy, 0), volume_accuracy), 6), NULL, NULL, NULL, NULL
+ round(coalesce(r2, 0), 6) AS r2, round(mae, 6) AS mae, round(periods_within_20pct, 6) AS periods_within_20pct,
+ round(coalesce(periods_within_50pct, 0), 6) AS periods_within_50pct, NULL::DOUBLE AS quantity_sold, NULL::DOUBLE AS predicted FROM r
+UNION ALL SELECT 'class', abc_class, n_items, round(wmape, 6), round(coalesce(nullif(median_period_accuracy, 0), volume_accuracy), 6), NULL, NULL, NULL, NULL, NULL, NULL
  FROM class_metrics WHERE model_run_id = (SELECT id FROM r)
-UNION ALL SELECT 'item', item_name, NULL, NULL, round(accuracy_pct, 6), NULL, NULL, quantity_sold, predicted FROM top_rows WHERE model_run_id = (SELECT id FROM r)""")
+UNION ALL SELECT 'item', item_name, NULL, NULL, round(accuracy_pct, 6), NULL, NULL, NULL, NULL, quantity_sold, predicted FROM top_rows WHERE model_run_id = (SELECT id FROM r)""")
 
 
 def global_mean_forecast(spark, sf):

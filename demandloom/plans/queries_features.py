@@ -33,21 +33,21 @@ def _round_all(df, digits=6):
 
 
 def weekly_item_sales(spark, sf):
-    return views.item_series(spark, sf)
+    return views.lazy_series(spark, sf)
 
 
 ORACLES["weekly_item_sales"] = with_(*_WEEKLY, body='SELECT Item, "Date", q AS Quantity_Sold FROM weekly')
 
 
 def daily_item_series(spark, sf):
-    return views.item_series(spark, sf, "daily")
+    return views.lazy_series(spark, sf, "daily")
 
 
 ORACLES["daily_item_series"] = with_("sales", "dailyseries", body='SELECT Item, "Date", q AS Quantity_Sold FROM dailyseries')
 
 
 def weekly_nonzero(spark, sf):
-    return views.item_series(spark, sf).where(F.col("Quantity_Sold") > 0)
+    return views.lazy_series(spark, sf).where(F.col("Quantity_Sold") > 0)
 
 
 ORACLES["weekly_nonzero"] = with_(*_WEEKLY, body='SELECT Item, "Date", q AS Quantity_Sold FROM weekly WHERE q > 0')
@@ -62,7 +62,7 @@ SELECT Item, "Date", q AS Quantity_Sold FROM weekly WHERE Item IN (SELECT DISTIN
 
 
 def lag_features(spark, sf):
-    return views.item_series(spark, sf).withColumns(features.lag_columns((1, 2, 4, 8)))
+    return views.lazy_series(spark, sf).withColumns(features.lag_columns((1, 2, 4, 8)))
 
 
 ORACLES["lag_features"] = with_(*_WEEKLY, body=f"""
@@ -70,7 +70,7 @@ SELECT Item, "Date", q AS Quantity_Sold, {', '.join(f'lag(q, {n}) {_over()} AS L
 
 
 def rolling_features(spark, sf):
-    return _round_all(views.item_series(spark, sf).withColumns(features.rolling_columns(4, 12)))
+    return _round_all(views.lazy_series(spark, sf).withColumns(features.rolling_columns(4, 12)))
 
 
 _ROLL = f"""avg(q) {_over('4 PRECEDING AND 1 PRECEDING')} AS Roll_Mean_4, avg(q) {_over('12 PRECEDING AND 1 PRECEDING')} AS Roll_Mean_12,
@@ -81,7 +81,7 @@ SELECT Item, "Date", Quantity_Sold, round(Roll_Mean_4, 6) AS Roll_Mean_4, round(
 
 
 def ewma_features(spark, sf):
-    return _round_all(features.add_ewma(views.item_series(spark, sf), {"EWMA_4": 4, "EWMA_12": 12}))
+    return _round_all(features.add_ewma(views.lazy_series(spark, sf), {"EWMA_4": 4, "EWMA_12": 12}))
 
 
 VIEWS["rn"] = 'SELECT Item, "Date", q, row_number() OVER (PARTITION BY Item ORDER BY "Date") AS rn FROM weekly'
@@ -96,7 +96,7 @@ FROM rn LEFT JOIN ew ON ew.Item = rn.Item AND ew.rn = rn.rn - 1""")
 
 
 def diff_features(spark, sf):
-    return views.item_series(spark, sf).withColumns(features.difference_columns((1, 4, 7)))
+    return views.lazy_series(spark, sf).withColumns(features.difference_columns((1, 4, 7)))
 
 
 ORACLES["diff_features"] = with_(*_WEEKLY, body=f"""
@@ -105,7 +105,7 @@ SELECT Item, "Date", q AS Quantity_Sold, {', '.join(f'q - lag(q, {n}) {_over()}
 
 
 def trend_ratio(spark, sf):
-    return _round_all(views.item_series(spark, sf).withColumns({
+    return _round_all(views.lazy_series(spark, sf).withColumns({
         "Recent_vs_Old_Trend": features.trend_ratio(4, 12), "Recent_vs_Old_Trend_8": features.trend_ratio(4, 8, 5.0)}))
 
 
@@ -120,7 +120,7 @@ SELECT Item, "Date", q AS Quantity_Sold, round({_trend_sql(4, 12, 10.0)}, 6) AS
 
 
 def event_surge(spark, sf):
-    return _round_all(features.event_surge(views.item_series(spark, sf), EVENT))
+    return _round_all(features.event_surge(views.lazy_series(spark, sf), EVENT))
 
 
 _MEANS = f"""avg(q) FILTER ("Date" < DATE '{EVENT}') {{0}} AS pre, avg(q) FILTER ("Date" >= DATE '{EVENT}') {{0}} AS post"""
@@ -130,7 +130,7 @@ FROM (SELECT Item, {_MEANS.format('')} FROM weekly GROUP BY Item)""")
 
 
 def event_surge_decay(spark, sf):
-    return _round_all(views.item_series(spark, sf).withColumns({
+    return _round_all(views.lazy_series(spark, sf).withColumns({
         "Item_Surge": features.decayed_surge("hot ring", EVENT), "Rebrand_Surge": features.surge_ratio(EVENT, cap=2.0)}))
 
 
@@ -232,14 +232,14 @@ FROM (SELECT Item, "Date", row_number() OVER (ORDER BY Item, "Date") AS rn, coun
 
 
 def item_model_eligibility(spark, sf):
-    return series.model_eligibility(views.item_series(spark, sf), 100)
+    return series.model_eligibility(views.lazy_series(spark, sf), 100)
 
 
 ORACLES["item_model_eligibility"] = with_(*_WEEKLY, body="SELECT Item, count(*) AS records, count(*) >= 100 AS own_model FROM weekly GROUP BY Item")
 
 
 def dow_factors(spark, sf):
-    factors = features.weekday_factors(views.item_series(spark, sf, "daily"))
+    factors = features.weekday_factors(views.lazy_series(spark, sf, "daily"))
     return _round_all(features.weekday_factor_matrix(factors))
 
 

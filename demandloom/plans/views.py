@@ -19,9 +19,14 @@ def demand(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lazy_series(spark: SparkSession, folder: str, frequency: str = "weekly") -> DataFrame:
+    """The zero-filled item series, planned only, for queries that read it once."""
+    return series.item_series(demand(spark, folder), frequency)
+
+
 def item_series(spark: SparkSession, folder: str, frequency: str = "weekly") -> DataFrame:
     """The zero-filled item series, computed once: one row per item and period."""
-    return materialise(series.item_series(demand(spark, folder), frequency))
+    return materialise(lazy_series(spark, folder, frequency))
 
 
 def daily_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,6 +100,8 @@ def test_latest_run_and_metrics(spark):
 def test_summary_falls_back_to_volume_accuracy(spark):
     got = {(r["kind"], r["name"]): r["accuracy"] for r in registry.forecast_summary(run_tables(spark), "boosted").collect()}
     assert got == {("global", None): 77.0, ("class", "A"): 80.0, ("item", "x"): 80.0}
+    (none,) = registry.forecast_summary(run_tables(spark), "none").collect()
+    assert none["kind"] == "global" and none["n_items"] == 0 and none["accuracy"] == none["periods_within_50pct"] == 0.0
 
 
 def test_abc_is_stored_by_item_id(spark):
