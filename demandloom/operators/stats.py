@@ -20,6 +20,19 @@ from demandloom.functions.numeric import safe_ratio
 KPSS_CRITICAL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 # Asymptotic critical values of the unit-root test with a constant.
 ADF_CRITICAL = {"1%": -3.43035, "5%": -2.86154, "10%": -2.56677}
+# MacKinnon's (1994) response surface for its p-value: range, turning point, and polynomials
+# in the statistic (constant first) below and above the turning point, whose normal probability is the value.
+ADF_RANGE, ADF_TURN = (-18.83, 2.74), -1.61
+ADF_BELOW, ADF_ABOVE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p_value(statistic: float) -> float:
+    if statistic > ADF_RANGE[1]:
+        return 1.0
+    if statistic < ADF_RANGE[0]:
+        return 0.0
+    terms = ADF_BELOW if statistic <= ADF_TURN else ADF_ABOVE
+    return 0.5 * math.erfc(-sum(c * statistic**k for k, c in enumerate(terms)) / math.sqrt(2.0))
 
 
 def _by_date() -> Window:
@@ -145,14 +158,25 @@ def _two_sided_tail(z: Column) -> Column:
 def seasonal_decompose(totals: DataFrame, period: int = 7) -> DataFrame:
     """Additive parts: centred mean, phase means of the rest (summing to zero), and the residual.
 
-    The ends, where the centred mean is not defined, stay NULL.
+    At the ends, where the centred mean is not defined, the trend follows the straight line through the
+    nearest ``period`` defined values. A series of one period or less has no trend.
     """
     half = period // 2
     frame = _by_date().rowsBetween(-half, half)
     q = F.col("Quantity_Sold")
-    trended = numbered(totals).withColumn(
-        "trend", F.when(F.count(q).over(frame) == period, F.avg(q).over(frame))
-    ).withColumn("phase", F.col("i") % period)
+    centred = numbered(totals).withColumn("centred", F.when(F.count(q).over(frame) == period, F.avg(q).over(frame)))
+    last = totals.agg(F.count(F.lit(1))).scalar() - 1
+
+    def line(inside: Column) -> Column:
+        x, y = F.when(inside, F.col("i")), F.when(inside, F.col("centred"))
+        fit = centred.agg(F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))).scalar()
+        return fit["intercept"] + fit["slope"] * F.col("i")
+
+    start = line(F.col("i").between(half, half + period - 1))
+    end = line(F.col("i").between(last - half - period + 1, last - half))
+    trended = centred.withColumn(
+        "trend", F.coalesce("centred", F.when(F.col("i") < half, start).otherwise(end))
+    ).withColumn("phase", F.col("i") % period).drop("centred")
     phases = trended.groupBy("phase").agg(F.avg(q - F.col("trend")).alias("raw"))
     centre = phases.agg(F.avg("raw")).scalar()
     seasonal = phases.select("phase", (F.col("raw") - centre).alias("seasonal"))
@@ -224,7 +248,7 @@ def _gram(design: DataFrame) -> np.ndarray:
 
 
 def adf(totals: DataFrame) -> DataFrame:
-    """Unit-root statistic with a constant; the lag length has the lowest AIC.
+    """Unit-root statistic with a constant and its p-value; the lag length has the lowest AIC.
 
     Spark builds the lag design and sums its cross products; the driver solves a system per lag
     length, each with at most a few dozen unknowns.
@@ -257,7 +281,8 @@ def adf(totals: DataFrame) -> DataFrame:
     return totals.agg(F.count(F.lit(1)).alias("days")).select(
         F.lit(float(statistic)).alias("statistic"), F.lit(best).alias("lags"), F.lit(int(rows)).alias("rows"),
         *[F.lit(v).alias(f"critical_{k[:-1]}") for k, v in ADF_CRITICAL.items()],
-        F.lit(bool(statistic < ADF_CRITICAL["5%"])).alias("stationary"),
+        F.lit(unit_root_p_value(float(statistic))).alias("p_value"),
+        F.lit(unit_root_p_value(float(statistic)) < 0.05).alias("stationary"),
     )
 
 

@@ -79,17 +79,25 @@ def seasonal_decompose(spark, sf):
 
 
 ORACLES["seasonal_decompose"] = with_(*_NUM, body="""
-, t AS (SELECT "Date", q, (i - 1) % 7 AS phase, CASE WHEN count(*) OVER w = 7 THEN avg(q) OVER w END AS trend FROM numbered WINDOW w AS (ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+, m AS (SELECT "Date", q, i, CASE WHEN count(*) OVER w = 7 THEN avg(q) OVER w END AS mid, count(*) OVER () AS n FROM numbered WINDOW w AS (ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ends AS (SELECT regr_slope(mid, i) FILTER (i BETWEEN 4 AND 10) AS b0, regr_intercept(mid, i) FILTER (i BETWEEN 4 AND 10) AS a0,
+  regr_slope(mid, i) FILTER (i BETWEEN n - 9 AND n - 3) AS b1, regr_intercept(mid, i) FILTER (i BETWEEN n - 9 AND n - 3) AS a1 FROM m),
+t AS (SELECT "Date", q, (i - 1) % 7 AS phase, CASE WHEN mid IS NOT NULL THEN mid WHEN i <= 3 THEN a0 + b0 * i ELSE a1 + b1 * i END AS trend FROM m, ends),
 p AS (SELECT phase, avg(q - trend) AS raw FROM t GROUP BY 1), s AS (SELECT phase, raw - (SELECT avg(raw) FROM p) AS seasonal FROM p)
 SELECT "Date", q AS Quantity_Sold, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(q - trend - seasonal, 6) + 0.0 AS residual FROM t JOIN s USING (phase)""")
 
 
+def _levels_and_differences(test, totals):
+    """A test on the series and on its first differences."""
+    named = lambda df, name: test(df).withColumn("series", F.lit(name))
+    return named(totals, "levels").unionByName(named(materialise(stats.differenced(totals)), "differences"))
+
+
 def kpss_stat(spark, sf):
-    return _round(stats.kpss(views.totals(spark, sf)))
+    return _round(_levels_and_differences(stats.kpss, views.totals(spark, sf)))
 
 
-ORACLES["kpss_stat"] = with_(*_NUM, body="""
-, r AS (SELECT i, q - avg(q) OVER () AS r, count(*) OVER () AS n FROM numbered),
+_KPSS = """(WITH r AS (SELECT i, q - avg(q) OVER () AS r, count(*) OVER () AS n FROM {source}),
 g AS (SELECT k, sum(a.r * b.r) AS s FROM r a, generate_series(0, 200) t(k), r b WHERE b.i = a.i - k GROUP BY k),
 n AS (SELECT any_value(n)::DOUBLE AS n FROM r),
 w AS (SELECT CAST(floor(pow(n, 2.0 / 9)) AS BIGINT) AS w FROM n),
@@ -100,7 +108,10 @@ c AS (SELECT sum(r) OVER (ORDER BY i) AS c FROM r),
 st AS (SELECT sum(c * c) / (any_value(n) * any_value(n)) / any_value(v) AS stat, any_value(lags) AS lags FROM c, n, v),
 pv AS (SELECT *, CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - (stat - 0.347) * 0.05 / 0.116 WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) * 0.025 / 0.111
   WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) * 0.015 / 0.165 ELSE 0.01 END AS p FROM st)
-SELECT round(stat, 6) AS statistic, lags, round(p, 6) AS p_value, p > 0.05 AS stationary FROM pv""")
+SELECT round(stat, 6) AS statistic, lags, round(p, 6) AS p_value, p > 0.05 AS stationary, '{series}' AS series FROM pv)"""
+ORACLES["kpss_stat"] = with_(*_NUM, body=f"""
+, steps AS (SELECT i - 1 AS i, d AS q FROM (SELECT i, q - lag(q) OVER (ORDER BY i) AS d FROM numbered) WHERE d IS NOT NULL)
+{_KPSS.format(source="numbered", series="levels")} UNION ALL {_KPSS.format(source="steps", series="differences")}""")
 
 
 def outliers(spark, sf):
@@ -149,7 +160,7 @@ def pacf(spark, sf):
 
 
 def adf_stat(spark, sf):
-    return _round(stats.adf(views.totals(spark, sf)))
+    return _round(_levels_and_differences(stats.adf, views.totals(spark, sf)))
 
 
 QUERIES |= {name: globals()[name] for name in ORACLES}
