@@ -31,6 +31,40 @@ def forecast_metrics(spark, sf):
 ORACLES["forecast_metrics"] = with_(*_HELD, body=f"SELECT {_METRICS} FROM heldout")
 
 
+def overfit_check_naive(spark, sf):
+    """The check on the naive forecast: odd weeks of the hold-out stand for training, even ones for the test."""
+    held = views.held_out_naive(spark, sf)
+    side = F.when(F.weekofyear("Date") % 2 == 1, "train").otherwise("test")
+    return metrics.overfit_check(materialise(held.withColumn("split", side)))
+
+
+ORACLES["overfit_check_naive"] = with_(*_HELD, body=f"""
+, m AS (SELECT CASE WHEN week("Date") % 2 = 1 THEN 'train' ELSE 'test' END AS side, {_METRICS} FROM heldout GROUP BY 1),
+w AS (SELECT {', '.join(f"max({x}) FILTER (side = '{side}') AS {side}_{x}" for side in ('train', 'test') for x in ('r2', 'wmape', 'mae'))} FROM m)
+SELECT *, {', '.join(f'round(test_{x} - train_{x}, 4) AS gap_{x}' for x in ('r2', 'wmape', 'mae'))},
+ CASE WHEN abs(test_r2 - train_r2) > 0.15 THEN 'significant' WHEN abs(test_r2 - train_r2) > 0.05 THEN 'moderate' ELSE 'acceptable' END AS verdict FROM w""")
+
+
+def cv_stability_naive(spark, sf):
+    """Stability of the naive forecast over three folds of the hold-out, by month."""
+    held = views.held_out_naive(spark, sf).withColumn("fold", F.month("Date") % 3 + 1)
+    y, p = F.col("Quantity_Sold"), F.col("Predicted")
+    folds = held.where("Quantity_Sold > 0").groupBy("fold").agg(
+        F.round(metrics.r_squared(y, p), 6).alias("r2"), F.round(metrics.wmape(y, p), 6).alias("wmape"), F.round(metrics.mae(y, p), 6).alias("mae"))
+    found = metrics.cv_stability(folds)
+    return found.withColumns({c: rounded(c, 4) for c, kind in found.dtypes if kind == "double"})
+
+
+ORACLES["cv_stability_naive"] = with_(*_HELD, body="""
+, f AS (SELECT month("Date") % 3 + 1 AS fold, round(1 - sum((q - p) * (q - p)) / (var_pop(q) * count(*)), 6) AS r2, round(100 * sum(abs(q - p)) / sum(q), 6) AS wmape,
+ round(avg(abs(q - p)), 6) AS mae FROM heldout WHERE q > 0 GROUP BY 1),
+c AS (SELECT var_samp(r2) AS rv, var_samp(wmape) AS wv, max_by(r2, fold) - min_by(r2, fold) AS rc, max_by(wmape, fold) - min_by(wmape, fold) AS wc FROM f)
+SELECT round(rv, 4) AS r2_variance, round(wv, 4) AS wmape_variance, round(rc, 4) AS r2_change, round(wc, 4) AS wmape_change,
+ round(avg(r2), 4) AS r2_mean, round(stddev_samp(r2), 4) AS r2_std, round(avg(wmape), 4) AS wmape_mean, round(stddev_samp(wmape), 4) AS wmape_std,
+ round(avg(mae), 4) AS mae_mean, round(stddev_samp(mae), 4) AS mae_std, rv > 0.01 OR wv > 5 AS high_variance, rc < -0.05 OR wc > 2 AS degrading
+FROM f, c GROUP BY rv, wv, rc, wc""")
+
+
 def abc_classification(spark, sf):
     found = metrics.classify_abc(views.demand(spark, sf))
     return found.withColumn("Pct", rounded("Pct", 6))
