@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,13 +173,23 @@ def compare(frame: DataFrame, families: Sequence[str] = FAMILIES, frequency: str
 
 def generate_forecast(series: DataFrame, bundle: Bundle, weeks: int = 12, calendar: TradingCalendar = TradingCalendar(),
                       codes: DataFrame | None = None) -> DataFrame:
-    """Forecast of the weeks after the last date, from a trained family."""
+    """Forecast of the weeks after the last date, from a trained family.
+
+    A pooled family goes one period at a time: each forecast is history for the next one's lags, windows
+    and differences, so no period is computed from quantities that nobody expects.
+    """
+    periods = weeks * (7 if bundle.frequency == "daily" else 1)
     if bundle.pooled is None:
-        return predict(future_grid(series, weeks * (7 if bundle.frequency == "daily" else 1), bundle.frequency), bundle)
+        return predict(future_grid(series, periods, bundle.frequency), bundle)
     codes = item_codes(series) if codes is None else codes
-    # Differences shift over history and future together, so the first future period knows the last past one.
-    frame = feats.future_features(series, weeks, bundle.frequency, calendar, codes, finish=without_leaks)
-    return predict(frame, bundle, leak_free=True)
+    known, steps = series.select("Item", "Date", "Quantity_Sold"), []
+    for _ in range(periods):
+        # Differences shift over history and future together, so a period knows the last difference before it.
+        frame = feats.future_features(known, 1, bundle.frequency, calendar, codes, finish=without_leaks, periods=1)
+        step = materialise(predict(frame, bundle, leak_free=True))
+        steps.append(step)
+        known = known.unionByName(step.select("Item", "Date", F.col("Predicted").alias("Quantity_Sold")))
+    return reduce(DataFrame.unionByName, steps)
 
 
 # --- rolling-origin cross-validation ---------------------------------------------------------

@@ -294,12 +294,14 @@ def future_features(
     calendar: TradingCalendar = TradingCalendar(),
     codes: DataFrame | None = None,
     finish: Callable[[DataFrame], DataFrame] = lambda frame: frame,
+    periods: int | None = None,
 ) -> DataFrame:
     """Features of the future periods; future quantities are 0 and enter later windows as such.
 
     ``finish`` works on history and future together, before the future is cut out.
     """
-    periods = weeks * 7 if frequency == "daily" else weeks
+    if periods is None:
+        periods = weeks * 7 if frequency == "daily" else weeks
     grid = future_grid(series, periods, frequency)
     last = series.agg(F.max("Date")).scalar()
     everything = series.unionByName(grid)

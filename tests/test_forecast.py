@@ -154,6 +154,21 @@ def test_patience():
     assert pooled.best_round([5, 6, 7, 8, 1], 3) == 1 and pooled.best_round([], 3) is None
 
 
+def test_forecasts_feed_the_next_step(spark, frame, monkeypatch):
+    """A forecaster that adds one to the last known week counts on: 7, 8, 9 and not 7, 1, 1."""
+    data = materialise(series_frame(spark, {"a": [2.0] * 20 + [6.0], "b": [1.0] * 21}, start=D(2024, 1, 1)))
+    bundle = families.train(frame, "linear")
+
+    def next_one(rows_, bundle_, leak_free=False):
+        return rows_.select("Item", "Date", "Quantity_Sold", (F.col("Lag_1") + 1).alias("Predicted"), "Diff_1")
+
+    monkeypatch.setattr(families, "predict", next_one)
+    got = families.generate_forecast(data, bundle, 3, CALENDAR).orderBy("Item", "Date").collect()
+    assert [r["Predicted"] for r in got] == [7.0, 8.0, 9.0, 2.0, 3.0, 4.0]
+    # The difference before each week: 6 - 2, then the forecasts' own steps.
+    assert [r["Diff_1"] for r in got[:3]] == [4.0, 1.0, 1.0]
+
+
 def test_first_served_week_knows_the_last_difference(spark):
     """A history that ends 30, 4: the first future period has the difference -26, not 0."""
     data = materialise(series_frame(spark, {"a": [10.0] * 30 + [30.0, 4.0]}, start=D(2024, 1, 1)))
