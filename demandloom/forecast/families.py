@@ -24,6 +24,8 @@ BLEND = 0.15
 # Fewest training rows for a model of an item's own.
 MIN_ROWS = {"daily": 180, "weekly": 100}
 MIN_ROWS_ARIMA = {"daily": 180, "weekly": 200}
+# Features that look at the period's own quantity.
+LEAKING = ("Diff_1", "Diff_4", "Diff_7", "Accel_2")
 FAMILIES = ("boosted", "forest", "arima", "additive")
 POOLED = ("boosted", "forest", "linear", "tweedie")
 
@@ -71,7 +73,7 @@ class Bundle:
 def without_leaks(frame: DataFrame) -> DataFrame:
     """Differences as known before the period: the raw ones contain the target itself."""
     return frame.withColumns({
-        name: F.coalesce(F.lag(name, 1).over(by_item()), F.lit(0.0)) for name in ("Diff_1", "Accel_2")
+        name: F.coalesce(F.lag(name, 1).over(by_item()), F.lit(0.0)) for name in LEAKING if name in frame.columns
     })
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.text import items_of_json_text
+
 RUN_METRICS = (
     "r2", "wmape", "mae", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct",
 )
@@ -35,6 +37,12 @@ def latest_active_run(runs: DataFrame, family: str | None = None) -> DataFrame:
     return active.orderBy(F.desc("trained_at"), F.desc("id")).limit(1)
 
 
+def items_of_run(runs: DataFrame, family: str | None = None) -> DataFrame:
+    """item (lower case): what the latest active run stored as its items with models; no rows without a run or a list."""
+    stored = latest_active_run(runs, family).select(items_of_json_text(F.col("items_with_models")).alias("items"))
+    return stored.select(F.explode("items").alias("item"))
+
+
 def run_metrics(runs: DataFrame, family: str | None = None) -> DataFrame:
     """Metrics of the latest active run; one row of zeros when there is none."""
     latest = latest_active_run(runs, family)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import text
 from demandloom.functions.numeric import rounded
 from demandloom.operators import bom, rules, serving
-from demandloom.operators.registry import latest_active_run
+from demandloom.operators.registry import items_of_run
 from demandloom.plans import views
 from demandloom.plans.oracle_views import VIEWS, initcap, with_
 from demandloom.sources import adapters
@@ -226,11 +226,10 @@ SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', '[b]')}
 def rules_for_model(spark, sf):
     """Top rules whose consequent is among the items of the latest active forest run."""
     tables = views.run_tables(spark, sf)
-    run = latest_active_run(tables.runs, "forest").select(F.col("id").alias("model_run_id"))
-    names = tables.top_items.where(F.col("accuracy_pct") >= 95).join(run, "model_run_id", "left_semi")
-    # Item lists come as JSON text; one short list per stored row, so no list grows with the catalogue.
-    stored = names.select(F.to_json(F.array("item_name", F.upper("item_name"))).alias("items_with_models"))
-    items = stored.select(F.explode(text.items_of_json_text(F.col("items_with_models"))).alias("item"))
+    # A run stores its item list as JSON text; the given runs' lists are their accurate items.
+    lists = tables.top_items.where(F.col("accuracy_pct") >= 95).groupBy(F.col("model_run_id").alias("id")).agg(
+        F.to_json(F.collect_list("item_name")).alias("items_with_models"))
+    items = items_of_run(tables.runs.join(lists, "id", "left"), "forest")
     written = rules.as_rule_text(_item_rules(spark, sf))
     plain = written.withColumns({c: text.single_item_of_set_text(F.col(c)) for c in ("antecedents", "consequents")})
     found = rules.rules_for_items(plain, items, 0.05, 0.5)

@@ -97,6 +97,12 @@ def test_latest_run_and_metrics(spark):
     assert tuple(registry.run_metrics(t.runs, "none").first()) == (0.0,) * 6
 
 
+def test_items_of_the_latest_run(spark):
+    runs = run_tables(spark).runs.withColumn("items_with_models", F.when(F.col("id") == 1, '["Latte Hot", " X "]').when(F.col("id") == 3, "no list"))
+    assert rows(registry.items_of_run(runs, "boosted"), "item") == [("latte hot",), ("x",)]
+    assert registry.items_of_run(runs, "forest").isEmpty() and registry.items_of_run(runs, "none").isEmpty()
+
+
 def test_summary_falls_back_to_volume_accuracy(spark):
     got = {(r["kind"], r["name"]): r["accuracy"] for r in registry.forecast_summary(run_tables(spark), "boosted").collect()}
     assert got == {("global", None): 77.0, ("class", "A"): 80.0, ("item", "x"): 80.0}
