@@ -89,7 +89,7 @@ def _boosted(core: DataFrame, held: DataFrame, settings: PooledSettings):
     """The boosted trees up to the best round on the held rows.
 
     A learner's first trees don't depend on how many follow, so a short fit that shows the best round is
-    enough; where it is still improving, the next one is twice as long.
+    enough; where it is still improving, the next one takes all rounds.
     """
     rounds = min(settings.rounds, 4 * settings.patience)
     empty = held.isEmpty()
@@ -104,7 +104,7 @@ def _boosted(core: DataFrame, held: DataFrame, settings: PooledSettings):
                 best = min(range(len(errors)), key=errors.__getitem__) + 1
         if best is not None:
             return model if best == rounds else _learner("boosted", replace(settings, rounds=best)).fit(core)
-        rounds = min(settings.rounds, 2 * rounds)
+        rounds = settings.rounds
 
 
 def score_pooled(model: PipelineModel, rows: DataFrame) -> DataFrame:
