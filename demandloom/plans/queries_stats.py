@@ -98,7 +98,7 @@ def kpss_stat(spark, sf):
 
 
 _KPSS = """(WITH r AS (SELECT i, q - avg(q) OVER () AS r, count(*) OVER () AS n FROM {source}),
-g AS (SELECT k, sum(a.r * b.r) AS s FROM r a, generate_series(0, 200) t(k), r b WHERE b.i = a.i - k GROUP BY k),
+g AS (SELECT k, sum(a.r * b.r) AS s FROM r a, generate_series(0, 2500) t(k), r b WHERE b.i = a.i - k GROUP BY k),
 n AS (SELECT any_value(n)::DOUBLE AS n FROM r),
 w AS (SELECT CAST(floor(pow(n, 2.0 / 9)) AS BIGINT) AS w FROM n),
 ss AS (SELECT sum(CASE WHEN k = 0 THEN s / n ELSE 2 * s / n END) AS s0, sum(2 * k * s / n) AS s1 FROM g, n, w WHERE k <= w),
