@@ -8,9 +8,13 @@ for byte; of equal ones the first by (doc_id, position) stays.
 Chunk keys are counted first; only chunks with a repeated key bring their bytes to the comparison, and
 the lists of chunks, far smaller than the texts, are checkpointed between the steps.
 
+``remove_runs`` cuts out every run of two or more lines that an earlier place holds, wherever it begins; the pipeline
+uses it. ``report`` and ``remove`` keep to the chunks, which the oracle states; a repeated run stays there unless a
+boundary falls exactly before and after it.
+
 Null text stays null; what repeats entirely becomes empty. Documents of one line, and chunks without a visible
 character, are never touched. Rows that share a doc_id
-count as one document, rows without doc_id are left as they are, columns other than doc_id and text are
+count as one document, whose places are ordered by position, rows without doc_id are left as they are, columns other than doc_id and text are
 passed on by ``remove`` and neither read nor returned by ``report``. An empty table gives an empty one.
 """
 
@@ -55,35 +59,51 @@ def chunks(text: Column) -> Column:
                 F.struct(x["lines"].alias("lines"), starts(x).alias("starts")), cut))))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, k, n, body of every chunk that may be removed."""
+def runs_of_two(text: Column) -> Column:
+    """array<struct<n, body>>: every two lines in a row."""
+    return let(F.split(text, "\n", -1), lambda lines: F.when(F.size(lines) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(lines) - 1),
+        lambda i: F.struct(F.lit(2).alias("n"), F.array_join(F.slice(lines, i, 2), "\n").alias("body")))))
+
+
+def _numbered(docs: DataFrame, parts) -> DataFrame:
+    """doc_id, row (a hash of the text), k, n, body of every part that may be removed."""
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", F.posexplode(chunks(F.col("text"))).alias("k", "chunk")
-    ).select("doc_id", "k", F.col("chunk.n").alias("n"), F.col("chunk.body").alias("body")).where(
+        "doc_id", F.xxhash64("text").alias("row"), F.posexplode(parts(F.col("text"))).alias("k", "chunk")
+    ).select("doc_id", "row", "k", F.col("chunk.n").alias("n"), F.col("chunk.body").alias("body")).where(
         (F.col("n") >= 2) & F.regexp_like("body", F.lit(r"\S")))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, k: every chunk that an earlier place holds byte for byte."""
+def repeated_chunks(docs: DataFrame, parts=chunks) -> DataFrame:
+    """doc_id, row, k: every part that an earlier place holds byte for byte; first, that place.
+
+    Rows that share a doc_id but not their text are told apart by ``row``.
+    """
     docs = docs.select("doc_id", "text")
-    keys = _numbered(docs).select("doc_id", "k", F.xxhash64("body").alias("key"))
+    keys = _numbered(docs, parts).select("doc_id", "row", "k", F.xxhash64("body").alias("key"))
     # Written out first, so that the join deals both sides anew and a frequent key's rows can be split.
     again = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    held = materialise(keys.join(again, "key").groupBy("doc_id").agg(F.collect_set("k").alias("ks")))
-    bodies = docs.join(held, "doc_id").select("doc_id", "ks", chunks(F.col("text")).alias("chunks")).select(
-        "doc_id", F.explode("ks").alias("k"), "chunks").select("doc_id", "k", F.col("chunks")[F.col("k")]["body"].alias("body"))
-    places = materialise(bodies.select(F.xxhash64("body").alias("key"), "body", F.struct("doc_id", "k").alias("place")))
+    held = materialise(keys.join(again, "key").groupBy("doc_id", "row").agg(F.collect_set("k").alias("ks")))
+    bodies = docs.withColumn("row", F.xxhash64("text")).join(held, ["doc_id", "row"]).select(
+        "doc_id", "row", "ks", parts(F.col("text")).alias("chunks")).select(
+        "doc_id", "row", F.explode("ks").alias("k"), "chunks").select("doc_id", "row", "k", F.get("chunks", F.col("k"))["body"].alias("body"))
+    places = materialise(bodies.select(F.xxhash64("body").alias("key"), "body", F.struct("doc_id", "k", "row").alias("place")))
     first = materialise(places.groupBy("key", "body").agg(F.min("place").alias("first")))
     again = places.join(first, ["key", "body"]).where(F.col("place") != F.col("first"))
-    return again.select("place.doc_id", "place.k")
+    return again.select("place.doc_id", "place.row", "place.k", "first")
+
+
+def _marked(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a column of the positions ``k`` to remove, and its name."""
+    marks, ids, rows = (free_name(name, docs.columns) for name in ("gone", "gone_id", "gone_row"))
+    gone = gone.groupBy(F.col("doc_id").alias(ids), F.col("row").alias(rows)).agg(F.collect_set("k").alias(marks))
+    return docs.join(gone, (F.col("doc_id") == F.col(ids)) & (F.xxhash64("text") == F.col(rows)), "left").drop(ids, rows), marks
 
 
 def _cut(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """The documents with the chunk positions to remove, and the names of the two added columns."""
-    marks, parts = (free_name(name, docs.columns) for name in ("gone", "parts"))
-    ids = free_name("gone_id", docs.columns)
-    gone = repeated_chunks(docs).groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("k").alias(marks))
-    found = docs.join(gone, F.col("doc_id") == F.col(ids), "left").drop(ids)
+    found, marks = _marked(docs, repeated_chunks(docs))
+    parts = free_name("parts", docs.columns)
     return found.withColumn(parts, F.when(F.col(marks).isNotNull(), chunks(F.col("text")))), marks, parts
 
 
@@ -92,6 +112,19 @@ def _left(marks: str, parts: str) -> Column:
     return F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
 
 
+def remove_runs(docs: DataFrame) -> DataFrame:
+    """The same rows and columns, without any run of two or more lines that an earlier place holds.
+
+    The earliest copy of every line stays. Of one line many times in a row two are left.
+    """
+    again = repeated_chunks(docs, runs_of_two)
+    beside = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k") - 1)
+    lines = again.select("doc_id", "row", F.explode(F.when(beside, F.array(F.col("k") + 1)).otherwise(F.array("k", F.col("k") + 1))).alias("k"))
+    found, marks = _marked(docs, lines)
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(marks, i))
+    return found.withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with repeated chunks cut out of ``text``."""
     found, marks, parts = _cut(docs)

@@ -49,3 +49,31 @@ def test_first_place_stays(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = line_dedup.op1_line_dedup(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def kept_lines(rows):
+    """What is left, by all runs of two lines."""
+    first, left = {}, {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        gone = set()
+        for k in range(len(lines) - 1):
+            if not "".join(lines[k:k + 2]).strip():
+                continue
+            held = first.setdefault(tuple(lines[k:k + 2]), (i, k))
+            if held != (i, k):
+                gone |= {k + 1} if held == (i, k - 1) else {k, k + 1}
+        left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return left
+
+
+def test_short_runs_go_wherever_they_begin(spark):
+    rows = [(i, f"own {i}\nlicense one\nlicense two\nmore {i}\nlast {i}") for i in range(30)] + [(40, "x\nx\nx\nx"), (41, "\n\n\n"), (42, "license one")]
+    left = dict(line_dedup.remove_runs(frame(spark, rows)).collect())
+    assert left == kept_lines(rows) and left[0] == rows[0][1] and left[40] == "x\nx"
+    assert all(left[i] == f"own {i}\nmore {i}\nlast {i}" for i in range(1, 30))
+
+
+def test_runs_of_the_given_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()]
+    assert dict(line_dedup.remove_runs(frame(spark, rows)).collect()) == kept_lines(rows)
