@@ -77,3 +77,13 @@ def test_short_runs_go_wherever_they_begin(spark):
 def test_runs_of_the_given_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()]
     assert dict(line_dedup.remove_runs(frame(spark, rows)).collect()) == kept_lines(rows)
+
+
+def test_rows_of_one_document_are_told_apart(spark):
+    """Two rows share a doc_id; only one of them repeats what another document holds."""
+    shared = "\n".join(f"shared line {i}" for i in range(60))
+    own = "own first\nown second\nown third"
+    rows = [(1, shared), (2, f"a\nb\n{shared}\nc\nd"), (2, own)]
+    for cut_out in (line_dedup.remove, line_dedup.remove_runs):
+        left = [r.text for r in cut_out(frame(spark, rows)).collect()]
+        assert shared in left and own in left and rows[1][1] not in left
