@@ -27,7 +27,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-# Bits a character, of at most log2(20) = 4.32, from which a window of the class is suspicious.
+# Bits a character, of at most log2(20) = 4.32, from which a window of the class is suspicious. Letters with symbols
+# count as letters; digits with symbols alone have no class, as their 15 characters stay below 4.1 bits.
 THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 4.1}
 # Strings that look random and are none: documented examples, alphabets, digests of published files.
 ALLOWED = (
@@ -74,7 +75,7 @@ def suspicious(body: Column) -> Column:
     most = (
         F.when(F.regexp_like(body, F.lit("^[0-9a-fA-F]+$")), most_allowed(THRESHOLDS["hex"]))
         .when(F.regexp_like(body, F.lit("[0-9]")) & F.regexp_like(body, F.lit("[A-Za-z]")), most_allowed(THRESHOLDS["mixed"]))
-        .when(F.regexp_like(body, F.lit("^[A-Za-z]+$")), most_allowed(THRESHOLDS["letters"]))
+        .when(F.regexp_like(body, F.lit("[A-Za-z]")), most_allowed(THRESHOLDS["letters"]))
         .otherwise(-1).cast("long"))
 
     def count(window, x):

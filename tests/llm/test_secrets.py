@@ -78,3 +78,9 @@ def test_given_documents(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = S.op9_secrets(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_letters_with_symbols_are_scanned(spark):
+    rows = [(1, "see qWeRtYuIoP+aSdFgHj/kLzXcVbNm= here"), (2, "see some_long_name_of_a_function here"), (3, "-" * 40)]
+    found = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].startswith("entropy:4:") and found[2] == "" and found[3] == ""
