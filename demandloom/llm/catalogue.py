@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from demandloom.llm import decontamination, line_dedup, lm_scoring, neighbours, packing, quality, secrets, simhash, substring_dedup, toxicity
+from demandloom.llm import (decontamination, filter_audit, line_dedup, lm_scoring, neighbours, packing, periodic_runs, quality,
+                            quality_rules, secrets, simhash, substring_dedup, toxicity)
 
 
 def queries() -> dict:
@@ -17,8 +18,12 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_quality_rules": quality_rules.op12_quality_rules,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
 def oracles() -> dict:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
