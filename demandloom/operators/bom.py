@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.numeric import safe_float, safe_ratio
 from demandloom.functions.text import material_name, name_key, product_variant_name
-from demandloom.session import materialise, spread
+from demandloom.session import materialise
 
 MAX_DEPTH = 64
 
@@ -127,29 +129,55 @@ def _daily_demand(sales: DataFrame, quantity: str) -> DataFrame:
     )
 
 
-# Parts into which an item's demand is laid out by date.
-DATE_PARTS = 32
+# Sides of a block: parts into which the calendar is dealt, items of a block on average, materials of a product.
+DATE_PARTS, ITEM_BLOCK, MATERIAL_BLOCK = 32, 1024, 512
 
 
 def _needs_by_day(demand: DataFrame, needs: DataFrame, out: str, amount: str) -> DataFrame:
     """Sum of sold times per-unit need by date; ``needs`` has key, ``out`` and per_unit.
 
-    The join multiplies rows: an item's days times its materials. So an item's demand is spread over
-    parts of the calendar, each of which meets a copy of its recipe, and an item with a third of all rows
-    still keeps many tasks busy. Names turn into numbers before the join and back after the sums; the
-    products are summed where they arise, before they move.
+    Demand by (date, item) times recipes by (item, material) is a matrix product. It is taken block by block: the
+    demand of a block of items on a part of the dates meets the recipes of these items, and only the block's sums by
+    (date, material) leave it. Blocks have a fixed size, so an item with a third of all rows, already one row a day,
+    keeps as many tasks busy as any other. Names of materials are numbers until the sums are done.
     """
     needs = materialise(needs)
     materials = materialise(needs.select(out).distinct().withColumn("material", F.monotonically_increasing_id()))
-    part = F.pmod(F.datediff("Date", F.lit("1970-01-01").cast("date")), F.lit(DATE_PARTS))
+    blocks = needs.select("key").distinct().count() // ITEM_BLOCK + 1
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
+    part = F.pmod(F.datediff("Date", F.lit("1970-01-01").cast("date")), F.lit(DATE_PARTS)).alias("part")
     recipe = needs.join(materials, out).select(
-        F.col("key").alias("item"), "material", "per_unit", F.explode(F.sequence(F.lit(0), F.lit(DATE_PARTS - 1))).alias("part"))
-    dated = spread(demand.withColumn("part", part), "key", "part")
-    return (
-        dated.join(recipe, (F.col("key") == F.col("item")) & (dated["part"] == recipe["part"]))
-        .groupBy("Date", "material").agg(F.sum(F.col("sold") * F.col("per_unit")).alias(amount))
-        .join(materials, "material").select("Date", out, amount)
-    )
+        block, F.explode(F.sequence(F.lit(0), F.lit(DATE_PARTS - 1))).alias("part"), "key", "material", "per_unit")
+    dated = demand.select(block, part, "key", "Date", F.col("sold").cast("double").alias("sold"))
+    products = dated.groupBy("block", "part").cogroup(recipe.groupBy("block", "part")).applyInArrow(
+        _block_product, "Date date, material long, amount double")
+    return products.groupBy("Date", "material").agg(F.sum("amount").alias(amount)).join(materials, "material").select("Date", out, amount)
+
+
+def _block_product(demand: pa.Table, recipe: pa.Table) -> pa.Table:
+    """Date, material, amount over the items of both tables; a date and a material are listed if an item links them."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if demand.num_rows and recipe.num_rows:
+        items = pa.chunked_array([*demand.column("key").chunks, *recipe.column("key").chunks]).combine_chunks().dictionary_encode()
+        codes = items.indices.to_numpy()
+        sold_of, made_of = codes[:demand.num_rows], codes[demand.num_rows:]
+        dates, date_of = np.unique(demand.column("Date").cast(pa.int32()).to_numpy(), return_inverse=True)
+        sold, linked = np.zeros((2, len(dates), len(items.dictionary)))
+        np.add.at(sold, (date_of, sold_of), demand.column("sold").to_numpy())
+        linked[date_of, sold_of] = 1.0
+        names, material_of = np.unique(recipe.column("material").to_numpy(), return_inverse=True)
+        per_unit = recipe.column("per_unit").cast(pa.float64()).to_numpy()
+        for start in range(0, len(names), MATERIAL_BLOCK):
+            here = (material_of >= start) & (material_of < start + MATERIAL_BLOCK)
+            width = min(MATERIAL_BLOCK, len(names) - start)
+            made, listed = np.zeros((2, len(items.dictionary), width))
+            np.add.at(made, (made_of[here], material_of[here] - start), per_unit[here])
+            listed[made_of[here], material_of[here] - start] = 1.0
+            day, material = np.nonzero(linked @ listed)
+            for held, values in zip(found, (dates[day], names[start + material], (sold @ made)[day, material])):
+                held.append(values)
+    day, material, amount = (np.concatenate(x) for x in found)
+    return pa.table({"Date": pa.array(day.astype(np.int32)).cast(pa.date32()), "material": material, "amount": amount})
 
 
 def explode_level_one(sales: DataFrame, menu_bom: DataFrame, quantity: str = "Quantity") -> DataFrame:
