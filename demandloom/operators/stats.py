@@ -7,7 +7,7 @@ key, or one buffer of all values, is bounded by the calendar and not by the sale
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -86,50 +86,68 @@ def autocorrelation(totals: DataFrame, lags: int = 30, threshold: float = 0.2) -
     )
 
 
-def _autocovariance_sums(totals: DataFrame, lags: int) -> DataFrame:
-    """One row: n and the lagged products of the deviations, lag 0 first."""
-    mean = totals.agg(F.avg("Quantity_Sold")).scalar()
-    centred = totals.withColumn("Quantity_Sold", F.col("Quantity_Sold") - mean)
-    products = [F.sum(F.col("Quantity_Sold") * F.col("Quantity_Sold")).alias("s_0")]
-    products += [F.sum(F.col("Quantity_Sold") * F.col(f"lag_{k}")).alias(f"s_{k}") for k in range(1, lags + 1)]
-    return _lagged(centred, lags).agg(F.count(F.lit(1)).alias("n"), *products)
+def series_of(totals: DataFrame, kinds: Sequence[str], statistic: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+    """The rows of ``statistic`` for each kind of series, levels or differences, from one pass over the totals.
 
+    All lag products of a series come from the one list of its values, as long as the calendar.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for values in frame["q"]:
+                found = {"levels": np.asarray(values, float)}
+                found["differences"] = np.diff(found["levels"])
+                for kind in kinds:
+                    yield pd.DataFrame(statistic(found[kind])).assign(series=kind)
+
+    listed = totals.agg(F.array_sort(F.collect_list(F.struct("Date", "Quantity_Sold"))).alias("s"))
+    return listed.select(F.transform("s", lambda x: x["Quantity_Sold"].cast("double")).alias("q")).mapInPandas(run, f"{schema}, series string")
+
+
+def lag_products(values: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of the products of the deviations with those 0, 1, ... ``lags`` places before."""
+    r = values - values.mean() if len(values) else values
+    return np.array([r[k:] @ r[:len(r) - k] if k < len(r) else 0.0 for k in range(lags + 1)])
 
-def acf(totals: DataFrame, lags: int = 30) -> DataFrame:
+
+BOTH = ("levels", "differences")
+
+
+def acf(totals: DataFrame, lags: int = 30, kinds: Sequence[str] = BOTH) -> DataFrame:
     """Autocorrelation function: lagged products over the total sum of squares."""
-    sums = _autocovariance_sums(totals, lags)
-    ratios = sums.select(*[safe_ratio(F.col(f"s_{k}"), F.col("s_0")).alias(f"r_{k}") for k in range(lags + 1)])
-    return _stacked(ratios, [f"r_{k}" for k in range(lags + 1)], "lag", "acf")
-
-
-def _durbin_levinson(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial autocorrelations from the autocorrelations of one row."""
-    for frame in frames:
-        for rho in frame["r"]:
-            partial, weights = [1.0], np.zeros(0)
-            for k in range(1, len(rho)):
-                past = np.asarray(rho[1:k], dtype=float)
-                top = rho[k] - weights @ past[::-1]
-                bottom = 1.0 - weights @ past
-                step = top / bottom
-                weights = np.append(weights - step * weights[::-1], step)
-                partial.append(step)
-            yield pd.DataFrame({"lag": range(len(partial)), "pacf": partial})
-
-
-def pacf(totals: DataFrame, lags: int = 30) -> DataFrame:
-    """Partial autocorrelation from the 31 numbers of the adjusted autocorrelation."""
-    sums = _autocovariance_sums(totals, lags)
-    adjusted = [
-        safe_ratio(F.col(f"s_{k}") / (F.col("n") - k), F.col("s_0") / F.col("n")) for k in range(lags + 1)
-    ]
-    return sums.select(F.array(*adjusted).alias("r")).mapInPandas(_durbin_levinson, "lag int, pacf double")
+    def one(values: np.ndarray) -> dict:
+        sums = lag_products(values, lags)
+        return {"lag": range(lags + 1), "acf": sums / sums[0] if sums[0] else [None] * (lags + 1)}
+
+    return series_of(totals, kinds, one, "lag int, acf double")
+
+
+def durbin_levinson(rho: np.ndarray) -> list[float]:
+    """Partial autocorrelations from autocorrelations, both from lag 0."""
+    partial, weights = [1.0], np.zeros(0)
+    for k in range(1, len(rho)):
+        past = rho[1:k]
+        step = (rho[k] - weights @ past[::-1]) / (1.0 - weights @ past)
+        weights = np.append(weights - step * weights[::-1], step)
+        partial.append(step)
+    return partial
+
+
+def pacf(totals: DataFrame, lags: int = 30, kinds: Sequence[str] = BOTH) -> DataFrame:
+    """Partial autocorrelation from the adjusted autocorrelation, by Durbin and Levinson's recursion."""
+    def one(values: np.ndarray) -> dict:
+        n = len(values)
+        most = min(lags, n - 1)
+        sums = lag_products(values, most)
+        found = durbin_levinson(sums / (n - np.arange(most + 1)) / (sums[0] / n)) if most >= 0 and sums[0] else [None] * (most + 1)
+        return {"lag": range(most + 1), "pacf": found}
+
+    return series_of(totals, kinds, one, "lag int, pacf double")
 
 
 def linear_trend(totals: DataFrame) -> DataFrame:
     """Least-squares line through the totals by day number.
 
-    The p-value is the two-sided normal tail of the slope's t statistic.
+    The p-value is the two-sided tail of the slope's t statistic under Student's distribution.
     """
     y, x = F.col("Quantity_Sold"), F.col("i").cast("double")
     fitted = numbered(totals).agg(
@@ -140,19 +158,49 @@ def linear_trend(totals: DataFrame) -> DataFrame:
     return fitted.withColumns({
         "t_statistic": F.signum("slope") * t,
         "direction": F.when(F.col("slope") > 0, "Increasing").when(F.col("slope") < 0, "Decreasing").otherwise("Flat"),
-    }).withColumn("p_value", _two_sided_tail(F.abs("t_statistic")))
+    }).withColumn("p_value", student_tail(F.abs("t_statistic"), F.col("days") - 2))
+
+
+# Coefficients of Stirling's series of the logarithm of the gamma function.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+# Steps of the continued fraction, enough for double precision.
+FRACTION_STEPS = 60
+
 
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series 8 steps further up."""
+    up = x + F.lit(8.0)
+    series = (up - 0.5) * F.log(up) - up + F.lit(0.5 * math.log(2 * math.pi))
+    for k, c in enumerate(STIRLING):
+        series = series + F.lit(c) / F.pow(up, F.lit(2.0 * k + 1))
+    below = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda total, k: total + F.log(x + k))
+    return series - below
 
-def _two_sided_tail(z: Column) -> Column:
-    """2 * (1 - Phi(z)) by the classic five-term polynomial for the error function."""
-    # Coefficients of the polynomial, lowest power first.
-    coefficients = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    x = z / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = F.lit(0.0)
-    for c in reversed(coefficients):
-        poly = (poly + F.lit(c)) * t
-    return poly * F.exp(-x * x)
+
+def student_tail(t: Column, freedom: Column) -> Column:
+    """Two-sided tail of Student's distribution at ``t`` >= 0: the incomplete beta function of v/(v+t*t) at v/2 and 1/2.
+
+    Its continued fraction is evaluated from the inner end, on the side where it converges fast. NULL without a
+    degree of freedom or a statistic.
+    """
+    v = freedom.cast("double")
+
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        """The incomplete beta function over its front factor."""
+        def step(inner, k):
+            m = F.floor(k / 2).cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return 1 + F.when(k % 2 == 0, even).otherwise(odd) / inner
+
+        return 1 / (F.aggregate(F.sequence(F.lit(FRACTION_STEPS), F.lit(1)), F.lit(1.0), step) * a)
+
+    half, a = F.lit(0.5), v / 2
+    x = v / (v + t * t)
+    front = F.exp(_log_gamma(a + half) - _log_gamma(a) - F.lit(math.lgamma(0.5)) + a * F.log(x) + half * F.log(t * t / (v + t * t)))
+    near = x < (a + 1) / (a + 2.5)
+    tail = F.when(near, front * fraction(a, half, x)).otherwise(1 - front * fraction(half, a, 1 - x))
+    return F.when((v > 0) & t.isNotNull(), F.when(t == 0, F.lit(1.0)).when(F.isnan(t) | (x == 0), F.lit(0.0)).otherwise(tail))
 
 
 def seasonal_decompose(totals: DataFrame, period: int = 7) -> DataFrame:
@@ -186,35 +234,24 @@ def seasonal_decompose(totals: DataFrame, period: int = 7) -> DataFrame:
     )
 
 
-def kpss(totals: DataFrame) -> DataFrame:
-    """Level-stationarity statistic with the data-driven lag length, and its table p-value.
+def kpss(totals: DataFrame, kinds: Sequence[str] = BOTH) -> DataFrame:
+    """Level-stationarity statistic with the data-driven lag length, and its table p-value; NULL for a constant series."""
+    def one(values: np.ndarray) -> dict:
+        n = len(values)
+        wide = int(n ** (2.0 / 9.0))
+        first = lag_products(values, wide)
+        s0 = first[0] / n + 2.0 * first[1:].sum() / n if n else 0.0
+        s1 = 2.0 * (np.arange(1, wide + 1) * first[1:]).sum() / n if n else 0.0
+        gamma = 1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
+        lags = max(0, min(int(gamma * n ** (1.0 / 3.0)), n - 1))
+        sums = lag_products(values, lags)
+        long_run = (sums[0] + 2.0 * ((1.0 - np.arange(1, lags + 1) / (lags + 1.0)) * sums[1:]).sum()) / n if n else 0.0
+        walk = np.cumsum(values - values.mean()) if n else values
+        return {"statistic": [walk @ walk / n**2 / long_run if long_run else None], "lags": [lags]}
 
-    Two one-row lookups (row count, then lag products) fix the number of lag columns of the last
-    pass.
-    """
-    n = totals.count()
-    wide = int(n ** (2.0 / 9.0))
-    first = _autocovariance_sums(totals, wide).first()
-    s0 = first["s_0"] / n + sum(first[f"s_{k}"] / (n / 2.0) for k in range(1, wide + 1))
-    s1 = sum(k * first[f"s_{k}"] / (n / 2.0) for k in range(1, wide + 1))
-    gamma = 1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
-    lags = min(int(gamma * n ** (1.0 / 3.0)), n - 1)
-    sums = _autocovariance_sums(totals, lags)
-    variance = F.col("s_0")
-    for k in range(1, lags + 1):
-        variance = variance + F.lit(2.0 * (1.0 - k / (lags + 1.0))) * F.col(f"s_{k}")
-    long_run = sums.select((variance / F.col("n")).alias("v")).scalar()
-    mean = totals.agg(F.avg("Quantity_Sold")).scalar()
-    partial = totals.withColumn("d", F.col("Quantity_Sold") - mean).withColumn(
-        "s", F.sum("d").over(_by_date().rowsBetween(Window.unboundedPreceding, 0))
-    )
-    eta = F.sum(F.col("s") * F.col("s")) / (F.count(F.lit(1)) * F.count(F.lit(1)))
-    stat = partial.agg(eta.alias("eta")).select(
-        safe_ratio(F.col("eta"), long_run).alias("statistic"), F.lit(lags).alias("lags")
-    )
-    return stat.withColumn("p_value", _interpolated(F.col("statistic"), KPSS_CRITICAL)).withColumn(
-        "stationary", F.col("p_value") > 0.05
-    )
+    return series_of(totals, kinds, one, "statistic double, lags int").withColumn(
+        "p_value", _interpolated(F.col("statistic"), KPSS_CRITICAL)).withColumn("stationary", F.col("p_value") > 0.05).select(
+        "statistic", "lags", "p_value", "stationary", "series")
 
 
 def _interpolated(x: Column, table: tuple[tuple[float, float], ...]) -> Column:
@@ -226,64 +263,48 @@ def _interpolated(x: Column, table: tuple[tuple[float, float], ...]) -> Column:
     return F.when(x <= table[0][0], F.lit(table[0][1])).otherwise(value)
 
 
-def _partial_gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum of x xT over the rows of a partition, one output row per cell."""
-    gram = None
-    for frame in frames:
-        block = frame.to_numpy(dtype=float)
-        gram = block.T @ block if gram is None else gram + block.T @ block
-    if gram is not None:
-        r, c = np.indices(gram.shape)
-        yield pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "v": gram.ravel()})
-
-
-def _gram(design: DataFrame) -> np.ndarray:
-    """The small cross-product matrix, summed over partitions."""
-    cells = design.mapInPandas(_partial_gram, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v"))
-    size = len(design.columns)
-    matrix = np.zeros((size, size))
-    for cell in cells.collect():
-        matrix[cell["r"], cell["c"]] = cell["v"]
-    return matrix
+def _unit_root_fit(values: np.ndarray, lags: int, skipped: int) -> tuple[float, float, int]:
+    """AIC, t statistic of the level and number of rows of the test's regression with ``lags`` past changes.
 
-
-def adf(totals: DataFrame) -> DataFrame:
-    """Unit-root statistic with a constant and its p-value; the lag length has the lowest AIC.
-
-    Spark builds the lag design and sums its cross products; the driver solves a system per lag
-    length, each with at most a few dozen unknowns.
+    The first ``skipped`` changes have too few before them.
     """
-    n = totals.count()
-    most = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
-    change = F.col("Quantity_Sold") - F.lag("Quantity_Sold", 1).over(_by_date())
-    base = totals.withColumn("y1", F.lag("Quantity_Sold", 1).over(_by_date())).withColumn("dy", change)
-
-    def design(lags: int) -> DataFrame:
-        wide = base.withColumns({f"d{k}": F.lag("dy", k).over(_by_date()) for k in range(1, lags + 1)})
-        last = f"d{lags}" if lags else "dy"
-        return wide.where(F.col(last).isNotNull()).select(
-            "dy", F.lit(1.0).alias("one"), "y1", *[f"d{k}" for k in range(1, lags + 1)]
-        )
-
-    def fit(gram: np.ndarray, lags: int) -> tuple[float, float, float]:
-        use = list(range(1, 3 + lags))
-        xx, xy = gram[np.ix_(use, use)], gram[use, 0]
-        inverse = np.linalg.inv(xx)
-        beta = inverse @ xy
-        rss, rows = gram[0, 0] - beta @ xy, gram[1, 1]
-        aic = rows * (math.log(2 * math.pi) + math.log(rss / rows) + 1) + 2 * len(use)
-        error = math.sqrt(rss / (rows - len(use)) * inverse[1, 1])
-        return aic, beta[1] / error, rows
-
-    common = _gram(design(most))
-    best = min(range(most + 1), key=lambda k: fit(common, k)[0])
-    _, statistic, rows = fit(_gram(design(best)), best)
-    return totals.agg(F.count(F.lit(1)).alias("days")).select(
-        F.lit(float(statistic)).alias("statistic"), F.lit(best).alias("lags"), F.lit(int(rows)).alias("rows"),
-        *[F.lit(v).alias(f"critical_{k[:-1]}") for k, v in ADF_CRITICAL.items()],
-        F.lit(unit_root_p_value(float(statistic))).alias("p_value"),
-        F.lit(unit_root_p_value(float(statistic)) < 0.05).alias("stationary"),
-    )
+    change = np.diff(values)
+    y = change[skipped:]
+    x = np.column_stack([np.ones(len(y)), values[skipped:-1], *[change[skipped - k:len(change) - k] for k in range(1, lags + 1)]])
+    # The columns on one scale, which leaves the statistic as it is.
+    scale = np.sqrt((x * x).sum(axis=0))
+    scale[scale == 0] = 1.0
+    x = x / scale
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ (x.T @ y)
+    rest = y - x @ beta
+    rss, rows = rest @ rest, len(y)
+    aic = rows * (math.log(2 * math.pi) + math.log(rss / rows) + 1) + 2 * x.shape[1]
+    return aic, beta[1] / math.sqrt(rss / (rows - x.shape[1]) * inverse[1, 1]), rows
+
+
+def adf(totals: DataFrame, kinds: Sequence[str] = BOTH) -> DataFrame:
+    """Unit-root statistic with a constant and its p-value; the lag length has the lowest AIC over common rows.
+
+    NULL for a series too short or too regular for the regression.
+    """
+    def one(values: np.ndarray) -> dict:
+        n = len(values)
+        most = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
+        try:
+            best = min(range(most + 1), key=lambda k: _unit_root_fit(values, k, most)[0])
+            _, statistic, rows = _unit_root_fit(values, best, best)
+            p_value = unit_root_p_value(float(statistic))
+            found = float(statistic), best, rows, p_value, p_value < 0.05
+        except (ValueError, np.linalg.LinAlgError):
+            found = None, None, None, None, None
+        names = ("statistic", "lags", "rows", "p_value", "stationary")
+        return {k: [v] for k, v in zip(names, found)} | {f"critical_{k[:-1]}": [v] for k, v in ADF_CRITICAL.items()}
+
+    critical = [f"critical_{k[:-1]}" for k in ADF_CRITICAL]
+    return series_of(
+        totals, kinds, one, "statistic double, lags int, rows int, p_value double, stationary boolean, " + ", ".join(f"{c} double" for c in critical)
+    ).select("statistic", "lags", "rows", *critical, "p_value", "stationary", "series")
 
 
 def outliers(totals: DataFrame, z_limit: float = 3.0, iqr_times: float = 1.5) -> DataFrame:
