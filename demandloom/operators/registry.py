@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.text import items_of_json_text
+from demandloom.session import materialise
 
 RUN_METRICS = (
     "r2", "wmape", "mae", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct",
@@ -16,17 +18,24 @@ RUN_METRICS = (
 
 @dataclass(frozen=True)
 class RunTables:
-    """The registry and its child tables."""
+    """The registry and its child tables.
+
+    ``item_models`` (model_run_id, item_name) has the items with a model of their own; registries without it carry
+    them as JSON text in the run's row.
+    """
 
     runs: DataFrame
     class_metrics: DataFrame
     top_items: DataFrame
     forecasts: DataFrame
+    item_models: DataFrame | None = None
 
     def children(self) -> dict[str, DataFrame]:
-        return {
+        found = {
             "class_metrics": self.class_metrics, "top_items": self.top_items, "forecasts": self.forecasts,
+            "item_models": self.item_models,
         }
+        return {name: child for name, child in found.items() if child is not None}
 
 
 def latest_active_run(runs: DataFrame, family: str | None = None) -> DataFrame:
@@ -37,10 +46,16 @@ def latest_active_run(runs: DataFrame, family: str | None = None) -> DataFrame:
     return active.orderBy(F.desc("trained_at"), F.desc("id")).limit(1)
 
 
-def items_of_run(runs: DataFrame, family: str | None = None) -> DataFrame:
-    """item (lower case): what the latest active run stored as its items with models; no rows without a run or a list."""
-    stored = latest_active_run(runs, family).select(items_of_json_text(F.col("items_with_models")).alias("items"))
-    return stored.select(F.explode("items").alias("item"))
+def items_of_run(tables: RunTables, family: str | None = None) -> DataFrame:
+    """item (lower case): the latest active run's items with models, from its rows and its text; none without a run or a list."""
+    run = materialise(latest_active_run(tables.runs, family))
+    found = []
+    if "items_with_models" in run.columns:
+        found.append(run.select(F.explode(items_of_json_text(F.col("items_with_models"))).alias("item")))
+    if tables.item_models is not None:
+        rows = tables.item_models.join(run.select(F.col("id").alias("model_run_id")), "model_run_id", "left_semi")
+        found.append(rows.select(F.lower(F.trim("item_name")).alias("item")).where("item <> ''"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def run_metrics(runs: DataFrame, family: str | None = None) -> DataFrame:
@@ -112,12 +127,14 @@ def resolve_items(forecast: DataFrame, items: DataFrame, model_run_id: int, quan
 
 
 def record_run(
-    tables: RunTables, run: DataFrame, class_metrics: DataFrame, top_items: DataFrame, forecasts: DataFrame
+    tables: RunTables, run: DataFrame, class_metrics: DataFrame, top_items: DataFrame, forecasts: DataFrame,
+    item_models: DataFrame | None = None,
 ) -> RunTables:
     """Registry after a retrain: earlier runs of the same family go inactive, the new rows join.
 
     ``run`` is one row with its id; the children carry ``model_run_id``.
     """
+    listed = [x for x in (tables.item_models, item_models) if x is not None]
     family = run.agg(F.max("model_type")).scalar()
     retired = tables.runs.withColumn(
         "is_active", F.when(F.col("model_type") == family, F.lit(False)).otherwise(F.col("is_active"))
@@ -127,6 +144,7 @@ def record_run(
         class_metrics=tables.class_metrics.unionByName(class_metrics, allowMissingColumns=True),
         top_items=tables.top_items.unionByName(top_items, allowMissingColumns=True),
         forecasts=tables.forecasts.unionByName(forecasts, allowMissingColumns=True),
+        item_models=reduce(DataFrame.unionByName, listed) if listed else None,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from demandloom.functions import text
@@ -226,10 +228,9 @@ SELECT {_TEXT.replace('{0}', 'a')} AS antecedents, {_TEXT.replace('{0}', '[b]')}
 def rules_for_model(spark, sf):
     """Top rules whose consequent is among the items of the latest active forest run."""
     tables = views.run_tables(spark, sf)
-    # A run stores its item list as JSON text; the given runs' lists are their accurate items.
-    lists = tables.top_items.where(F.col("accuracy_pct") >= 95).groupBy(F.col("model_run_id").alias("id")).agg(
-        F.to_json(F.collect_list("item_name")).alias("items_with_models"))
-    items = items_of_run(tables.runs.join(lists, "id", "left"), "forest")
+    # A run's items with models are rows of their own; the given runs' are their accurate items.
+    own = tables.top_items.where(F.col("accuracy_pct") >= 95).select("model_run_id", "item_name")
+    items = items_of_run(replace(tables, item_models=own), "forest")
     written = rules.as_rule_text(_item_rules(spark, sf))
     plain = written.withColumns({c: text.single_item_of_set_text(F.col(c)) for c in ("antecedents", "consequents")})
     found = rules.rules_for_items(plain, items, 0.05, 0.5)

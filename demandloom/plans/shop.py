@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from demandloom.functions.dates import TradingCalendar
 from demandloom.operators import aggregates, bom, cleaning, features, metrics, registry, series
 from demandloom.operators.registry import RunTables
 from demandloom.session import materialise
-from demandloom.sources.files import read_version, write_table, write_version
+from demandloom.sources.files import is_there, read_version, write_table, write_version
 
 
 def clean_receipts(spark: SparkSession, paths: Sequence[str], menu: DataFrame, remove_discontinued: bool = True) -> DataFrame:
@@ -101,7 +100,6 @@ def retrain(
         "volume_accuracy", "median_period_accuracy", "periods_within_20pct", "periods_within_50pct",
         F.to_json(F.array(*map(F.lit, bundle.columns))).alias("features"),
         F.to_json(F.struct(F.lit(max_items).cast("int").alias("max_items"))).alias("params"),
-        F.lit(json.dumps(bundle.items)).alias("items_with_models"),
         F.lit(True).alias("is_active"),
     )
     classes = analysis["class_metrics"].select(
@@ -112,7 +110,9 @@ def retrain(
         F.col("Quantity_Sold").alias("quantity_sold"), F.col("Predicted").alias("predicted"), "accuracy_pct")
     stored = registry.resolve_items(forecast, items, run_id)
     # The run's own rows are computed once, whatever is read from the registry later.
-    return registry.record_run(tables, materialise(run), materialise(classes), materialise(top), materialise(stored))
+    own_items = bundle.item_models.select(F.lit(run_id).alias("model_run_id"), F.col("Item").alias("item_name"))
+    return registry.record_run(
+        tables, materialise(run), materialise(classes), materialise(top), materialise(stored), materialise(own_items))
 
 
 def write_run_tables(tables: RunTables, folder: str) -> dict[str, str]:
@@ -124,12 +124,13 @@ def write_run_tables(tables: RunTables, folder: str) -> dict[str, str]:
     """
     spark = tables.runs.sparkSession
     stored = read_version(spark, f"{folder}/runs")
-    ids = tables.runs.select("id")
-    fresh = [r["id"] for r in (ids if stored is None else ids.join(stored.select("id"), "id", "left_anti")).collect()]
+    ids = tables.runs.select(F.col("id").alias("model_run_id"))
+    # Written out first: the stored registry is replaced below.
+    fresh = materialise(ids if stored is None else ids.join(stored.select(F.col("id").alias("model_run_id")), "model_run_id", "left_anti"))
     written = {}
     for name, child in tables.children().items():
         written[name] = f"{folder}/{name}"
-        child.where(F.col("model_run_id").isin(fresh)).write.mode("overwrite").option(
+        child.join(fresh, "model_run_id", "left_semi").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("model_run_id").parquet(written[name])
     return written | {"runs": write_version(tables.runs, f"{folder}/runs")}
 
@@ -137,7 +138,7 @@ def write_run_tables(tables: RunTables, folder: str) -> dict[str, str]:
 def read_run_tables(spark: SparkSession, folder: str) -> RunTables:
     """The stored registry; empty tables where nothing is stored."""
     def child(name: str, schema: StructType) -> DataFrame:
-        if runs is None:
+        if runs is None or not is_there(spark, f"{folder}/{name}"):
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
 
@@ -145,4 +146,4 @@ def read_run_tables(spark: SparkSession, folder: str) -> RunTables:
     return RunTables(
         runs=spark.createDataFrame([], schemas.MODEL_RUNS) if runs is None else runs,
         class_metrics=child("class_metrics", schemas.RUN_CLASS_METRICS), top_items=child("top_items", schemas.RUN_TOP_ITEMS),
-        forecasts=child("forecasts", schemas.FORECASTS))
+        forecasts=child("forecasts", schemas.FORECASTS), item_models=child("item_models", schemas.RUN_ITEM_MODELS))

@@ -95,4 +95,5 @@ RUN_CLASS_METRICS = _table(
     median_period_accuracy=_D)
 RUN_TOP_ITEMS = _table(
     model_run_id=_I, item_name=_S, quantity_sold=_D, predicted=_D, accuracy_pct=_D)
+RUN_ITEM_MODELS = _table(model_run_id=_I, item_name=_S)
 FORECASTS = _table(model_run_id=_I, item_id=_L, date=DateType(), quantity_predicted=_D)

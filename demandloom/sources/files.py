@@ -116,10 +116,20 @@ def read_item_demand(df: DataFrame) -> DataFrame:
     )
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions under a folder, in any file system."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, files = _place(spark, path)
     if not files.exists(place):
         return []
     children = [status.getPath() for status in files.listStatus(place)]

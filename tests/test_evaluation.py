@@ -1,5 +1,7 @@
 """Metrics, ABC classes, registry and paging."""
 
+from dataclasses import replace
+
 import datetime as dt
 
 import numpy as np
@@ -98,9 +100,15 @@ def test_latest_run_and_metrics(spark):
 
 
 def test_items_of_the_latest_run(spark):
-    runs = run_tables(spark).runs.withColumn("items_with_models", F.when(F.col("id") == 1, '["Latte Hot", " X "]').when(F.col("id") == 3, "no list"))
-    assert rows(registry.items_of_run(runs, "boosted"), "item") == [("latte hot",), ("x",)]
-    assert registry.items_of_run(runs, "forest").isEmpty() and registry.items_of_run(runs, "none").isEmpty()
+    tables = run_tables(spark)
+    assert registry.items_of_run(replace(tables, item_models=spark.createDataFrame([(1, "A"), (1, "a "), (9, "b")], "model_run_id int, item_name string")), "boosted").collect() == [("a",)]
+    runs = tables.runs.withColumn("items_with_models", F.when(F.col("id") == 1, '["Latte Hot", " X "]').when(F.col("id") == 3, "no list"))
+    texts = replace(tables, runs=runs)
+    assert rows(registry.items_of_run(texts, "boosted"), "item") == [("latte hot",), ("x",)]
+    assert registry.items_of_run(texts, "forest").isEmpty() and registry.items_of_run(texts, "none").isEmpty()
+    # Rows of the run's own join its text.
+    own = spark.createDataFrame([(1, "Tea "), (3, "none"), (1, "x")], "model_run_id int, item_name string")
+    assert rows(registry.items_of_run(replace(texts, item_models=own), "boosted"), "item") == [("latte hot",), ("tea",), ("x",)]
 
 
 def test_summary_falls_back_to_volume_accuracy(spark):

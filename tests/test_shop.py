@@ -1,7 +1,7 @@
 """The recurring jobs end to end on a small shop."""
 
 import datetime as dt
-import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -66,7 +66,7 @@ def test_retrain_records_a_run(spark, tmp_path, family, monkeypatch):
         shop.retrain(demand, items, tables, "unknown")
     # The usual cycle: read what is stored, retrain, save to the same place.
     read = shop.read_run_tables(spark, str(tmp_path))
-    assert json.loads(registry.latest_active_run(read.runs, family).first()["items_with_models"]) == ["a", "b"]
+    assert rows(registry.items_of_run(read, family), "item") == [("a",), ("b",)]
     again = shop.retrain(demand, items, read, family, weeks=2, max_items=2, settings=PooledSettings(rounds=3))
     for _ in range(2):  # a save that is repeated changes nothing
         shop.write_run_tables(again, str(tmp_path))
@@ -74,6 +74,10 @@ def test_retrain_records_a_run(spark, tmp_path, family, monkeypatch):
         assert rows(read.runs.select("id", "is_active"), "id") == [(4, False), (5, True), (6, False), (7, True)]
         assert rows(read.forecasts.groupBy("model_run_id").count(), "model_run_id") == [(6, 8), (7, 4)]
         assert {r["model_run_id"] for r in read.class_metrics.collect()} == {6, 7}
+        assert rows(read.item_models, "model_run_id", "item_name") == [(6, "a"), (6, "b"), (7, "a"), (7, "b")]
+    # A registry stored before runs had such rows is read without them.
+    shop.write_run_tables(replace(again, item_models=None), str(tmp_path / "older"))
+    assert shop.read_run_tables(spark, str(tmp_path / "older")).item_models.isEmpty()
 
 
 def test_summary_files(spark, tmp_path):
