@@ -3,48 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
-    GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
+    GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression, RandomForestRegressionModel,
+    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.session import materialise
+from demandloom.forecast import boosting, trees
+from demandloom.forecast.trees import Trees
 
 
 @dataclass(frozen=True)
 class PooledSettings:
     """Sizes of the pooled learners.
 
-    ``rounds`` are the most that boosting takes; it ends at the best validation error.
+    ``rounds`` are the most trees that boosting takes; it ends at the best validation error.
     """
 
     rounds: int = 300
+    # Trees that one round of boosting fits side by side.
+    parallel: int = 15
     step: float = 0.015
     boosted_depth: int = 3
     boosted_min_rows: int = 15
     sample: float = 0.6
+    # Penalties of a boosted leaf: a sum of gradients below the first counts nothing, the second shrinks the step.
+    l1: float = 5.0
+    l2: float = 10.0
     trees: int = 300
     forest_depth: int = 4
     forest_min_rows: int = 5
     validation_share: float = 0.15
-    # Rounds without a better validation error that end boosting.
+    # Trees without a better validation error that end boosting.
     patience: int = 15
     seed: int = 42
 
 
 def _learner(kind: str, settings: PooledSettings):
     common = {"featuresCol": "features", "labelCol": "Quantity_Sold", "predictionCol": "pooled_pred"}
-    if kind == "boosted":
-        return GBTRegressor(
-            **common, maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.boosted_depth,
-            minInstancesPerNode=settings.boosted_min_rows, subsamplingRate=settings.sample,
-            featureSubsetStrategy=str(settings.sample), seed=settings.seed,
-        )
     if kind == "forest":
         return RandomForestRegressor(
             **common, numTrees=settings.trees, maxDepth=settings.forest_depth,
@@ -65,48 +67,39 @@ def mark_validation(train: DataFrame, share: float) -> DataFrame:
     return train.withColumn("is_val", place > F.count(F.lit(1)).over(item) * F.lit(1.0 - share))
 
 
-def fit_pooled(train: DataFrame, columns: Sequence[str], kind: str, settings: PooledSettings) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    if kind != "boosted":
-        return Pipeline(stages=[assembler, _learner(kind, settings)]).fit(train)
-    marked = mark_validation(assembler.transform(train).select("Item", "Date", "features", "Quantity_Sold"), settings.validation_share)
-    marked = materialise(marked.select("features", "Quantity_Sold", "is_val"))
-    return PipelineModel([assembler, _boosted(marked.where(~F.col("is_val")), marked.where("is_val"), settings)])
+@dataclass(frozen=True)
+class Linear:
+    """A linear model as numbers; with ``log_link`` its exponential."""
+
+    intercept: float
+    coefficients: np.ndarray
+    log_link: bool = False
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        raw = self.intercept + x @ self.coefficients
+        return np.exp(raw) if self.log_link else raw
 
-def best_round(errors: Sequence[float], patience: int) -> int | None:
-    """The round (from 1) after which ``patience`` rounds brought no lower error; None while still open."""
-    best = 0
-    for at, error in enumerate(errors):
-        if error < errors[best]:
-            best = at
-        elif at - best >= patience:
-            return best + 1
-    return None
 
+def fit_pooled(train: DataFrame, columns: Sequence[str], kind: str, settings: PooledSettings) -> PipelineModel | Trees:
+    if kind == "boosted":
+        return boosting.fit(mark_validation(train, settings.validation_share), columns, settings)
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
+    return Pipeline(stages=[assembler, _learner(kind, settings)]).fit(train)
 
-def _boosted(core: DataFrame, held: DataFrame, settings: PooledSettings):
-    """The boosted trees up to the best round on the held rows.
 
-    A learner's first trees don't depend on how many follow, so a short fit that shows the best round is
-    enough; where it is still improving, the next one takes all rounds.
-    """
-    rounds = min(settings.rounds, 4 * settings.patience)
-    empty = held.isEmpty()
-    while True:
-        model = _learner("boosted", replace(settings, rounds=rounds)).fit(core)
-        if empty:
-            best = settings.rounds
-        else:
-            errors = model.evaluateEachIteration(held, "squared")
-            best = best_round(errors, settings.patience)
-            if best is None and rounds >= settings.rounds:
-                best = min(range(len(errors)), key=errors.__getitem__) + 1
-        if best is not None:
-            return model if best == rounds else _learner("boosted", replace(settings, rounds=best)).fit(core)
-        rounds = settings.rounds
-
-
-def score_pooled(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def as_numbers(model: PipelineModel | Trees | Linear, columns: Sequence[str]) -> Trees | Linear:
+    """The model as arrays that a task can hold."""
+    if not isinstance(model, PipelineModel):
+        return model
+    fitted = model.stages[-1]
+    if isinstance(fitted, RandomForestRegressionModel):
+        feature, threshold, value = trees.parsed(fitted.toDebugString, fitted.getMaxDepth())
+        return Trees(tuple(columns), feature, threshold, value / len(value))
+    return Linear(float(fitted.intercept), np.asarray(fitted.coefficients.toArray()), isinstance(fitted, GeneralizedLinearRegressionModel))
+
+
+def score_pooled(model: PipelineModel | Trees, rows: DataFrame) -> DataFrame:
     """Rows with ``pooled_pred``."""
+    if isinstance(model, Trees):
+        return trees.score(rows, model)
     return model.transform(rows).drop("features")

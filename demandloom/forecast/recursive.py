@@ -1,122 +1,106 @@
-"""Daily forecasts that feed on themselves: each day's lags see the days forecast before it."""
+"""Forecasts that feed on themselves: each period's features see the periods forecast before it."""
 
 from __future__ import annotations
 
 import datetime as dt
-import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.forecast.perseries import RIDGE, ridge
+from demandloom.forecast import perseries, pooled
+from demandloom.forecast.state import SeriesState, StatePlan, is_window
 from demandloom.functions.dates import TradingCalendar
-from demandloom.session import spread
+from demandloom.operators import features as feats
+from demandloom.operators.series import future_dates, item_codes, step_days
+from demandloom.session import materialise, spread
 
-REACH = 14
+# Fewest days for a daily model of an item's own.
 MIN_ROWS = 30
+# Of the features of the exploratory daily frame, those that no forecast uses.
+UNUSED = ("Item", "Date", "Quantity_Sold")
 
 
-def _calendar_part(days: pd.DatetimeIndex, special: dict[str, frozenset]) -> np.ndarray:
-    """One row of date features per day."""
-    angle = 2 * math.pi * days.dayofyear.to_numpy() / 365.25
-    weekday, month_day, plain = days.weekday.to_numpy(), days.day.to_numpy(), days.date
-    late = month_day >= 25
-    return np.column_stack([
-        np.sin(angle), np.cos(angle), weekday[:, None] == np.arange(6),
-        [d in special["holiday"] for d in plain], [d in special["near"] for d in plain],
-        (month_day <= 7) | late, (weekday >= 4) & late,
-    ]).astype(float)
-
-
-def _history_part(windows: np.ndarray) -> np.ndarray:
-    """Lags, means, spread and weekly change from rows of the ``REACH`` quantities before a day."""
-    week = windows[:, -7:]
-    return np.column_stack([
-        windows[:, -1], windows[:, -7], windows[:, -14], week.mean(axis=1), windows.mean(axis=1),
-        week.std(axis=1), windows[:, -1] - windows[:, -8],
-    ])
-
-
-def _design(frame: pd.DataFrame, special) -> tuple[np.ndarray, np.ndarray]:
-    """Features and targets of every day that has ``REACH`` days before it."""
-    y = frame["Quantity_Sold"].to_numpy(dtype=float)
-    if len(y) <= REACH:
-        return np.zeros((0, 0)), np.zeros(0)
-    windows = np.lib.stride_tricks.sliding_window_view(y, REACH)[:-1]
-    days = pd.DatetimeIndex(pd.to_datetime(frame["Date"].iloc[REACH:]))
-    return np.column_stack([_history_part(windows), _calendar_part(days, special)]), y[REACH:]
-
-
-def _special(calendar: TradingCalendar) -> dict[str, frozenset]:
-    return {
-        "holiday": frozenset(dt.date.fromisoformat(d) for d in calendar.holidays),
-        "near": frozenset(calendar.near_holidays()),
-    }
-
-
-def pooled_coefficients(series: DataFrame, calendar: TradingCalendar) -> np.ndarray:
-    """Intercept and coefficients over all items, from cross products summed by Spark."""
-    special = _special(calendar)
-
-    def products(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = _design(frame.sort_values("Date"), special)
-        if not len(y):
-            return pd.DataFrame({"r": [], "c": [], "v": []})
-        full = np.column_stack([np.ones(len(y)), x, y])
-        gram = full.T @ full
-        r, c = np.indices(gram.shape)
-        return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "v": gram.ravel()})
-
-    cells = (
-        spread(series, "Item").groupBy("Item").applyInPandas(products, "r int, c int, v double")
-        .groupBy("r", "c").agg(F.sum("v").alias("v")).collect()
-    )
-    size = max((cell["r"] for cell in cells), default=-1) + 1
-    if size == 0:
-        return np.zeros(1)
-    gram = np.zeros((size, size))
-    for cell in cells:
-        gram[cell["r"], cell["c"]] = cell["v"]
-    weight = np.diag([0.0] + [RIDGE] * (size - 2))
-    return np.linalg.lstsq(gram[:-1, :-1] + weight, gram[:-1, -1], rcond=None)[0]
-
-
-def recursive_forecast(series: DataFrame, days: int = 90, calendar: TradingCalendar = TradingCalendar()) -> DataFrame:
+def walk(series: DataFrame, facts: DataFrame, periods: int, frequency: str, columns: Sequence[str], calendar: TradingCalendar,
+         plan: StatePlan, responder: Callable, fill_idle: bool = False) -> DataFrame:
+    """Item, Date, Raw_Pred, Predicted for the ``periods`` after the last date of the whole history.
+
+    ``facts`` has a row per item with Item_Code and whatever else ``responder(facts, values)`` wants; that returns, per
+    item, a function from a period's one-row features and date to the raw and the final forecast. An item's history is
+    its rows in the order of their dates, filled with zeros up to the common end with ``fill_idle``.
+    """
+    fixed = [c for c in columns if c != "Item_Code" and not is_window(c)]
+    # One row per period of the horizon.
+    known = feats.add_calendar(future_dates(series, periods, frequency), calendar, extended=True, history=series).select(
+        "Date", *fixed).orderBy("Date").toPandas()
+    dates = [d if isinstance(d, dt.date) else d.date() for d in known["Date"]]
+    table = known[fixed].to_numpy(float)
+    names = list(columns)
+    at_fixed, at_window = ([names.index(c) for c in group] for group in (fixed, plan.names))
+    at_code = names.index("Item_Code") if "Item_Code" in names else None
+    days = step_days(frequency)
+
+    def forecast(mine: pd.DataFrame, fact: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(fact):
+            return pd.DataFrame(columns=["Item", "Date", "Raw_Pred", "Predicted"])
+        mine = mine.sort_values("Date")
+        item, values = mine["Item"].iloc[0], mine["Quantity_Sold"].to_numpy(float)
+        row = fact.iloc[0].to_dict()
+        state = SeriesState(plan, item, mine["Date"], values)
+        if fill_idle:
+            day = mine["Date"].iloc[-1] + dt.timedelta(days=days)
+            while day < dates[0]:
+                state.push(day, 0.0)
+                day += dt.timedelta(days=days)
+        respond = responder(row, values)
+        x, found = np.zeros((1, len(names))), []
+        for day, line in zip(dates, table):
+            x[0, at_fixed], x[0, at_window] = line, state.features(day)
+            if at_code is not None:
+                x[0, at_code] = row["Item_Code"]
+            raw, value = respond(x, day)
+            state.push(day, value)
+            found.append((item, day, raw, value))
+        return pd.DataFrame(found, columns=["Item", "Date", "Raw_Pred", "Predicted"])
+
+    # Under a name of its own, as facts may come from the same series.
+    history = spread(series.select(F.col("Item").alias("Item"), "Date", "Quantity_Sold"), "Item").groupBy("Item")
+    return history.cogroup(spread(facts, "Item").groupBy("Item")).applyInPandas(
+        forecast, "Item string, Date date, Raw_Pred double, Predicted double")
+
+
+def daily_frame(series: DataFrame, calendar: TradingCalendar, surge_item: str) -> DataFrame:
+    """The exploratory daily features, with differences as known before the day."""
+    frame = feats.exploratory_features(series, "daily", calendar, surge_item, clip=False)
+    return feats.known_before(frame)
+
+
+def recursive_forecast(series: DataFrame, days: int = 90, calendar: TradingCalendar = TradingCalendar(),
+                       surge_item: str = "Black Ice") -> DataFrame:
     """Item, Date, Predicted for the ``days`` after the last date of the whole history.
 
-    Items with enough history fit their own model, the others use the pooled one. Forecasts stay
-    between zero and twice the item's maximum and are whole units.
+    Items with enough history have a regression of their own on all features of the exploratory daily frame, the others
+    use the pooled one. Forecasts stay between zero and twice the item's maximum and are whole units.
     """
-    special = _special(calendar)
-    pooled = pooled_coefficients(series, calendar)
-    last = series.agg(F.max("Date")).scalar()
-
-    def forecast(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("Date")
-        y = frame["Quantity_Sold"].to_numpy(dtype=float)
-        x, target = _design(frame, special)
-        if len(frame) >= MIN_ROWS:
-            intercept, coef = ridge(x, target)
-        else:
-            intercept, coef = pooled[0], pooled[1:]
-        cap = 2.0 * y.max()
-        # Days between the item's own end and the common end had no sales.
-        end = frame["last"].iloc[0]
-        idle = (end - frame["Date"].iloc[-1]).days
-        past = np.concatenate([np.zeros(REACH), y, np.zeros(idle)])[-REACH:]
-        dates = pd.date_range(end + dt.timedelta(days=1), periods=days)
-        known = _calendar_part(dates, special)
-        found = []
-        for day, fixed in zip(dates.date, known):
-            value = intercept
-            if len(coef):
-                value += coef @ np.concatenate([_history_part(past[None, :])[0], fixed])
-            value = float(round(min(max(0.0, value), cap)))
-            past = np.append(past[1:], value)
-            found.append((frame["Item"].iloc[0], day, value))
-        return pd.DataFrame(found, columns=["Item", "Date", "Predicted"])
-
-    return spread(series.withColumn("last", last), "Item").groupBy("Item").applyInPandas(
-        forecast, "Item string, Date date, Predicted double")
+    frame = materialise(daily_frame(series, calendar, surge_item))
+    columns = [c for c in frame.columns if c not in UNUSED]
+    model = pooled.as_numbers(pooled.fit_pooled(frame, columns, "linear", pooled.PooledSettings()), columns)
+    own = perseries.fit_item_regressions(frame, columns, MIN_ROWS)
+    facts = item_codes(series).join(own, "Item", "left")
+
+    def responder(facts: dict, values: np.ndarray):
+        cap = 2.0 * values.max()
+
+        def respond(x: np.ndarray, day) -> tuple[float, float]:
+            if facts["coefficients"] is None:
+                raw = float(model.predict(x)[0])
+            else:
+                raw = float(facts["intercept"] + x[0] @ np.asarray(facts["coefficients"], float))
+            return raw, float(np.round(min(max(0.0, raw), cap)))
+
+        return respond
+
+    plan = StatePlan.of(columns, calendar.event_date, surge_item=surge_item)
+    return walk(series, facts, days, "daily", columns, calendar, plan, responder, fill_idle=True).select("Item", "Date", "Predicted")

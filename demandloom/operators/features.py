@@ -53,6 +53,17 @@ def feature_columns(frequency: str = "weekly") -> list[str]:
     ]
 
 
+# Features that look at the period's own quantity.
+LEAKING = ("Diff_1", "Diff_4", "Diff_7", "Accel_2")
+
+
+def known_before(frame: DataFrame) -> DataFrame:
+    """Differences as known before the period: the raw ones contain the target itself."""
+    return frame.withColumns({
+        name: F.coalesce(F.lag(name, 1).over(by_item()), F.lit(0.0)) for name in LEAKING if name in frame.columns
+    })
+
+
 def _q() -> Column:
     return F.col("Quantity_Sold")
 
@@ -138,18 +149,21 @@ def event_means(event_date: str) -> tuple[Column, Column]:
     )
 
 
-def surge_ratio(event_date: str, cap: float | None = None) -> Column:
+def surge_of(pre: Column, post: Column, cap: float | None = None) -> Column:
     """Post-event mean over pre-event mean plus one; 1 without post data, NULL without pre data."""
-    pre, post = event_means(event_date)
     ratio = post / (pre + 1)
     if cap is not None:
         ratio = F.when(ratio.isNotNull(), F.least(ratio, F.lit(float(cap))))
     return F.when(post.isNull(), F.lit(1.0)).otherwise(ratio)
 
 
-def decayed_surge(item: str, event_date: str, cap: float = 3.0, horizon_days: int = 140, floor: float = 0.3) -> Column:
+def surge_ratio(event_date: str, cap: float | None = None) -> Column:
+    """``surge_of`` an item's own means."""
+    return surge_of(*event_means(event_date), cap)
+
+
+def faded(item: str, event_date: str, pre: Column, post: Column, cap: float = 3.0, horizon_days: int = 140, floor: float = 0.3) -> Column:
     """Surge of one named item, fading linearly to a floor; 1 for every other row."""
-    pre, post = event_means(event_date)
     event = F.lit(event_date).cast("date")
     fade = F.greatest(
         F.lit(float(floor)), 1 - F.date_diff("Date", event) / F.lit(float(horizon_days))
@@ -160,6 +174,11 @@ def decayed_surge(item: str, event_date: str, cap: float = 3.0, horizon_days: in
     return F.when(active, F.least(post / (pre + 1), F.lit(float(cap))) * fade).otherwise(F.lit(1.0))
 
 
+def decayed_surge(item: str, event_date: str) -> Column:
+    """``faded`` by an item's own means."""
+    return faded(item, event_date, *event_means(event_date))
+
+
 def event_surge(series: DataFrame, event_date: str = DEFAULT_EVENT_DATE, cap: float | None = None) -> DataFrame:
     """Pre and post means and the surge ratio, one row per item."""
     event = F.lit(event_date).cast("date")

@@ -53,6 +53,19 @@ def item_series(demand: DataFrame, frequency: str = "weekly", exclude_prefix: st
     )
 
 
+def future_dates(series: DataFrame, periods: int, frequency: str = "weekly") -> DataFrame:
+    """The ``periods`` dates that follow the last date of the whole history; none without history.
+
+    Weekly dates are the Mondays after the last date.
+    """
+    days = step_days(frequency)
+    first = F.date_add("_last", days)
+    if frequency == "weekly":
+        first = week_label(first)
+    dates = F.sequence(first, F.date_add(first, days * (periods - 1)), F.expr(f"interval {days} days"))
+    return series.agg(F.max("Date").alias("_last")).select(F.explode(dates).alias("Date"))
+
+
 def future_grid(series: DataFrame, periods: int, frequency: str = "weekly") -> DataFrame:
     """Every item with the ``periods`` dates that follow the last date of the whole history.
 
