@@ -30,8 +30,8 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], at: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 bytes (null: empty), a few megabytes at a time.
+def text_steps(batches: Iterator[pa.RecordBatch], at: int | None = None, step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as UTF-8 bytes (null: empty), ``step`` bytes or one longer text at a time.
 
     The texts are column ``at``, or the one named text.
     """
@@ -40,7 +40,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], at: int | None = None) -> Iter
         start, size = 0, 0
         for i, length in enumerate(_lengths(column)):
             size += length
-            if size >= STEP_BYTES:
+            if size >= step:
                 yield batch.slice(start, i + 1 - start), _bytes(column.slice(start, i + 1 - start))
                 start, size = i + 1, 0
         if start < len(column):

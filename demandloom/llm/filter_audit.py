@@ -1,14 +1,15 @@
 """Filter interaction audit: what each filter of a chain removes, in every order of the filters.
 
-The words of all documents make a sparse document-term matrix. A step of a few megabytes of texts is a shard of it, in
-compressed rows (CSR): row pointers, columns, counts. A shard first numbers its own distinct words; these lists, far
-shorter than the texts, are merged into one dictionary of the whole table, whose numbers become the columns. Row
-sums and numbers of nonzero counts decide filters A and B; C and D are read from the characters; E asks for the
-smallest doc_id with the same text (equal SHA-256). Documents are then counted by part and set of failed filters, at
-most 32 rows a part, from which all 120 orders follow.
+The words of all documents make a sparse document-term matrix. A step of some megabytes of texts is a shard of it, in
+compressed rows (CSR): row pointers, columns, counts. A shard first numbers its own distinct words; these lists,
+shorter than the texts, are dealt out by word, where one dictionary of the whole table numbers them, and the numbers
+go back to the shards as columns. Row sums and numbers of nonzero counts decide filters A and B; C and D are read from
+the characters; E asks for the smallest doc_id with the same text (equal SHA-256). Documents are then counted by part
+and set of failed filters, at most 32 rows a part, from which all 120 orders follow.
 
-A shard is one row, of a few megabytes or of one longer text. A frequent word is one row for each shard; documents meet
-their copies by (text, doc_id), so that no group of copies is dealt to one task.
+A shard is one row, of some megabytes or of one longer text. A frequent word is one row for each shard, and words are
+numbered in sorted order without holding them; documents meet their copies by (text, doc_id), so that no group of
+copies is dealt to one task.
 
 Null text counts as empty, null source as the empty part. A row without doc_id has no smaller doc_id, so it never fails
 E, and carries no label. Repeated rows count each time; several labels of a doc_id count as good or toxic if one says
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import table, text_steps
-from demandloom.llm.words import Texts, byte_set, words
-from demandloom.operators.ranking import row_numbers
+from demandloom.llm.words import Texts, byte_set, joined, words
 from demandloom.session import materialise
 
 FILTERS = "ABCDE"
@@ -47,6 +49,13 @@ DOCUMENT_TYPE = pa.struct([
     ("digest", pa.binary())])
 
 
+# Bytes of text in a shard: longer shards repeat fewer words in their lists.
+SHARD_BYTES = 8 << 20
+# Rows that a task of the dictionary holds before it sends their numbers to the shards.
+HELD = 1 << 20
+SHARD_FIELDS = f"documents {DOCUMENT}, pointers binary, columns binary, counts binary"
+
+
 def _packed(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
@@ -56,42 +65,103 @@ def _unpacked(values: bytes, kind: type) -> np.ndarray:
 
 
 def local_shards(docs: DataFrame) -> DataFrame:
-    """shard, documents, pointers, columns, counts, words: shards whose columns number their own list of words.
+    """shard, documents, pointers, columns, counts, sizes, letters: shards whose columns number their own list of words.
 
-    ``docs`` has doc_id, part and text. The arrays are compressed bytes: pointers 64-bit, columns and counts 32-bit.
+    ``docs`` has doc_id, part and text. The arrays are compressed bytes: pointers 64-bit, columns and counts 32-bit; the
+    list of words is their sizes, 32-bit, and all their bytes.
     """
-    kinds = pa.schema([
-        ("documents", pa.list_(DOCUMENT_TYPE)), ("pointers", pa.binary()), ("columns", pa.binary()), ("counts", pa.binary()),
-        ("words", pa.list_(pa.binary()))])
+    kinds = pa.schema([("documents", pa.list_(DOCUMENT_TYPE)), *((x, pa.binary()) for x in ("pointers", "columns", "counts", "sizes", "letters"))])
 
     def shard(batch: pa.RecordBatch, bodies: list[bytes]) -> tuple:
         texts = Texts.of(bodies)
         found = words(texts)
-        n = len(found.values)
+        n = max(1, len(found.values))
         keys, counts = np.unique(found.text * n + found.codes, return_counts=True)
-        pointers = np.searchsorted(keys, np.arange(len(bodies) + 1) * n) if n else np.zeros(len(bodies) + 1, np.int64)
+        pointers = np.searchsorted(keys, np.arange(len(bodies) + 1) * n)
         documents = [dict(zip(("doc_id", "part", "capitals", "points", "symbols", "digest"), row)) for row in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.sums(CAPITALS[texts.data]).tolist(),
             texts.sums(texts.points()).tolist(), texts.sums(SYMBOLS[texts.data]).tolist(), (hashlib.sha256(x).digest() for x in bodies))]
-        columns = keys % n if n else keys
-        return documents, _packed(pointers.astype(np.int64)), _packed(columns.astype(np.int32)), _packed(counts.astype(np.int32)), found.values
+        sizes = pc.binary_length(found.values).to_numpy(zero_copy_only=False)
+        return documents, *map(_packed, (
+            pointers.astype(np.int64), (keys % n).astype(np.int32), counts.astype(np.int32), sizes.astype(np.int32), joined(found.values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bodies in text_steps(batches):
-            *row, values = shard(batch, bodies)
-            listed = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], f.type) for x, f in zip(row, kinds)), listed], schema=kinds)
+        for batch, bodies in text_steps(batches, step=SHARD_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(shard(batch, bodies), kinds)], schema=kinds)
 
-    found = docs.select(F.col("doc_id").cast("long"), "part", "text").mapInArrow(
-        run, f"documents {DOCUMENT}, pointers binary, columns binary, counts binary, words array<binary>")
+    found = docs.select(F.col("doc_id").cast("long"), "part", "text").mapInArrow(run, f"{SHARD_FIELDS}, sizes binary, letters binary")
     # Kept, so that a shard keeps its number when an executor is lost.
     return materialise(found.withColumn("shard", F.monotonically_increasing_id()))
 
 
+def _entries(shards: DataFrame) -> DataFrame:
+    """word, shard, code: the shards' lists of words, dealt out by word and sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes = _unpacked(batch.column(1)[i].as_py(), np.int32)
+                letters = _unpacked(batch.column(2)[i].as_py(), np.uint8)
+                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                for at in range(0, len(sizes), 1 << 16):
+                    part = offsets[at:at + (1 << 16) + 1]
+                    own = pa.Array.from_buffers(pa.binary(), len(part) - 1, [
+                        None, pa.py_buffer((part - part[0]).astype(np.int32)), pa.py_buffer(letters[part[0]:part[-1]].tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [own, pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(np.arange(at, at + len(own), dtype=np.int32))],
+                        names=["word", "shard", "code"])
+
+    lists = shards.select("shard", "sizes", "letters").mapInArrow(run, "word binary, shard long, code int")
+    count = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lists.repartition(count, "word").sortWithinPartitions("word")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Sorted batches with which rows begin a new word, and each row's number: the task's partition and the word's place in it."""
+    base, count, last = TaskContext.get().partitionId() << 40, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(0)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = column[0].as_py() != last
+        places = count + np.cumsum(new)
+        count, last = int(places[-1]), column[len(column) - 1].as_py()
+        yield batch, new, base + places - 1
+
+
 def dictionary(shards: DataFrame) -> DataFrame:
-    """word, id: every word of the shards' lists once, numbered from 0 in the order of the words."""
-    distinct = shards.select(F.explode("words").alias("word")).distinct()
-    return row_numbers(distinct, [F.col("word")], "id").select("word", (F.col("id") - 1).alias("id"))
+    """word, id: every word of the shards' lists once, as bytes, with its number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, new, ids in _numbered(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(new)), pa.array(ids[new])], names=["word", "id"])
+
+    return _entries(shards).mapInArrow(run, "word binary, id long")
+
+
+def _numbers(shards: DataFrame) -> DataFrame:
+    """shard, codes, ids: for each shard, the dictionary's numbers of its own, in compressed lists."""
+    def lists(held: list[tuple]) -> pa.RecordBatch:
+        shard, code, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
+        groups = np.split(order, cuts[1:])
+        return pa.RecordBatch.from_arrays([
+            pa.array([int(shard[g[0]]) for g in groups]), pa.array([_packed(code[g]) for g in groups], pa.binary()),
+            pa.array([_packed(ids[g]) for g in groups], pa.binary())], names=["shard", "codes", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch, _, ids in _numbered(batches):
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), ids))
+            size += len(ids)
+            if size >= HELD:
+                yield lists(held)
+                held, size = [], 0
+        if held:
+            yield lists(held)
+
+    return _entries(shards).mapInArrow(run, "shard long, codes binary, ids binary")
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
@@ -100,24 +170,18 @@ def document_terms(docs: DataFrame) -> DataFrame:
     Columns are 64-bit; inside a row they are in the order of the shard's own numbers.
     """
     shards = local_shards(docs)
-    held = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    # A shard's numbers, in the order of its own list; as many as the shard has distinct words.
-    numbers = held.join(dictionary(shards), "word").groupBy("shard").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
-    kept = shards.select("shard", "documents", "pointers", "columns", "counts").join(numbers, "shard", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                ids = row.column(5).flatten()
-                table_ = np.zeros(len(ids), np.int64)
-                table_[ids.field(0).to_numpy()] = ids.field(1).to_numpy()
-                columns = table_[_unpacked(row.column(3)[0].as_py(), np.int32)]
-                yield pa.RecordBatch.from_arrays(
-                    [row.column(0), row.column(1), row.column(2), pa.array([_packed(columns)], pa.binary()), row.column(4)],
-                    names=["shard", "documents", "pointers", "columns", "counts"])
-
-    return kept.mapInArrow(run, f"shard long, documents {DOCUMENT}, pointers binary, columns binary, counts binary")
+    numbers = _numbers(shards)
+
+    def meet(own: pa.Table, lists: pa.Table) -> pa.Table:
+        codes, ids = ([_unpacked(x, kind) for x in lists.column(name).to_pylist()] for name, kind in (("codes", np.int32), ("ids", np.int64)))
+        found = np.zeros(sum(map(len, codes)), np.int64)
+        for code, id_ in zip(codes, ids):
+            found[code] = id_
+        columns = found[_unpacked(own.column("columns")[0].as_py(), np.int32)]
+        return own.set_column(own.schema.get_field_index("columns"), "columns", pa.array([_packed(columns)], pa.binary()))
+
+    kept = shards.select("shard", "documents", "pointers", "columns", "counts")
+    return kept.groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(meet, f"shard long, {SHARD_FIELDS}")
 
 
 def row_statistics(matrix: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def byte_set(chars: str) -> np.ndarray:
     return found
 
 
+def counted(marks: np.ndarray) -> np.ndarray:
+    """How many are marked up to each place, in as few bytes as that takes."""
+    return np.cumsum(marks, dtype=np.int32 if len(marks) < 1 << 31 else np.int64)
+
+
 @dataclass
 class Texts:
     """The texts' bytes in one buffer, ``size`` bytes each."""
@@ -35,8 +40,10 @@ class Texts:
 
     def sums(self, marks: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
-        upto = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-        return upto[self.ends] - upto[np.concatenate([[0], self.ends[:-1]])]
+        found = np.concatenate([[0], counted(marks)[self.ends - 1]]) if len(marks) else np.zeros(len(self.ends) + 1, np.int64)
+        # Texts without a byte end where the one before does; before the first byte nothing is counted.
+        found[1:][self.ends == 0] = 0
+        return np.diff(found).astype(np.int64)
 
     def points(self) -> np.ndarray:
         """Which bytes begin a code point."""
@@ -61,7 +68,7 @@ def words(texts: Texts) -> Pieces:
     inner = inner[inner < len(solid)]
     first[inner] |= solid[inner]
     starts = np.flatnonzero(first)
-    at = np.cumsum(solid, dtype=np.int64)[starts] - 1
+    at = counted(solid)[starts] - 1
     return _encoded(texts.data[solid], at, np.searchsorted(texts.ends, starts, "right"))
 
 
@@ -90,3 +97,12 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     for key in keys[1:]:
         found = np.unique(found, return_inverse=True)[1] * (int(key.max(initial=0)) + 1) + key
     return np.unique(found, return_inverse=True)[1]
+
+
+def joined(values: pa.Array) -> np.ndarray:
+    """The bytes of all values, one after the other."""
+    if not len(values):
+        return np.zeros(0, np.uint8)
+    offsets, data = values.buffers()[1:]
+    ends = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]
