@@ -3,9 +3,11 @@
 Words become canonical: numbers, units and names turn into typed placeholders, other words into lower case
 without punctuation at the ends. Windows of ``WINDOW`` canonical words of the documents are joined by hash and
 then by text with those of the benchmark, so a question with other numbers or names still meets its source.
-Matches on one diagonal (document position less item position) must fill the slots consistently: one value
-of the item always stands for one value of the document, and the other way round. A document is contaminated
-by an item of which consistent matches cover ``COVERED`` words, or ``SHARE`` of its words if that is fewer.
+Matches on one diagonal (document position less item position) must fill the slots consistently: a value of the item
+stands for the value of the document that it meets at most of its places there (ties: the same value, then the largest).
+Windows with another value are dropped, those around them stay; a window whose slots are all filled as in the item is
+a copy and always counts. A document is contaminated by an item of which the windows left cover ``COVERED`` words, or
+``SHARE`` of its words if that is fewer.
 
 The documents' windows first pass a Bloom filter of the benchmark's, whose size is fixed; where a large
 benchmark fills it, it lets more through and the join decides alike. Items with equal words count as the
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import free_name, hash_filter, passing, table, text_steps, written
@@ -47,6 +49,8 @@ UNITS = frozenset(
     "litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks "
     "month months year years c f k celsius fahrenheit kelvin usd eur gbp dollar dollars euro euros cent cents percent "
     "% $ € £ mph kmh w kw kwh v volt volts a amp amps hz khz mhz ghz b kb mb gb tb".split())
+# Units that are common words or letters, too: they are units only after a number; fixed values.
+AFTER_NUMBERS = frozenset("in a second min s m g h l c f k w v b".split())
 EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w$€£%]+$")
 FIGURE = re.compile(r"^([$€£]?)[+-]?\d[\d.,:/]*([a-zA-Z%€$£]*)$")
 
@@ -74,8 +78,8 @@ class Canon:
     def _forget(self):
         self.places: dict[bytes, int] = {}
         self.bare: list[str] = []
-        self.rows: list[tuple[int, int, bool, bool]] = []
-        self.code, self.kind, self.ends, self.void = (np.zeros(0, t) for t in (np.uint64, np.int8, bool, bool))
+        self.rows: list[tuple[int, int, bool, bool, bool]] = []
+        self.code, self.kind, self.ends, self.void, self.common = (np.zeros(0, t) for t in (np.uint64, np.int8, bool, bool, bool))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.places) > REMEMBERED:
@@ -88,10 +92,9 @@ class Canon:
                 bare, kind, ends = canonical(word.decode("utf-8", "replace"))
             self.places[word] = len(self.rows)
             self.bare.append(bare)
-            self.rows.append((xxhash.xxh64_intdigest(bare), kind, ends, not bare))
+            self.rows.append((xxhash.xxh64_intdigest(bare), kind, ends, not bare, bare in AFTER_NUMBERS))
         if len(self.rows) > known:
-            code, kind, ends, void = zip(*self.rows[known:])
-            for name, values in (("code", code), ("kind", kind), ("ends", ends), ("void", void)):
+            for name, values in zip(("code", "kind", "ends", "void", "common"), zip(*self.rows[known:])):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.array(values, old.dtype)]))
         return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
@@ -116,6 +119,9 @@ class Texts:
         opens[1:] = canon.ends[self.places[:-1]] | (self.owner[1:] != self.owner[:-1])
         self.kind = canon.kind[self.places]
         self.kind = np.where(opens & (self.kind == NAME), LITERAL, self.kind)
+        numbered = np.zeros(n, bool)
+        numbered[1:] = (self.kind[:-1] == NUMBER) & (self.owner[1:] == self.owner[:-1])
+        self.kind = np.where((self.kind == UNIT) & canon.common[self.places] & ~numbered, LITERAL, self.kind)
         self.code = np.where(self.kind == LITERAL, canon.code[self.places], SLOT_CODES[self.kind])
         self.first = np.searchsorted(self.owner, np.arange(len(texts)))
         self.lengths = np.bincount(self.owner, minlength=len(texts))
@@ -136,16 +142,16 @@ class Texts:
         at = np.flatnonzero(good)
         return at, hashes[at]
 
-    def window(self, at: int, size: int) -> tuple[str, list[str]]:
-        """Template and slot values, each with its kind."""
+    def window(self, at: int, size: int) -> tuple[str, list[str], list[int]]:
+        """Template, slot values, each with its kind, and their places in the window."""
         bare, kinds = self.canon.bare, self.kind[at:at + size].tolist()
         words = [bare[p] for p in self.places[at:at + size].tolist()]
         template = " ".join(MARKS[k] or w for w, k in zip(words, kinds))
-        return template, [f"{k}{w}" for w, k in zip(words, kinds) if k]
+        return template, [f"{k}{w}" for w, k in zip(words, kinds) if k], [i for i, k in enumerate(kinds) if k]
 
 
-COLUMNS = [("id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))]
-SCHEMA = "id long, at long, size long, template string, slots array<string>"
+COLUMNS = [("id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("places", pa.list_(pa.int64()))]
+SCHEMA = "id long, at long, size long, template string, slots array<string>, places array<long>"
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -163,8 +169,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
                         owner = int(found.owner[a])
                         words = int(found.lengths[owner])
                         if size == min(WINDOW, words):
-                            template, slots = found.window(a, size)
-                            yield ids[owner], a - int(found.first[owner]), size, template, slots, h, words
+                            yield ids[owner], a - int(found.first[owner]), size, *found.window(a, size), h, words
 
         yield from written([*COLUMNS, ("hash", pa.int64()), ("words", pa.int64())], rows())
 
@@ -197,6 +202,17 @@ def document_windows(docs: DataFrame, filled: np.ndarray, sizes: list[int]) -> D
     return kept.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def _stands_for(pairs: Column) -> Column:
+    """map<item value, document value>: what each value of the item meets most often, by distinct places."""
+    def most(value):
+        own = F.filter(pairs, lambda p: p["theirs"] == value)
+        return F.array_max(F.transform(own, lambda p: F.struct(
+            F.size(F.filter(own, lambda x: x["ours"] == p["ours"])).alias("n"), (p["ours"] == value).alias("same"), p["ours"].alias("ours"))))["ours"]
+
+    values = F.array_distinct(F.transform(pairs, lambda p: p["theirs"]))
+    return F.map_from_entries(F.transform(values, lambda v: F.struct(v.alias("value"), most(v).alias("ours"))))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, item_words of every document and the items that contaminate it."""
     ship_package(docs.sparkSession)
@@ -207,15 +223,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = ours.join(theirs.alias("b"), ["template", "size"]).select(
         F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), "size", "words",
         (F.col("d.at") - F.col("b.at")).alias("diagonal"), F.col("b.at").alias("at"),
-        F.arrays_zip(F.col("b.slots").alias("theirs"), F.col("d.slots").alias("ours")).alias("pairs"))
+        F.zip_with(
+            F.arrays_zip(F.col("b.places").alias("place"), F.col("b.slots").alias("theirs")), "d.slots",
+            lambda x, ours: F.struct((x["place"] + F.col("b.at")).alias("place"), x["theirs"].alias("theirs"), ours.alias("ours"))).alias("pairs"))
     # At most the item's windows meet on one diagonal.
     runs = met.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.max("words").alias("words"), F.collect_set("pairs").alias("pairs"), F.collect_set(F.struct("at", "size")).alias("places"))
-    pairs = F.array_distinct(F.flatten("pairs"))
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    fair = runs.withColumn("pairs", pairs).where((side("theirs") == F.size("pairs")) & (side("ours") == F.size("pairs")))
+        F.max("words").alias("words"), F.collect_set(F.struct("at", "size", "pairs")).alias("windows"))
+    fair = runs.withColumn("stands", _stands_for(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))).withColumn(
+        "windows", F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: p["theirs"] == p["ours"])
+                            | F.forall(w["pairs"], lambda p: F.element_at("stands", p["theirs"]) == p["ours"])))
     covered = fair.select("doc_id", "item_id", "words", F.explode(F.array_distinct(F.flatten(F.transform(
-        "places", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1))))).alias("word"))
+        "windows", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1))))).alias("word"))
     found = covered.groupBy("doc_id", "item_id").agg(F.max("words").alias("item_words"), F.countDistinct("word").alias("matched_words"))
     enough = F.least(F.lit(COVERED).cast("double"), F.ceil(F.col("item_words") * SHARE).cast("double"))
     return found.where(F.col("matched_words") >= enough).select("doc_id", "item_id", "matched_words", "item_words")

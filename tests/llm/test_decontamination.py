@@ -21,9 +21,31 @@ def test_other_numbers_and_names_are_caught_if_consistent(spark):
     assert pairs(spark, docs, [(9, ASKED), (10, ASKED)]) == {(1, 9), (2, 9)}
 
 
-def test_one_value_for_two_is_inconsistent(spark):
-    """The other way round: different values of the item stand for one of the document."""
-    assert pairs(spark, [(1, ASKED.replace("Mary", "Tom"))], [(9, ASKED)]) == set()
+def test_two_values_for_one_drop_their_windows_only(spark):
+    """Tom is three people in MIXED; a question that makes two numbers or names equal is caught."""
+    same = ASKED.replace("Mary", "Tom")
+    equal = ASKED.replace("3 apples", "7 apples").replace("5 apples", "7 apples")
+    assert pairs(spark, [(1, same), (2, equal), (3, MIXED)], [(9, ASKED)]) == {(1, 9), (2, 9)}
+
+
+LONG = "the old mill by the river that Anna and her brother bought was sold again to Anna after " \
+       "nine quiet winters when the water stood so high that no wheel could turn and all the grain was lost"
+
+
+def test_verbatim_words_beside_a_conflict(spark):
+    """One of two equal names changed, and 13 words word for word on one side of a conflicting slot."""
+    changed = LONG.replace("to Anna", "to Berta")
+    assert pairs(spark, [(1, changed), (2, LONG)], [(9, LONG)]) == {(1, 9), (2, 9)}
+    rest = "a boat that had been lying in a shed since the war"
+    item = "one day we saw Anna and then Anna she went in " + rest
+    other = "one day we saw Eva and then Rita she went in " + rest
+    # Twelve words alone are too few; with the three before them, beside the conflict, they are enough.
+    assert pairs(spark, [(1, other), (2, other.replace("went in", "ran out"))], [(9, item)]) == {(1, 9)}
+
+
+def test_common_words_are_units_after_numbers_only(spark):
+    found = D.Texts(["5 in a box in 3 a second one 2nd second".encode()], D.Canon())
+    assert found.kind.tolist() == [D.NUMBER, D.UNIT, D.LITERAL, D.LITERAL, D.LITERAL, D.NUMBER, D.UNIT, D.LITERAL, D.LITERAL, D.NUMBER, D.UNIT]
 
 
 def test_short_items_need_their_words_in_a_row(spark):
@@ -46,6 +68,8 @@ def canonical_words(text):
         if not bare:
             continue
         kind = D.LITERAL if opens and kind == D.NAME else kind
+        if kind == D.UNIT and bare in D.AFTER_NUMBERS and not (out and out[-1][1] == D.NUMBER):
+            kind = D.LITERAL
         out.append((bare if kind == D.LITERAL else D.MARKS[kind], kind, bare))
         opens = ends
     return out
@@ -71,10 +95,16 @@ def plain(docs, rows):
                         diagonals.setdefault(a - b, []).append(b)
             covered = set()
             for shift, starts in diagonals.items():
-                places = {p for b in starts for p in range(b, b + size)}
-                slots = {((theirs[p][1], theirs[p][2]), (ours[p + shift][1], ours[p + shift][2])) for p in places if theirs[p][1]}
-                if len(slots) == len({x for x, _ in slots}) == len({y for _, y in slots}):
-                    covered |= places
+                slot = lambda p: ((theirs[p][1], theirs[p][2]), (ours[p + shift][1], ours[p + shift][2]))
+                places = {p for b in starts for p in range(b, b + size) if theirs[p][1]}
+                met = {}
+                for p in places:
+                    met.setdefault(slot(p)[0], []).append(slot(p)[1])
+                stands = {x: max(ys, key=lambda y: (ys.count(y), y == x, y)) for x, ys in met.items()}
+                for b in starts:
+                    own = [slot(p) for p in range(b, b + size) if theirs[p][1]]
+                    if all(x == y for x, y in own) or all(stands[x] == y for x, y in own):
+                        covered |= set(range(b, b + size))
             if covered and len(covered) >= min(D.COVERED, -(-len(theirs) * D.SHARE // 1)):
                 found.add((d, i))
     return found
