@@ -26,4 +26,4 @@ def queries() -> dict:
 
 def oracles() -> dict:
     return {
-        "op1_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
+        "op1_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_quality_rules": quality_rules.ORACLE}

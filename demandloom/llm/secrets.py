@@ -6,6 +6,9 @@ so a step costs two counts and no new histogram. A window whose entropy reaches
 suspicious; the span runs from the first such window to the last. Candidates on the allow list, and those
 that touch a span of the fixed patterns, add nothing.
 
+Matches of one kind lie in order and apart, so a candidate finds the one that it may touch by halving: the work of a text
+grows with its matches, hardly more.
+
 Null text counts as empty. Rows are scanned one by one: repeated rows give repeated results, an empty
 table an empty result, and other columns are neither read nor returned.
 """
@@ -13,6 +16,8 @@ table an empty result, and other columns are neither read nor returned.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,21 +50,60 @@ def most_allowed(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * UNIT)
 
 
+# Matches of a text whose positions are summed together.
+TOGETHER = 256
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, body>> of the pattern's leftmost matches; start in code points from 0."""
+    """array<struct<start, body>> of the pattern's leftmost matches; start in code points from 0.
+
+    Lengths are summed in stretches of ``TOGETHER`` matches, and these by what came before, so that no list of all
+    matches is copied once for each match.
+    """
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,body:string>>").alias("out"))
+    kind = "array<struct<start:bigint,body:string>>"
+    nothing = F.array().cast(kind)
+    zero = F.lit(0).cast("long")
+
+    def walk(piece):
+        """The stretch's matches, from its own start in the text."""
+        def step(state, p):
+            at = state["at"] + F.length(p["gap"])
+            return F.struct(
+                (at + F.length(p["body"])).alias("at"),
+                F.concat(state["out"], F.array(F.struct(at.alias("start"), p["body"].alias("body")))).alias("out"))
+
+        return F.aggregate(piece["own"], F.struct(piece["at"].alias("at"), nothing.alias("out")), step, lambda state: state["out"])
+
+    def stretches(pieces):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / TOGETHER).cast("int")), lambda k: F.slice(pieces, k * TOGETHER + 1, TOGETHER))
 
-    def step(state, piece):
-        at = state["at"] + F.length(piece["gap"])
+    def placed(own):
+        sizes = F.transform(own, lambda x: F.aggregate(x, zero, lambda n, p: n + F.length(p["gap"]) + F.length(p["body"])))
+        upto = F.aggregate(sizes, F.array(zero), lambda held, n: F.concat(held, F.array(F.element_at(held, -1) + n)))
+        return F.flatten(F.transform(F.zip_with(own, upto, lambda x, at: F.struct(x.alias("own"), at.alias("at"))), lambda x: F.when(x["own"].isNotNull(), walk(x)).otherwise(nothing)))
+
+    pieces = F.filter(F.zip_with(found, between, lambda body, gap: F.struct(gap.alias("gap"), body.alias("body"))), lambda p: p["body"].isNotNull())
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(pieces, lambda x: let(stretches(x), placed))).otherwise(nothing)
+
+
+def touches(held: Column, start: Column, end: Column) -> Column:
+    """Whether one of the matches of one kind, in order and apart, has a character of start..end.
+
+    The first that ends after ``start`` is found by halving.
+    """
+    def halve(state, _):
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        after = F.get(held, middle)["start"] + F.length(F.get(held, middle)["body"]) > start
+        open_ = state["low"] < state["high"]
         return F.struct(
-            (at + F.length(piece["body"])).alias("at"),
-            F.concat(state["out"], F.array(F.struct(at.alias("start"), piece["body"].alias("body")))).alias("out"))
+            F.when(open_ & ~after, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & after, middle).otherwise(state["high"]).alias("high"))
 
-    pieces = F.zip_with(found, between, lambda body, gap: F.struct(gap.alias("gap"), body.alias("body")))
-    walked = F.aggregate(F.filter(pieces, lambda p: p["body"].isNotNull()), start, step, lambda state: state["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(start["out"])
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(held))))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(held).alias("high")), halve, lambda state: state["low"])
+    return F.when(F.size(held) > 0, F.coalesce(F.get(held, first)["start"] < end, F.lit(False))).otherwise(F.lit(False))
 
 
 def spans(found: Column, kind: str) -> Column:
@@ -119,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id", "assign", "access", "hex", "candidates",
         F.array_sort(F.concat(spans(F.col("assign"), "assign"), spans(F.col("access"), "access"), spans(F.col("hex"), "hex"))).alias("base"))
     found = F.transform(
-        F.filter("candidates", lambda m: ~F.exists("base", lambda s: (s["start"] < m["start"] + F.length(m["body"])) & (s["end"] > m["start"]))),
+        F.filter("candidates", lambda m: ~reduce(or_, [touches(F.col(kind), m["start"], m["start"] + F.length(m["body"])) for kind in KINDS[:3]])),
         lambda m: let(suspicious(m["body"]), lambda s: F.struct(
             (m["start"] + s["first"] - 1).alias("start"), F.lit(KINDS.index("entropy")).alias("order"),
             F.lit("entropy").alias("kind"), (m["start"] + s["last"]).alias("end"))))
@@ -130,5 +174,50 @@ def scan(docs: DataFrame) -> DataFrame:
         written(F.array_sort(F.concat("base", F.filter(found, lambda s: s["start"].isNotNull())))).alias("spans"))
 
 
+def _matches_sql(name: str, pattern: str) -> str:
+    """A view of the matches of a pattern: doc, kind, start, body."""
+    return f"""{name} AS (
+  SELECT r, (sum(length(gap) + length(coalesce(body, ''))) OVER (PARTITION BY r ORDER BY i) - length(body))::BIGINT AS start, body
+  FROM (SELECT r, unnest(string_split_regex(t, $re${pattern}$re$)) AS gap,
+               unnest(list_append(regexp_extract_all(t, $re${pattern}$re$), NULL)) AS body,
+               unnest(range(len(regexp_extract_all(t, $re${pattern}$re$)) + 1)) AS i FROM texts)
+  QUALIFY body IS NOT NULL)"""
+
+
+_CLASS = f"""CASE WHEN regexp_matches(body, '^[0-9a-fA-F]+$') THEN {most_allowed(THRESHOLDS['hex'])}
+  WHEN regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]') THEN {most_allowed(THRESHOLDS['mixed'])}
+  WHEN regexp_matches(body, '[A-Za-z]') THEN {most_allowed(THRESHOLDS['letters'])} ELSE -1 END"""
+ORACLE = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{_matches_sql("assigned", ASSIGN)},
+{_matches_sql("access", ACCESS)},
+{_matches_sql("hexes", HEX)},
+{_matches_sql("loose", CANDIDATE)},
+base AS (
+  SELECT r, start, 0 AS k, 'assign' AS kind, body FROM assigned WHERE length(regexp_extract(body, $re${ASSIGN}$re$, 2)) >= 6
+  UNION ALL SELECT r, start, 1, 'access', body FROM access UNION ALL SELECT r, start, 2, 'hex', body FROM hexes),
+free AS (
+  SELECT *, {_CLASS} AS most FROM loose l WHERE NOT regexp_matches(body, $re${ALLOWED}$re$)
+  AND NOT EXISTS (FROM base b WHERE b.r = l.r AND b.start < l.start + length(l.body) AND b.start + length(b.body) > l.start)),
+windows AS (
+  SELECT r, start, most, i, unnest(string_split(substr(body, i, {WINDOW}), '')) AS c
+  FROM (SELECT *, unnest(range(1, length(body) - {WINDOW} + 2)) AS i FROM free)),
+counts AS (SELECT r, start, most, i, c, count(*) AS n FROM windows GROUP BY ALL),
+sums AS (SELECT r, start, most, i, sum({STEPS}[n + 1]) AS total FROM counts GROUP BY ALL),
+found AS (
+  SELECT r, start + min(i) - 1 AS start, 3 AS k, 'entropy' AS kind, start + max(i) + {WINDOW} - 1 AS finish
+  FROM sums WHERE total <= most GROUP BY r, start),
+every AS (SELECT r, start, k, kind, start + length(body) AS finish FROM base UNION ALL SELECT * FROM found),
+listed AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, k) AS spans
+  FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (r)
+"""
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))

@@ -84,3 +84,28 @@ def test_letters_with_symbols_are_scanned(spark):
     rows = [(1, "see qWeRtYuIoP+aSdFgHj/kLzXcVbNm= here"), (2, "see some_long_name_of_a_function here"), (3, "-" * 40)]
     found = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1].startswith("entropy:4:") and found[2] == "" and found[3] == ""
+
+
+def test_matches_the_oracle(spark):
+    """Kinds, digest and all spans, windows of the entropy scan included, in another engine."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(CASES)))
+    found = S.scan(frame(spark, list(enumerate(CASES))))
+    relation = con.execute(S.ORACLE)
+    assert found.columns == [d[0] for d in relation.description]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(relation.fetchall())
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches of every kind, and candidates between them, some of which touch one."""
+    import random
+
+    made = random.Random(1)
+    token = lambda: "".join(made.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ0123456789") for _ in range(24))
+    text = " ".join(made.choice([f"{made.getrandbits(128):032x}", f"token={token()}", token(), "AKIA" + "Q7" * 9, "a word"]) for _ in range(3000))
+    row = S.scan(frame(spark, [(1, text)])).first()
+    fixed = base(text)
+    assert row.spans == written(fixed + entropy_spans(text, fixed)) and row.n_hex > 500
