@@ -16,25 +16,41 @@ def test_matches_the_oracle(spark, sf, con):
     assert taken(line_dedup.op1_line_dedup(spark, sf)) == sorted(con.execute(line_dedup.ORACLE).fetchall(), key=repr)
 
 
-def cut(text):
-    """The chunks, by the rule as stated."""
+def cut(text, count):
+    """The chunks, by the rule as stated; ``count`` has every line's occurrences."""
     import hashlib
+    from itertools import groupby
 
-    lines = text.split("\n")
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    marks = [(h + line_dedup.FACTOR * (hashes[i - 1] if i else 0)) % line_dedup.MODULUS == 0 for i, h in enumerate(hashes)]
-    ends = [i for i in range(1, len(lines) - 2) if marks[i] and not marks[i - 1]]
-    starts = [0, *[i + 1 for i in ends]]
-    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)])]
+    out = []
+    for _, stretch in groupby(text.split("\n"), key=lambda x: count[x] > 1):
+        lines = list(stretch)
+        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        marks = [(h + line_dedup.FACTOR * (hashes[i - 1] if i else 0)) % line_dedup.MODULUS == 0 for i, h in enumerate(hashes)]
+        starts = [0, *[i + 1 for i in range(1, len(lines) - 2) if marks[i] and not marks[i - 1]]]
+        out += [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)])]
+    return out
 
 
 def test_chunks_follow_the_rule_and_resist_shifts(spark):
+    from collections import Counter
+
     text = prose(5, 600, 3)
-    rows = [(1, text), (2, "new first line\n" + text), (3, "a\nb"), (4, "a")]
-    found = dict(frame(spark, rows).select("doc_id", line_dedup.chunks("text")).collect())
-    assert {i: [c.body for c in found[i]] for i, _ in rows} == {i: cut(t) for i, t in rows}
-    shared = {c.body for c in found[1]} & {c.body for c in found[2]}
-    assert len(shared) >= len(found[1]) - 2
+    lines = text.split("\n")
+    rows = [(1, text), (2, "new first line\n" + text), (3, "a\nb"), (4, "a"), (5, "own\n" + "\n".join(lines[50:53]) + "\nown too")]
+    count = Counter(x for _, t in rows for x in t.split("\n"))
+    found = {r.doc_id: [(c.start, c.n) for c in r.c] for r in line_dedup.hashed_lines(frame(spark, rows)).select(
+        "doc_id", line_dedup.chunks(line_dedup.F.col("lines")).alias("c")).collect()}
+    for i, t in rows:
+        sizes = [len(c) for c in cut(t, count)]
+        assert found[i] == [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+    assert found[2][0] == (0, 1) and [(s - 1, n) for s, n in found[2][1:]] == found[1]
+
+
+def test_a_run_between_own_lines_goes_wherever_it_stands(spark):
+    """Two lines that many documents share, between lines that none shares."""
+    rows = [(i, f"own {i}\nlicense one\nlicense two\nmore {i}\nlast {i}") for i in range(30)]
+    left = dict(line_dedup.remove(frame(spark, rows)).collect())
+    assert left[0] == rows[0][1] and all(left[i] == f"own {i}\nmore {i}\nlast {i}" for i in range(1, 30))
 
 
 def test_first_place_stays(spark):
