@@ -66,7 +66,7 @@ FROM f, c GROUP BY rv, wv, rc, wc""")
 
 
 def abc_classification(spark, sf):
-    found = metrics.classify_abc(views.demand(spark, sf))
+    found = metrics.classify_abc(adapters.item_volumes(spark, sf))
     return found.withColumn("Pct", rounded("Pct", 6))
 
 
@@ -74,7 +74,7 @@ ORACLES["abc_classification"] = with_(*_ABC, body="SELECT Item, vol AS Vol, cum
 
 
 def abc_summary(spark, sf):
-    return metrics.abc_summary(metrics.classify_abc(views.demand(spark, sf)))
+    return metrics.abc_summary(metrics.classify_abc(adapters.item_volumes(spark, sf)))
 
 
 _SUMMARY = """SELECT Class, coalesce(n_items, 0) AS n_items, coalesce(v, 0.0) AS total_volume, round(coalesce(v, 0) / (SELECT sum(vol) FROM abc) * 100, 1) AS pct_volume
@@ -83,7 +83,7 @@ ORACLES["abc_summary"] = with_(*_ABC, body=_SUMMARY)
 
 
 def abc_top_per_class(spark, sf):
-    found = metrics.abc_top_per_class(metrics.classify_abc(views.demand(spark, sf)), 10)
+    found = metrics.abc_top_per_class(metrics.classify_abc(adapters.item_volumes(spark, sf)), 10)
     return found.withColumn("Pct", rounded("Pct", 6))
 
 

@@ -79,7 +79,7 @@ FROM ({_PERIODS}) GROUP BY 1"""
 
 
 def top_items(spark, sf):
-    return aggregates.top_items(views.demand(spark, sf), 20, "Quantity_Sold")
+    return aggregates.top_items(adapters.item_volumes(spark, sf), 20, "Quantity_Sold")
 
 
 ORACLES["top_items"] = with_("vol", body="SELECT Item, vol AS total_quantity FROM vol ORDER BY vol DESC, Item LIMIT 20").replace(

@@ -83,6 +83,16 @@ def demand_lines(spark: SparkSession, folder: str) -> DataFrame:
     return summed.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+def item_volumes(spark: SparkSession, folder: str) -> DataFrame:
+    """Item and Quantity_Sold, a row per part: for totals over all dates, which don't need the orders.
+
+    Every line has an order.
+    """
+    sold = table(spark, folder, "lineitem").where(F.col("l_quantity") > 0).groupBy("l_partkey").agg(F.sum("l_quantity").alias("Quantity_Sold"))
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("Item"))
+    return sold.join(part, F.col("l_partkey") == F.col("p_partkey")).select("Item", "Quantity_Sold")
+
+
 def basket_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Receipt, item and category of every line; orders add nothing to a basket."""
     lines = table(spark, folder, "lineitem")
