@@ -20,7 +20,7 @@ OPERATORS = {
     "quality": lambda spark, docs: quality.quality(docs, labels(spark, MARKS)),
     "simhash": lambda spark, docs: simhash.classes(docs, 3, 2),
     "passages": lambda spark, docs: substring_dedup.passages(docs),
-    "scores": lambda spark, docs: lm_scoring.score(docs, *lm_scoring.train(docs)).select("doc_id", "words"),
+    "scores": lambda spark, docs: lm_scoring.scored(docs.coalesce(1)).selectExpr("doc_id", "words", "round(log_prob, 3)", "round(mean_log_prob, 3)"),
     "toxicity": lambda spark, docs: toxicity.toxicity(docs, labels(spark, MARKS)),
     "packing": lambda spark, docs: packing.pack(docs, packing.byte_bpe()).drop("sequence_id", "offset", "start", "length", "ids").distinct(),
     "secrets": lambda spark, docs: secrets.scan(docs),
