@@ -20,7 +20,7 @@ from demandloom.functions.dates import TradingCalendar
 from demandloom.functions.numeric import half_even
 from demandloom.operators import features as feats
 from demandloom.operators import metrics
-from demandloom.operators.series import by_item, future_grid, item_codes, step_days
+from demandloom.operators.series import future_grid, item_codes, step_days
 from demandloom.session import materialise
 
 BLEND = 0.15
