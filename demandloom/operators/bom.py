@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.numeric import safe_float, safe_ratio
 from demandloom.functions.text import material_name, name_key, product_variant_name
-from demandloom.session import materialise
+from demandloom.session import materialise, spread
 
 MAX_DEPTH = 64
 
@@ -129,55 +130,127 @@ def _daily_demand(sales: DataFrame, quantity: str) -> DataFrame:
     )
 
 
-# Sides of a block: parts into which the calendar is dealt, items of a block on average, materials of a product.
-DATE_PARTS, ITEM_BLOCK, MATERIAL_BLOCK = 32, 1024, 512
+# Cells (dates by materials) and materials of a block, items multiplied at a time, rows from which whole items are taken.
+BLOCK_CELLS, BLOCK_MATERIALS, ITEMS, ITEM_ROWS = 1 << 22, 1 << 15, 64, 1 << 17
 
 
 def _needs_by_day(demand: DataFrame, needs: DataFrame, out: str, amount: str) -> DataFrame:
     """Sum of sold times per-unit need by date; ``needs`` has key, ``out`` and per_unit.
 
-    Demand by (date, item) times recipes by (item, material) is a matrix product. It is taken block by block: the
-    demand of a block of items on a part of the dates meets the recipes of these items, and only the block's sums by
-    (date, material) leave it. Blocks have a fixed size, so an item with a third of all rows, already one row a day,
-    keeps as many tasks busy as any other. Names of materials are numbers until the sums are done.
+    Demand by (date, item) times recipes by (item, material) is a matrix product. It is taken by blocks of the result:
+    a block has some of the dates and some of the materials, gets the demand of its dates and the recipe lines of its
+    materials sorted by item, and adds them up, so what leaves it is final. Blocks have a bounded size, and dates and
+    materials are cut so that the copies of demand and recipes together are few.
     """
-    needs = materialise(needs)
-    materials = materialise(needs.select(out).distinct().withColumn("material", F.monotonically_increasing_id()))
-    blocks = needs.select("key").distinct().count() // ITEM_BLOCK + 1
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
-    part = F.pmod(F.datediff("Date", F.lit("1970-01-01").cast("date")), F.lit(DATE_PARTS)).alias("part")
-    recipe = needs.join(materials, out).select(
-        block, F.explode(F.sequence(F.lit(0), F.lit(DATE_PARTS - 1))).alias("part"), "key", "material", "per_unit")
-    dated = demand.select(block, part, "key", "Date", F.col("sold").cast("double").alias("sold"))
-    products = dated.groupBy("block", "part").cogroup(recipe.groupBy("block", "part")).applyInArrow(
-        _block_product, "Date date, material long, amount double")
-    return products.groupBy("Date", "material").agg(F.sum("amount").alias(amount)).join(materials, "material").select("Date", out, amount)
-
-
-def _block_product(demand: pa.Table, recipe: pa.Table) -> pa.Table:
-    """Date, material, amount over the items of both tables; a date and a material are listed if an item links them."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-    if demand.num_rows and recipe.num_rows:
-        items = pa.chunked_array([*demand.column("key").chunks, *recipe.column("key").chunks]).combine_chunks().dictionary_encode()
-        codes = items.indices.to_numpy()
-        sold_of, made_of = codes[:demand.num_rows], codes[demand.num_rows:]
-        dates, date_of = np.unique(demand.column("Date").cast(pa.int32()).to_numpy(), return_inverse=True)
-        sold, linked = np.zeros((2, len(dates), len(items.dictionary)))
-        np.add.at(sold, (date_of, sold_of), demand.column("sold").to_numpy())
-        linked[date_of, sold_of] = 1.0
-        names, material_of = np.unique(recipe.column("material").to_numpy(), return_inverse=True)
-        per_unit = recipe.column("per_unit").cast(pa.float64()).to_numpy()
-        for start in range(0, len(names), MATERIAL_BLOCK):
-            here = (material_of >= start) & (material_of < start + MATERIAL_BLOCK)
-            width = min(MATERIAL_BLOCK, len(names) - start)
-            made, listed = np.zeros((2, len(items.dictionary), width))
-            np.add.at(made, (made_of[here], material_of[here] - start), per_unit[here])
-            listed[made_of[here], material_of[here] - start] = 1.0
-            day, material = np.nonzero(linked @ listed)
-            for held, values in zip(found, (dates[day], names[start + material], (sold @ made)[day, material])):
-                held.append(values)
-    day, material, amount = (np.concatenate(x) for x in found)
-    return pa.table({"Date": pa.array(day.astype(np.int32)).cast(pa.date32()), "material": material, "amount": amount})
+    demand = demand.where("Date IS NOT NULL AND key IS NOT NULL")
+    needs = needs.where(F.col(out).isNotNull() & F.col("key").isNotNull())
+    sold, dates = demand.agg(F.count(F.lit(1)), F.count_distinct("Date")).first()
+    listed, materials = needs.agg(F.count(F.lit(1)), F.count_distinct(out)).first()
+    blocks = max(-(-dates * materials // BLOCK_CELLS), 2 * demand.sparkSession.sparkContext.defaultParallelism)
+    parts = min(max(round((blocks * max(sold, 1) / max(listed, 1)) ** 0.5), 1), blocks)
+    blocks = max(-(-blocks // parts), -(-materials // BLOCK_MATERIALS))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    date_part = F.pmod(F.datediff("Date", F.lit("1970-01-01").cast("date")), F.lit(parts)).cast("int")
+    dated = demand.select(
+        every(blocks).alias("block"), date_part.alias("part"), "key", "Date", F.lit(None).cast("string").alias("material"),
+        F.col("sold").cast("double").alias("value"))
+    recipe = needs.select(
+        F.pmod(F.xxhash64(out), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), "key",
+        F.lit(None).cast("date").alias("Date"), F.col(out).cast("string").alias("material"), F.col("per_unit").cast("double").alias("value"))
+    both = spread(dated.unionByName(recipe), "block", "part").sortWithinPartitions("block", "part", "key")
+    return both.mapInArrow(_block_sums, "Date date, material string, amount double").select(
+        "Date", F.col("material").alias(out), F.col("amount").alias(amount))
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Date, material, amount of each block, from rows sorted by block and item; a cell is listed if an item links it."""
+    now, cells = None, _Cells()
+    for rows in _whole_items(batches):
+        starts = _item_starts(rows)
+        item = np.zeros(rows.num_rows, np.int64)
+        item[starts[1:]] = 1
+        item = np.cumsum(item)
+        blocks = np.stack([rows.column(x).to_numpy()[starts] for x in ("block", "part")])
+        cuts = [0, *(np.flatnonzero((blocks[:, 1:] != blocks[:, :-1]).any(axis=0)) + 1).tolist(), len(starts)]
+        for low, high in zip(cuts, cuts[1:]):
+            own = tuple(blocks[:, low].tolist())
+            if own != now:
+                yield from cells.listed()
+                now, cells = own, _Cells()
+            for first in range(low, high, ITEMS):
+                last = min(first + ITEMS, high)
+                start, end = starts[first], starts[last] if last < len(starts) else rows.num_rows
+                cells.add(rows.slice(start, end - start), item[start:end] - first, last - first)
+    yield from cells.listed()
+
+
+def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in steps that cut no item of a block; its rows are bounded by the block's sides."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= ITEM_ROWS:
+            rows = pa.concat_batches(held)
+            last = int(_item_starts(rows)[-1])
+            if last:
+                yield rows.slice(0, last)
+            held, size = [rows.slice(last)], rows.num_rows - last
+    if size:
+        yield pa.concat_batches(held)
+
+
+def _item_starts(rows: pa.RecordBatch) -> np.ndarray:
+    codes = [rows.column("key").dictionary_encode().indices.to_numpy(), *(rows.column(x).to_numpy() for x in ("block", "part"))]
+    return np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in codes], axis=0)))
+
+
+class _Cells:
+    """Sums by date and material, as far as they are seen."""
+
+    def __init__(self):
+        self.dates: dict[int, int] = {}
+        self.materials: dict[str, int] = {}
+        self.sums = np.zeros((0, 0))
+        self.linked = np.zeros((0, 0), bool)
+
+    def add(self, rows: pa.RecordBatch, item: np.ndarray, n: int) -> None:
+        """The demand and the recipe lines of ``n`` items, whole."""
+        days, names = rows.column("Date"), rows.column("material").dictionary_encode()
+        values, of_demand = rows.column("value").to_numpy(zero_copy_only=False), days.is_valid().to_numpy(zero_copy_only=False)
+        if of_demand.all() or not of_demand.any():
+            return
+        found, day = np.unique(days.filter(pa.array(of_demand)).cast(pa.int32()).to_numpy(), return_inverse=True)
+        material = names.indices.filter(pa.array(~of_demand)).to_numpy()
+        sold, dated = np.zeros((len(found), n)), np.zeros((len(found), n), np.float32)
+        np.add.at(sold, (day, item[of_demand]), values[of_demand])
+        dated[day, item[of_demand]] = 1
+        made, listed = np.zeros((n, len(names.dictionary))), np.zeros((n, len(names.dictionary)), np.float32)
+        np.add.at(made, (item[~of_demand], material), values[~of_demand])
+        listed[item[~of_demand], material] = 1
+        at = np.ix_(_placed(self.dates, found.tolist()), _placed(self.materials, names.dictionary.to_pylist()))
+        shape = tuple(max(have, -(-want // 256) * 256) for have, want in zip(self.sums.shape, (len(self.dates), len(self.materials))))
+        if shape != self.sums.shape:
+            grown = [(0, new - old) for new, old in zip(shape, self.sums.shape)]
+            self.sums, self.linked = np.pad(self.sums, grown), np.pad(self.linked, grown)
+        self.sums[at] += sold @ made
+        self.linked[at] |= dated @ listed > 0
+
+    def listed(self) -> Iterator[pa.RecordBatch]:
+        dates, names = np.array(list(self.dates), np.int32), pa.array(list(self.materials), pa.string())
+        for row, day in enumerate(dates):
+            material = np.flatnonzero(self.linked[row])
+            if len(material):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(material), day)).cast(pa.date32()), names.take(pa.array(material)), pa.array(self.sums[row][material])],
+                    names=["Date", "material", "amount"])
+
+
+def _placed(places: dict, values: list) -> list[int]:
+    return [places.setdefault(x, len(places)) for x in values]
 
 
 def explode_level_one(sales: DataFrame, menu_bom: DataFrame, quantity: str = "Quantity") -> DataFrame:
@@ -298,30 +371,31 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
     materials = t["materials"].select(F.col("id").alias("material_id"), F.col("name").alias("material"))
     condiments = t["condiments"].select(
         F.col("id").alias("condiment_id"), F.col("name").alias("condiment"))
-    lines = materialise(
+    lines = (
         t["recipe_lines"].join(products, "product_id")
         .join(variants, "variant_id", "left")
-        .join(materials, "material_id", "left")
-        .join(condiments, "condiment_id", "left")
         .select(
             F.lower("product").alias("product_key"),
             F.lower(product_variant_name(F.col("product"), F.col("variant"), None)).alias("item_key"),
-            "material", "condiment", safe_float(F.col("quantity"), 0.0).alias("qty"),
+            "material_id", "condiment_id", safe_float(F.col("quantity"), 0.0).alias("qty"),
         )
     )
 
-    def per_key(key: str) -> DataFrame:
-        return lines.groupBy(F.col(key).alias("key"), "material", "condiment").agg(F.sum("qty").alias("qty"))
-
     # Read twice: for the names sold, and for the amounts.
     demand = materialise(
         forecast.groupBy(F.col("Date").cast("date").alias("Date"), F.lower("Item").alias("key"))
         .agg(F.sum(safe_float(F.col(quantity), 0.0)).alias("sold"))
     )
     names = demand.select("key").distinct()
-    exact = per_key("item_key").join(names, "key", "left_semi")
-    rest = names.join(exact.select("key").distinct(), "key", "left_anti")
-    recipes = exact.unionByName(per_key("product_key").join(rest, "key", "left_semi"))
+    exact = lines.select(F.col("item_key").alias("key")).distinct().withColumn("exact", F.lit(True))
+    wanted = materialise(names.join(exact, "key", "left").select("key", F.coalesce("exact", F.lit(False)).alias("exact")))
+    keys = F.explode(F.array(*[
+        F.struct(F.col(key).alias("key"), F.lit(own).alias("exact")) for key, own in (("item_key", True), ("product_key", False))]))
+    recipes = materialise(
+        lines.select(keys.alias("x"), "material_id", "condiment_id", "qty").select("x.*", "material_id", "condiment_id", "qty")
+        .groupBy("key", "exact", "material_id", "condiment_id").agg(F.sum("qty").alias("qty"))
+        .join(wanted, ["key", "exact"], "left_semi")
+    )
 
     batch = t["condiments"].select(
         F.col("id").alias("condiment_id"), F.col("name").alias("condiment"),
@@ -332,16 +406,22 @@ def recipe_requirements(forecast: DataFrame, t: dict[str, DataFrame], quantity:
         .groupBy("condiment", F.col("material").alias("sub"))
         .agg(F.sum(F.col("quantity").cast("double") / F.col("batch")).alias("rate"))
     )
-    direct = recipes.where(F.col("material").isNotNull()).select("key", F.col("material").alias("Raw_Material"), "qty")
+    direct = recipes.join(materials, "material_id").select(_side("item", "key"), F.col("material").alias("Raw_Material"), F.col("qty").alias("per_unit"))
+    # Condiments are summed by day first and expanded once, not in the recipe of every item.
+    mixed = recipes.join(condiments, "condiment_id").groupBy("key", "condiment").agg(F.sum("qty").alias("per_unit"))
     through = (
-        recipes.where(F.col("condiment").isNotNull())
+        mixed.select("condiment").where(F.col("condiment").isNotNull()).distinct()
         .join(inner, "condiment", "left")
         # A condiment with lines but no material on a line loses that line.
         .where(F.col("sub").isNotNull() | F.col("rate").isNull())
-        .select(
-            "key", F.coalesce("sub", "condiment").alias("Raw_Material"),
-            (F.col("qty") * F.coalesce("rate", F.lit(1.0))).alias("qty"),
-        )
+        .select(_side("condiment", "condiment"), F.coalesce("sub", "condiment").alias("Raw_Material"),
+                F.coalesce("rate", F.lit(1.0)).alias("per_unit"))
     )
-    needs = direct.unionByName(through).groupBy("key", "Raw_Material").agg(F.sum("qty").alias("per_unit"))
-    return _needs_by_day(demand, needs, "Raw_Material", "Quantity_Required")
+    poured = materialise(_needs_by_day(demand, mixed, "condiment", "sold"))
+    asked = demand.select("Date", _side("item", "key"), "sold").unionByName(poured.select("Date", _side("condiment", "condiment"), "sold"))
+    return _needs_by_day(asked, direct.unionByName(through), "Raw_Material", "Quantity_Required")
+
+
+def _side(kind: str, name: str) -> Column:
+    """Key of an item or a condiment: the two may share a name."""
+    return F.concat(F.lit(f"{kind}:"), F.col(name)).alias("key")

@@ -1,6 +1,7 @@
 """Recipes, nested condiments, recipe schema and basket rules."""
 
 import itertools
+import random
 
 import datetime as dt
 
@@ -87,6 +88,49 @@ def test_a_hot_item_is_spread_over_its_days(spark):
     assert "broadcast" not in plan.lower() and "part#" in plan
 
 
+def test_blocks_of_the_product_are_final(spark, monkeypatch):
+    """Any cut into blocks gives the sums of all pairs, and no partial sums are shuffled behind the product."""
+    made = random.Random(3)
+    demand = [(D(2025, 1, 1) + dt.timedelta(days=made.randrange(40)), f"i{made.randrange(90)}", float(made.randrange(5))) for _ in range(900)]
+    needs = [(f"i{made.randrange(100)}", f"m{made.randrange(50)}", float(made.randrange(4))) for _ in range(700)]
+    want = {}
+    for day, key, sold in demand:
+        for other, material, per_unit in needs:
+            if key == other:
+                want[day, material] = want.get((day, material), 0.0) + sold * per_unit
+    # Rows without a date, an item or a material link nothing.
+    demand += [(None, "i1", 1.0), (D(2025, 1, 1), None, 1.0)]
+    needs += [("i1", None, 1.0), (None, "m1", 1.0)]
+    one = spark.createDataFrame(demand, "Date date, key string, sold double")
+    two = spark.createDataFrame(needs, "key string, Raw string, per_unit double")
+    for cells, materials, items, step in ((1 << 22, 1 << 15, 64, 1 << 17), (30, 4, 3, 7)):
+        monkeypatch.setattr(bom, "BLOCK_CELLS", cells)
+        monkeypatch.setattr(bom, "BLOCK_MATERIALS", materials)
+        sums = bom._needs_by_day(one, two, "Raw", "Amount")
+        assert {(d, m): a for d, m, a in rows(sums)} == want and sums.count() == len(want)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") == 1
+    block = one.where("Date IS NOT NULL AND key IS NOT NULL").selectExpr("0 block", "0 part", "key", "Date", "cast(null as string) material", "sold value").union(
+        two.dropna().selectExpr("0", "0", "key", "cast(null as date)", "Raw", "per_unit")).orderBy("key").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(bom, "ITEMS", 3)
+    monkeypatch.setattr(bom, "ITEM_ROWS", 7)
+    got = [x for part in bom._block_sums(block.slice(i, 5) for i in range(0, block.num_rows, 5)) for x in zip(*part.to_pydict().values())]
+    assert {(d, m): a for d, m, a in got} == want and len(got) == len(want)
+
+
+def test_an_item_and_a_condiment_of_one_name(spark):
+    t = recipe_schema(spark)
+    make = spark.createDataFrame
+    t["products"] = make([(1, "syrup", True), (2, "tea", True)], "id long, name string, is_active boolean")
+    t["condiments"] = make([(1, "syrup", 2.0, None)], "id long, name string, batch_quantity double, unit_id long")
+    t["materials"] = make([(1, "sugar", None, True)], "id long, name string, unit_id long, is_active boolean")
+    t["recipe_lines"] = make([(1, None, 1, None, "5"), (2, None, None, 1, "4")],
+                             "product_id long, variant_id long, material_id long, condiment_id long, quantity string")
+    t["condiment_lines"] = make([(1, 1, None, 3.0)], "condiment_id long, material_id long, child_condiment_id long, quantity double")
+    sold = spark.createDataFrame([(D(2025, 1, 1), "tea", 1.0), (D(2025, 1, 2), "syrup", 1.0)], SALES)
+    assert rows(bom.recipe_requirements(sold, t), "Date") == [(D(2025, 1, 1), "sugar", 6.0), (D(2025, 1, 2), "sugar", 5.0)]
+
+
 def test_a_batch_of_nothing_is_left_out_and_reported(spark):
     c = condiments(spark, ("empty", "0", "u", "1"), ("mix", "2", "v", "3"), ("words", "some", "w", "1"))
     assert rows(bom.unit_expansion(c), "Condiment") == [("mix", "v", 1.5)]
