@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ def frequent_itemsets(
 
     Lines are made distinct before the baskets form, and only items that are frequent on their own
     enter a basket: their number is at most the mean basket size over the support, so one huge
-    receipt still makes a short basket. FP-growth never lists the pairs of a basket.
+    receipt still makes a short basket. Sets grow by one item at a time: a row has a frequent set and
+    the later items of a basket that extend it to one, and equal rows are one row with their number.
     """
     pairs = materialise(
         lines.select(F.col(f"`{receipt}`").alias("basket"), F.col(item).alias("item"))
@@ -28,19 +29,43 @@ def frequent_itemsets(
     )
     baskets = pairs.select("basket").distinct().count()
     least = max(1, math.ceil(min_support * baskets))
-    common = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    kept = materialise(
-        spread(pairs.join(common, "item", "left_semi"), "basket")
-        .groupBy("basket").agg(F.collect_list("item").alias("items"))
+    common = materialise(
+        pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
+        .withColumn("code", F.monotonically_increasing_id())
     )
-    rows = kept.count()
-    if rows == 0:
-        return kept.select("items", F.lit(0).cast("long").alias("freq")).limit(0), baskets
-    # A support just under the wanted count, whatever share of baskets was kept.
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=0.0,
-                     numPartitions=int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(kept)
-    found = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
-    return materialise(found), baskets
+    names = common.select("code", F.col("item").alias("name"))
+    kept = spread(pairs.join(common.select("item", "code"), "item"), "basket").groupBy("basket").agg(
+        F.sort_array(F.collect_list("code")).alias("more"))
+    sets = common.select("code", F.lit(0).cast("long").alias("within"), "code", F.array("item").alias("items"), "freq").toDF(
+        "id", "within", "code", "items", "freq")
+    left = _merged(kept.select(F.lit(0).cast("long").alias("within"), "more", F.lit(1).cast("long").alias("times")))
+    levels = [sets]
+    while True:
+        # One row for each item of a basket that extends the set, with the items after it.
+        grown = left.select("within", "more", "times", F.posexplode("more").alias("at", "code")).select(
+            "within", "code", F.slice("more", F.col("at") + 2, F.size("more")).alias("more"), "times")
+        counted = grown.select("within", "code", F.explode("more").alias("next"), "times").groupBy("within", "code", "next").agg(
+            F.sum("times").alias("freq")).where(F.col("freq") >= least)
+        found = materialise(
+            counted.join(sets.select("within", "code", F.col("id").alias("of"), "items"), ["within", "code"])
+            .join(names.withColumnRenamed("code", "next"), "next")
+            .select(F.monotonically_increasing_id().alias("id"), "within", "code", "of", "next",
+                    F.concat("items", F.array("name")).alias("items"), "freq"))
+        if found.isEmpty():
+            break
+        sets = found.select("id", F.col("of").alias("within"), F.col("next").alias("code"), "items", "freq")
+        levels.append(sets)
+        partners = found.groupBy("within", "code", "of").agg(F.collect_list("next").alias("partners"))
+        left = _merged(grown.join(partners, ["within", "code"]).select(
+            F.col("of").alias("within"), F.array_intersect("more", "partners").alias("more"), "times"))
+    every = reduce(DataFrame.unionByName, levels)
+    return materialise(every.select(F.sort_array("items").alias("items"), "freq")), baskets
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Equal rows as one with the sum of ``times``; rows without two more items extend nothing."""
+    merged = rows.where(F.size("more") >= 2).groupBy("within", "more").agg(F.sum("times").alias("times"))
+    return materialise(spread(merged, "within", "more"))
 
 
 def association_rules(

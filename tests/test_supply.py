@@ -215,3 +215,26 @@ def test_rules_for_items_limit_comes_first(spark):
     assert rules.rules_for_items(stored, wanted.limit(0)).count() == 0
     blank = stored.withColumn("consequents", F.lit("{}"))
     assert rules.rules_for_items(blank, wanted).count() == 100
+
+
+def test_frequent_sets_of_every_length_by_brute_force(spark):
+    """Equal baskets, one huge receipt, null receipts and items; sets of up to five items."""
+    made = random.Random(8)
+    baskets = [made.sample(range(9), made.randrange(1, 7)) for _ in range(120)] + [[1, 3, 5, 7, 8]] * 30 + [list(range(300))]
+    data = [(b, f"i{x}") for b, items in enumerate(baskets) for x in items * 2] + [(None, "i1"), (None, "i3"), (5000, None)]
+    df = spark.createDataFrame(data, "`Receipt number` long, Item string")
+    baskets.append([1, 3])
+    want = {}
+    for size in range(1, 10):
+        for held in itertools.combinations(range(9), size):
+            n = sum(set(held) <= set(b) for b in baskets)
+            if n >= 0.1 * len(baskets):
+                want[tuple(f"i{x}" for x in held)] = n
+    found, number = rules.frequent_itemsets(df, 0.1)
+    got = rows(found)
+    assert number == len(baskets) and max(map(len, want)) == 5
+    assert {tuple(items): n for items, n in got} == want and len(got) == len(want)
+    # Remainders that are equal travel as one row.
+    rest = spark.createDataFrame([(0, [1, 2], 1)] * 3 + [(0, [1], 4), (1, [1, 2], 2)], "within long, more array<long>, times long")
+    assert rows(rules._merged(rest), "within") == [(0, [1, 2], 3), (1, [1, 2], 2)]
+    assert rows(rules.association_rules(df.where("Item IS NULL"), 0.1, 0.0)) == []
