@@ -3,13 +3,15 @@
 A window network predicts every word from the words on both sides of it; a document's score is the sum of
 the conditional log-probabilities. Words, with A-Z in
 lower case, are hashed to ``SLOTS`` slots. A slot's probability is that of its
-class, from the network, times its share of the class, from counts over the whole corpus: frequent slots are
-a class each, the others share classes of about equal weight.
+class times that of the slot within the class, both from the network: frequent slots are
+a class each, the others share classes of about equal weight. A class is a binary tree of its slots, halved by weight;
+each fork has a vector of its own, so the surroundings tell every slot from the others of its class. Forks start at the
+counts over the whole corpus and learn in the last round, from the layer that the rounds before have found.
 
 Texts are split and hashed once; their slots are written out, and counting, training and scoring read these. The
 network is trained in numpy on every word of every document: in each round each partition continues from the
 shared parameters over all its positions, and Spark averages what the partitions found, weighted by
-their positions. What is counted and averaged grows with the input; what comes to the driver, the slot
+their positions, a fork by the positions that pass it. What is counted and averaged grows with the input; what comes to the driver, the slot
 counts and the parameters, has a fixed size.
 
 Null and empty texts have no words: score 0 and no mean. Rows are scored one by one, whatever their doc_id.
@@ -35,6 +37,8 @@ from demandloom.session import materialise, ship_package
 SLOTS = 1 << 18
 # Slots whose counts travel together.
 PART = 1 << 14
+# Forks whose vectors travel together.
+FORKS = 1 << 10
 HEAD = 63
 CLASSES = 128
 # Words on each side, and width of the network.
@@ -48,12 +52,22 @@ REMEMBERED = 500_000
 # Positions scored at a time.
 CHUNK = 8192
 SAFE = 80.0
+# A fork's vector as one value.
+ROW = np.dtype((np.void, 4 * WIDTH))
 
 
 class Lexicon(NamedTuple):
-    """For each slot its class and the logarithm of its share of the class."""
+    """For each slot its class, the logarithm of its share of the class and its way through the class.
+
+    The steps of slot s are ``steps[ends[s]:ends[s + 1]]``, twice the fork's number, and one more to the right. A fork's
+    odds of the right come from its vector and its offset.
+    """
     classes: np.ndarray
     shares: np.ndarray
+    ends: np.ndarray
+    steps: np.ndarray
+    vectors: np.ndarray
+    offset: np.ndarray
 
 
 class SlotOf(dict):
@@ -81,7 +95,41 @@ def lexicon(counts: np.ndarray) -> Lexicon:
     mass = np.cumsum(weight[tail])
     classes[tail] = HEAD + np.minimum((mass - weight[tail]) / mass[-1] * (CLASSES - HEAD), CLASSES - HEAD - 1).astype(np.int64)
     total = np.bincount(classes, weights=weight, minlength=CLASSES)
-    return Lexicon(classes.astype(np.uint8), np.log(weight / total[classes]).astype(np.float32))
+    ends, steps, offset = tree(classes[order], weight[order], order)
+    return Lexicon(
+        classes.astype(np.uint8), np.log(weight / total[classes]).astype(np.float32), ends, steps,
+        np.zeros((SLOTS, WIDTH), np.float32), offset)
+
+
+def tree(classes: np.ndarray, weight: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ends and steps of each slot, and the forks' offsets, from slots in ``order``: a class is one stretch of them.
+
+    A fork cuts a stretch where the weight on both sides is most alike; its number is the place of the cut.
+    """
+    mass = np.concatenate([[0], np.cumsum(weight)])
+    begins = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    low, high = begins, np.append(begins[1:], len(classes))
+    sizes, offset, levels = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32), []
+    while True:
+        wide = high - low > 1
+        low, high = low[wide], high[wide]
+        if not len(low):
+            break
+        cut = np.clip(np.searchsorted(mass, (mass[low] + mass[high]) / 2), low + 1, high - 1)
+        offset[cut] = np.log((mass[high] - mass[cut]) / (mass[cut] - mass[low]))
+        lengths = high - low
+        places = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+        fork = np.repeat(cut, lengths)
+        levels.append((order[places], sizes[places].copy(), 2 * fork + (places >= fork)))
+        sizes[places] += 1
+        low, high = np.stack([low, cut], axis=1).ravel(), np.stack([cut, high], axis=1).ravel()
+    each = np.zeros(SLOTS, np.int64)
+    each[order] = sizes
+    ends = np.concatenate([[0], np.cumsum(each)])
+    steps = np.zeros(int(ends[-1]), np.int32)
+    for slot, depth, step in levels:
+        steps[ends[slot] + depth] = step
+    return ends.astype(np.int32), steps, offset
 
 
 class Network(NamedTuple):
@@ -126,7 +174,7 @@ class Surroundings:
     def __call__(self, which) -> np.ndarray:
         """A row of classes for each of the words ``which``; in memory place after place."""
         at = self.places[which]
-        return np.stack([self.padded[at + k] for k in range(-REACH, REACH + 1) if k]).T
+        return np.stack([np.take(self.padded, at + k) for k in range(-REACH, REACH + 1) if k]).T
 
 
 def hidden(network: Network, around: np.ndarray) -> np.ndarray:
@@ -142,9 +190,47 @@ def bounded(network: Network) -> bool:
     return np.abs(network.outputs).sum(0).max() + np.abs(network.offset).max() <= SAFE
 
 
+def ways(words: Lexicon, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """The forks that the words of some slots pass, depth by depth.
+
+    The words' order by falling length of their ways; for each depth the number of words that reach it and the start and
+    end of its forks; all forks, those of a depth in the words' order; for each whether the word goes right.
+    """
+    first = np.take(words.ends, slots)
+    sizes = np.take(words.ends, slots + 1) - first
+    order = np.argsort(-sizes.astype(np.int16), kind="stable")
+    counts = len(slots) - np.cumsum(np.bincount(sizes))[:-1]
+    bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    levels = list(zip(counts.tolist(), bounds[:-1], bounds[1:]))
+    first = np.take(first, order)
+    steps = np.take(words.steps, np.concatenate([first[:0], *[first[:k] + depth for depth, (k, _, _) in enumerate(levels)]]))
+    return order, levels, steps >> 1, (steps & 1).astype(np.float32)
+
+
+def log_members(words: Lexicon, layer: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Log-probability of each word's slot within its class, given the layer."""
+    order, levels, fork, right = ways(words, slots)
+    mine, layer, total = np.take(words.vectors, fork, axis=0), np.take(layer, order, axis=0), np.zeros(len(slots))
+    odds = np.take(words.offset, fork)
+    for k, start, end in levels:
+        odds[start:end] += np.einsum("ij,ij->i", mine[start:end], layer[:k])
+    odds *= 1 - 2 * right
+    lost = np.log(1 + np.exp(-np.abs(odds)))
+    lost += np.maximum(odds, 0)
+    for k, start, end in levels:
+        total[:k] -= lost[start:end]
+    found = np.empty(len(slots))
+    found[order] = total
+    return found
+
+
 def log_classes(network: Network, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Log-probability of each word's class, given the classes around it."""
-    logits = hidden(network, around) @ network.outputs
+    return _log_classes(network, hidden(network, around), classes)
+
+
+def _log_classes(network: Network, layer: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    logits = layer @ network.outputs
     logits += network.offset
     own = logits[np.arange(len(classes)), classes]
     if not bounded(network):
@@ -153,21 +239,78 @@ def log_classes(network: Network, around: np.ndarray, classes: np.ndarray) -> np
     return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
-def learn(network: Network, sums: list[np.ndarray], around: np.ndarray, classes: np.ndarray) -> None:
-    """One step, in place; ``sums`` holds the squared gradients so far, which scale the step."""
+def _row_sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """For each row the sums of its values at each of ``count`` places."""
+    return np.stack([np.bincount(at, x, count) for x in rows])
+
+
+class Forks:
+    """The vectors and offsets of all forks while they learn; one sum of squared gradients and a count of words each."""
+
+    def __init__(self, words: Lexicon):
+        self.words = words._replace(vectors=words.vectors.copy(), offset=words.offset.copy())
+        self.sums, self.passed = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.int64)
+
+    def learn(self, layer: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """One step, in place; returns the layer's slopes."""
+        vectors, offset = self.words.vectors, self.words.offset
+        order, levels, fork, right = ways(self.words, slots)
+        if not len(fork):
+            return np.zeros_like(layer)
+        mine, theirs = np.take(vectors, fork, axis=0), np.take(layer, order, axis=0)
+        odds = np.take(offset, fork)
+        for k, start, end in levels:
+            odds[start:end] += np.einsum("ij,ij->i", mine[start:end], theirs[:k])
+        # Beyond the safe range the slope is nothing or all.
+        wrong = (1 / (1 + np.exp(-np.clip(odds, -SAFE, SAFE))) - right) / np.float32(len(slots))
+        mine *= wrong[:, None]
+        units, sorted_, pulls = theirs.T.astype(np.float64, order="C"), np.zeros_like(theirs), np.empty((WIDTH, len(fork)))
+        wrong = wrong.astype(np.float64)
+        for k, start, end in levels:
+            sorted_[:k] += mine[start:end]
+            np.multiply(units[:, :k], wrong[start:end], out=pulls[:, start:end])
+        back = np.empty_like(sorted_)
+        back[order] = sorted_
+        # Each fork once: sorted with their places.
+        placed = np.sort((fork.astype(np.int64) << 32) | np.arange(len(fork)))
+        found, place = placed >> 32, placed & 0xFFFFFFFF
+        new = np.append(True, found[1:] != found[:-1])[:len(found)]
+        kinds, which = found[new], np.empty(len(fork), np.int64)
+        which[place] = np.cumsum(new) - 1
+        slope, shift = _row_sums(which, pulls, len(kinds)), np.bincount(which, wrong, len(kinds))
+        self.passed[kinds] += np.bincount(which, minlength=len(kinds))
+        total = np.take(self.sums, kinds) + (np.einsum("ij,ij->j", slope, slope) + shift * shift) / (WIDTH + 1)
+        self.sums[kinds] = total
+        pace = PACE / np.sqrt(total + 1e-8)
+        slope *= pace
+        # A row is written as one value.
+        after = np.take(vectors, kinds, axis=0)
+        after -= slope.T.astype(np.float32, order="C")
+        vectors.view(ROW)[kinds] = after.view(ROW)
+        offset[kinds] -= shift * pace
+        return back
+
+
+def learn(network: Network, sums: list[np.ndarray], around: np.ndarray, classes: np.ndarray, forks: Forks | None = None, slots: np.ndarray | None = None) -> None:
+    """One step, in place; ``sums`` holds the squared gradients so far, which scale the step. The forks of ``slots`` learn too if given."""
     n, layer = len(classes), hidden(network, around)
-    wrong = layer @ network.outputs
-    wrong += network.offset
+    odds = layer @ network.outputs
+    odds += network.offset
     if not bounded(network):
-        wrong -= wrong.max(axis=1, keepdims=True)
-    np.exp(wrong, out=wrong)
-    wrong *= (1 / (n * wrong.sum(axis=1)))[:, None]
-    wrong[np.arange(n), classes] -= np.float32(1 / n)
-    back = ((wrong @ network.outputs.T) * (1 - layer * layer)).astype(np.float64)
-    # One sum over (place, class, width) for all the words around.
-    at = ((around.T + PLACES[:, None]) * WIDTH)[:, :, None] + np.arange(WIDTH)
-    inputs = np.bincount(at.reshape(-1), np.tile(back.reshape(-1), 2 * REACH), network.inputs.size).reshape(SHAPES[0])
-    for values, total, slope in zip(network, sums, (inputs, back.sum(0), layer.T @ wrong, wrong.sum(0))):
+        odds -= odds.max(axis=1, keepdims=True)
+    np.exp(odds, out=odds)
+    # The slopes of the logits are these odds times each word's share, less 1 / n at its own class.
+    share = 1 / (n * (odds @ np.ones(CLASSES, np.float32)))
+    back = (odds @ network.outputs.T) * share[:, None] - np.take(network.outputs.T / np.float32(n), classes, axis=0)
+    outputs = (layer * share[:, None]).T @ odds - _row_sums(classes, layer.T.astype(np.float64, order="C") / n, CLASSES)
+    offset = share @ odds - np.bincount(classes, minlength=CLASSES) / n
+    if forks is not None:
+        back += forks.learn(layer, slots)
+    back = (back * (1 - layer * layer)).T.astype(np.float64, order="C")
+    # One sum over (place, class) for all the words around, for each unit of the layer.
+    at = (around.T + PLACES[:, None]).reshape(-1)
+    inputs = _row_sums(at, np.tile(back, 2 * REACH), len(PLACES) * (CLASSES + 1)).T.reshape(SHAPES[0])
+    for values, total, slope in zip(network, sums, (inputs, back.sum(1), outputs, offset)):
         total += slope * slope
         values -= (PACE * slope / np.sqrt(total + 1e-8)).astype(np.float32)
 
@@ -218,11 +361,18 @@ def slot_counts(rows: DataFrame) -> np.ndarray:
 
 def train_round(rows: DataFrame, words: Lexicon, network: Network, number: int) -> Network:
     """The partitions' networks after one pass, averaged by their positions."""
-    sent = rows.sparkSession.sparkContext.broadcast((words, network))
+    return _round(rows, words, network, number, False)[1]
+
+
+def _round(rows: DataFrame, words: Lexicon, network: Network, number: int, all_: bool) -> tuple[Lexicon, Network]:
+    """One pass; with ``all_`` the forks learn too, each averaged by the positions that passed it."""
+    needed = words if all_ else Lexicon(words.classes, *[None] * (len(words) - 1))
+    sent = rows.sparkSession.sparkContext.broadcast((needed, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon_, start = sent.value
         own, sums = Network(*[x.copy() for x in start]), [np.zeros(s) for s in SHAPES]
+        forks = Forks(lexicon_) if all_ else None
         seen = 0
         chance = np.random.default_rng([number, TaskContext.get().partitionId()])
         for _, slots, lengths in _steps(batches):
@@ -231,30 +381,61 @@ def train_round(rows: DataFrame, words: Lexicon, network: Network, number: int)
             chosen = chance.permutation(len(classes))
             for at in np.split(chosen, range(BATCH, len(chosen), BATCH)):
                 if len(at):
-                    learn(own, sums, around(at), classes[at])
+                    learn(own, sums, around(at), classes[at], forks, slots[at] if all_ else None)
             seen += len(chosen)
         if seen:
-            values = flat(own).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], names=["place", "value", "seen"])
+            yield _moved(-1, np.array([0]), np.array([seen]), flat(own)[None], np.float64)
+        if seen and all_:
+            for part in range(SLOTS // FORKS):
+                at = part * FORKS + np.flatnonzero(forks.passed[part * FORKS:(part + 1) * FORKS])
+                if len(at):
+                    # What the vectors have moved by, in half precision: a step is a few hundredths of it.
+                    moved = np.column_stack([forks.words.vectors[at] - lexicon_.vectors[at], forks.words.offset[at] - lexicon_.offset[at]])
+                    yield _moved(part, at - part * FORKS, forks.passed[at], moved, np.float16)
 
-    found = rows.mapInArrow(run, "place long, value double, seen double")
-    mean = found.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
-    if not mean.num_rows:
-        return network
-    values = np.empty(mean.num_rows)
-    values[mean.column("place").to_numpy()] = mean.column("value").to_numpy()
-    return shaped(values)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, at, weight, moved in zip(*(x.to_pylist() for x in batch.columns)):
+                at, weight = np.frombuffer(at, np.int32), np.frombuffer(weight, np.float64)
+                moved = np.frombuffer(moved, np.float64 if part < 0 else np.float16).reshape(len(at), -1)
+                count, total = held.setdefault(part, (np.zeros(1 if part < 0 else FORKS), np.zeros((1 if part < 0 else FORKS, moved.shape[1]))))
+                count[at] += weight
+                total[at] += weight[:, None] * moved
+        for part, (count, total) in held.items():
+            at = np.flatnonzero(count)
+            yield _moved(part, at, count[at], total[at] / count[at, None], np.float32)
+
+    schema = "part long, places binary, weights binary, moved binary"
+    found = rows.mapInArrow(run, schema).repartition("part").mapInArrow(summed, schema)
+    vectors, offset = words.vectors.copy(), words.offset.copy()
+    for row in found.collect():  # the parameters, a fixed number
+        at, moved = np.frombuffer(row["places"], np.int32), np.frombuffer(row["moved"], np.float32)
+        if row["part"] < 0:
+            network = shaped(moved)
+            continue
+        at, moved = row["part"] * FORKS + at, moved.reshape(len(at), -1)
+        vectors[at] += moved[:, :WIDTH]
+        offset[at] += moved[:, WIDTH]
+    sent.destroy()
+    return words._replace(vectors=vectors, offset=offset), network
+
+
+def _moved(part: int, at: np.ndarray, weight: np.ndarray, values: np.ndarray, kind: type) -> pa.RecordBatch:
+    columns = (at.astype(np.int32), weight.astype(np.float64), values.astype(kind))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["part", "places", "weights", "moved"])
 
 
 def score_slots(slots: np.ndarray, lengths: np.ndarray, words: Lexicon, network: Network) -> np.ndarray:
     """The sum of the log-probabilities of each text's words."""
     classes = words.classes[slots].astype(np.int64)
     around = Surroundings(classes, lengths)
-    found = words.shares[slots].astype(np.float64)
+    found = np.empty(len(slots))
     for at in range(0, len(slots), CHUNK):
         part = np.arange(at, min(at + CHUNK, len(slots)))
-        found[part] += log_classes(network, around(part), classes[part])
+        layer = hidden(network, around(part))
+        found[part] = _log_classes(network, layer, classes[part]) + log_members(words, layer, slots[part])
     return np.bincount(around.owner, weights=found, minlength=len(lengths)).astype(np.float64)
 
 
@@ -270,7 +451,7 @@ def train(rows: DataFrame) -> tuple[Lexicon, Network]:
     words = lexicon(counts)
     network = first_network(words, counts)
     for number in range(ROUNDS):
-        network = train_round(rows, words, network, number)
+        words, network = _round(rows, words, network, number, number == ROUNDS - 1)
     return words, network
 
 

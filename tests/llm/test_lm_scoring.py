@@ -120,3 +120,64 @@ def test_a_round_learns_from_every_word(spark):
     L.learn(want, [np.zeros(s) for s in L.SHAPES], L.Surroundings(classes, lengths)(np.arange(len(classes))), classes)
     found = L.train_round(docs, words, first, 0)
     assert all(np.allclose(x, y, atol=1e-3) for x, y in zip(found, want))
+
+
+def rare_pairs():
+    """Pairs of equally rare words, each between neighbours of its own, among many others."""
+    made, rows = random.Random(7), []
+    for k in range(200):
+        rows += [f"left{k % 2} rare{k} right{k % 2} left{k % 2} rare{k} right{k % 2}"] * 20
+    rows += [" ".join(f"fill{made.randrange(2000)}" for _ in range(20)) for _ in range(200)]
+    made.shuffle(rows)
+    return rows
+
+
+def test_the_context_tells_the_words_of_a_class_apart(spark):
+    words, network = L.train(L.slotted(frame(spark, list(enumerate(rare_pairs()))).coalesce(2)))
+    known = L.SlotOf()
+    slot = {k: known[f"rare{k}".encode()] for k in range(200)}
+    together = [(a, b) for a in range(0, 200, 2) for b in range(1, 200, 20) if words.classes[slot[a]] == words.classes[slot[b]]]
+    assert len(together) > 50
+    score = lambda text: L.score_texts([text.encode()], L.SlotOf(), words, network)[1][0]
+    better = [score(f"left0 rare{a} right0") - score(f"left0 rare{b} right0") for a, b in together]
+    better += [score(f"left1 rare{b} right1") - score(f"left1 rare{a} right1") for a, b in together]
+    # By the counts alone they differ by nothing.
+    assert np.mean(better) > 0.5, better
+
+
+def test_all_slots_sum_to_one_in_every_surrounding():
+    words, _ = tiny()
+    made = np.random.default_rng(11)
+    every = np.arange(L.SLOTS)
+    assert np.allclose(L.log_members(words, np.zeros((L.SLOTS, L.WIDTH), np.float32), every), words.shares, atol=1e-4)
+    words = words._replace(vectors=made.standard_normal(words.vectors.shape).astype(np.float32))
+    layer = np.tile(np.tanh(made.standard_normal(L.WIDTH)).astype(np.float32), (L.SLOTS, 1))
+    shares = np.bincount(words.classes, weights=np.exp(L.log_members(words, layer, every)), minlength=L.CLASSES)
+    assert np.allclose(shares, 1, atol=1e-3)
+
+
+def test_forks_step_by_their_slopes():
+    """The layer's slopes and a step of forks are those of the log-probability, numerically."""
+    words, _ = tiny()
+    made = np.random.default_rng(12)
+    words = words._replace(vectors=made.standard_normal(words.vectors.shape).astype(np.float32))
+    layer, slots = np.tanh(made.standard_normal((30, L.WIDTH))), made.integers(0, L.SLOTS, 30)
+    slots[20:] = slots[:10]
+    loss = lambda w, x: -L.log_members(w._replace(vectors=w.vectors.astype(float), offset=w.offset.astype(float)), x, slots).sum() / 30
+    forks = L.Forks(words)
+    back = forks.learn(layer.astype(np.float32), slots)
+    for row, unit in ((0, 3), (5, 0), (29, 15)):
+        moved = layer.copy()
+        moved[row, unit] += 1e-4
+        assert np.isclose((loss(words, moved) - loss(words, layer)) / 1e-4, back[row, unit], atol=1e-4)
+    _, _, passed, _ = L.ways(words, slots)
+    assert np.array_equal(np.bincount(passed, minlength=L.SLOTS), forks.passed)
+    assert np.array_equal(forks.words.vectors[forks.passed == 0], words.vectors[forks.passed == 0])
+    for fork in np.unique(passed)[::9]:
+        for unit in (1, 8):
+            up = words.vectors.astype(float)
+            up[fork, unit] += 1e-4
+            slope = (loss(words._replace(vectors=up), layer) - loss(words, layer)) / 1e-4
+            step = forks.words.vectors[fork, unit] - words.vectors[fork, unit]
+            assert abs(slope) < 1e-5 or slope * step < 0
+    assert loss(forks.words, layer) < loss(words, layer)
