@@ -50,8 +50,10 @@ BATCH = 2048
 PACE = 0.1
 REMEMBERED = 500_000
 # Positions scored at a time.
-CHUNK = 8192
+CHUNK = 2048
 SAFE = 80.0
+# Rows of a group that are added one by one, for all groups together.
+FEW = 3
 # A fork's vector as one value.
 ROW = np.dtype((np.void, 4 * WIDTH))
 
@@ -168,13 +170,13 @@ class Surroundings:
     def __init__(self, classes: np.ndarray, lengths: np.ndarray):
         self.owner = np.repeat(np.arange(len(lengths)), lengths)
         self.places = np.arange(len(classes)) + REACH * (self.owner + 1)
-        self.padded = np.full(len(classes) + REACH * (len(lengths) + 1), CLASSES, np.int64)
+        self.padded = np.full(len(classes) + REACH * (len(lengths) + 1), CLASSES, np.uint8)
         self.padded[self.places] = classes
 
     def __call__(self, which) -> np.ndarray:
         """A row of classes for each of the words ``which``; in memory place after place."""
         at = self.places[which]
-        return np.stack([np.take(self.padded, at + k) for k in range(-REACH, REACH + 1) if k]).T
+        return np.stack([np.take(self.padded, at + k) for k in range(-REACH, REACH + 1) if k]).astype(np.int64).T
 
 
 def hidden(network: Network, around: np.ndarray) -> np.ndarray:
@@ -211,9 +213,7 @@ def log_members(words: Lexicon, layer: np.ndarray, slots: np.ndarray) -> np.ndar
     """Log-probability of each word's slot within its class, given the layer."""
     order, levels, fork, right = ways(words, slots)
     mine, layer, total = np.take(words.vectors, fork, axis=0), np.take(layer, order, axis=0), np.zeros(len(slots))
-    odds = np.take(words.offset, fork)
-    for k, start, end in levels:
-        odds[start:end] += np.einsum("ij,ij->i", mine[start:end], layer[:k])
+    odds = np.take(words.offset, fork) + _dots(mine, layer, levels)
     odds *= 1 - 2 * right
     lost = np.log(1 + np.exp(-np.abs(odds)))
     lost += np.maximum(odds, 0)
@@ -239,9 +239,29 @@ def _log_classes(network: Network, layer: np.ndarray, classes: np.ndarray) -> np
     return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
-def _row_sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    """For each row the sums of its values at each of ``count`` places."""
-    return np.stack([np.bincount(at, x, count) for x in rows])
+def _group_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of the groups of rows that begin at ``first``; most groups are one row or a few."""
+    found, sizes = np.take(rows, first, axis=0), np.diff(first, append=len(rows))
+    left = np.flatnonzero(sizes > 1)
+    for k in range(1, FEW):
+        few = left[sizes[left] <= FEW]
+        at = few[sizes[few] > k]
+        found[at] += np.take(rows, first[at] + k, axis=0)
+    many = left[sizes[left] > FEW]
+    if len(many):
+        sizes = sizes[many]
+        begins = np.cumsum(sizes) - sizes
+        at = np.repeat(first[many] - begins, sizes) + np.arange(int(sizes.sum()))
+        found[many] = np.add.reduceat(np.take(rows, at, axis=0), begins, axis=0)
+    return found
+
+
+def _dots(one: np.ndarray, other: np.ndarray, levels: list[tuple[int, int, int]]) -> np.ndarray:
+    """Each row of ``one`` times the row of the word that passes there."""
+    product = np.empty_like(one)
+    for k, start, end in levels:
+        np.multiply(one[start:end], other[:k], out=product[start:end])
+    return product @ np.ones(WIDTH, product.dtype)
 
 
 class Forks:
@@ -258,34 +278,34 @@ class Forks:
         if not len(fork):
             return np.zeros_like(layer)
         mine, theirs = np.take(vectors, fork, axis=0), np.take(layer, order, axis=0)
-        odds = np.take(offset, fork)
-        for k, start, end in levels:
-            odds[start:end] += np.einsum("ij,ij->i", mine[start:end], theirs[:k])
+        odds = np.take(offset, fork) + _dots(mine, theirs, levels)
         # Beyond the safe range the slope is nothing or all.
         wrong = (1 / (1 + np.exp(-np.clip(odds, -SAFE, SAFE))) - right) / np.float32(len(slots))
         mine *= wrong[:, None]
-        units, sorted_, pulls = theirs.T.astype(np.float64, order="C"), np.zeros_like(theirs), np.empty((WIDTH, len(fork)))
-        wrong = wrong.astype(np.float64)
+        sorted_ = np.zeros_like(theirs)
         for k, start, end in levels:
             sorted_[:k] += mine[start:end]
-            np.multiply(units[:, :k], wrong[start:end], out=pulls[:, start:end])
         back = np.empty_like(sorted_)
         back[order] = sorted_
         # Each fork once: sorted with their places.
         placed = np.sort((fork.astype(np.int64) << 32) | np.arange(len(fork)))
         found, place = placed >> 32, placed & 0xFFFFFFFF
-        new = np.append(True, found[1:] != found[:-1])[:len(found)]
-        kinds, which = found[new], np.empty(len(fork), np.int64)
-        which[place] = np.cumsum(new) - 1
-        slope, shift = _row_sums(which, pulls, len(kinds)), np.bincount(which, wrong, len(kinds))
-        self.passed[kinds] += np.bincount(which, minlength=len(kinds))
-        total = np.take(self.sums, kinds) + (np.einsum("ij,ij->j", slope, slope) + shift * shift) / (WIDTH + 1)
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        kinds = found[first]
+        # A level's forks are in the words' order.
+        word = (np.arange(len(fork)) - np.repeat([start for _, start, _ in levels], [k for k, _, _ in levels]))[place]
+        wrong = np.take(wrong, place)
+        pulls = np.take(theirs, word, axis=0)
+        pulls *= wrong[:, None]
+        slope, shift = _group_sums(pulls, first), np.add.reduceat(wrong, first)
+        self.passed[kinds] += np.diff(first, append=len(fork))
+        total = np.take(self.sums, kinds) + (np.einsum("ij,ij->i", slope, slope) + shift * shift) / (WIDTH + 1)
         self.sums[kinds] = total
         pace = PACE / np.sqrt(total + 1e-8)
-        slope *= pace
+        slope *= pace[:, None]
         # A row is written as one value.
         after = np.take(vectors, kinds, axis=0)
-        after -= slope.T.astype(np.float32, order="C")
+        after -= slope
         vectors.view(ROW)[kinds] = after.view(ROW)
         offset[kinds] -= shift * pace
         return back
@@ -299,18 +319,24 @@ def learn(network: Network, sums: list[np.ndarray], around: np.ndarray, classes:
     if not bounded(network):
         odds -= odds.max(axis=1, keepdims=True)
     np.exp(odds, out=odds)
-    # The slopes of the logits are these odds times each word's share, less 1 / n at its own class.
-    share = 1 / (n * (odds @ np.ones(CLASSES, np.float32)))
-    back = (odds @ network.outputs.T) * share[:, None] - np.take(network.outputs.T / np.float32(n), classes, axis=0)
-    outputs = (layer * share[:, None]).T @ odds - _row_sums(classes, layer.T.astype(np.float64, order="C") / n, CLASSES)
-    offset = share @ odds - np.bincount(classes, minlength=CLASSES) / n
+    # The slopes of the logits are these odds, less their sum at the word's own class, times each word's share.
+    total = odds @ np.ones(CLASSES, np.float32)
+    share = 1 / (n * total)
+    odds[np.arange(n), classes] -= total
+    back = (odds @ network.outputs.T) * share[:, None]
+    outputs, offset = (layer * share[:, None]).T @ odds, share @ odds
     if forks is not None:
         back += forks.learn(layer, slots)
-    back = (back * (1 - layer * layer)).T.astype(np.float64, order="C")
-    # One sum over (place, class) for all the words around, for each unit of the layer.
-    at = (around.T + PLACES[:, None]).reshape(-1)
-    inputs = _row_sums(at, np.tile(back, 2 * REACH), len(PLACES) * (CLASSES + 1)).T.reshape(SHAPES[0])
-    for values, total, slope in zip(network, sums, (inputs, back.sum(1), outputs, offset)):
+    back *= 1 - layer * layer
+    # One sum over (place, class) for all the words around: sorted, each with its word.
+    at = (around.T + PLACES[:, None]).reshape(-1).astype(np.int16)
+    order = np.argsort(at, kind="stable")
+    at = np.take(at, order)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    inputs = np.zeros((len(PLACES) * (CLASSES + 1), WIDTH))
+    inputs[at[first]] = np.add.reduceat(np.take(back, order % n, axis=0), first, axis=0)
+    inputs = inputs.reshape(SHAPES[0])
+    for values, total, slope in zip(network, sums, (inputs, back.sum(0), outputs, offset)):
         total += slope * slope
         values -= (PACE * slope / np.sqrt(total + 1e-8)).astype(np.float32)
 

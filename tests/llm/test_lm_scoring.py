@@ -181,3 +181,23 @@ def test_forks_step_by_their_slopes():
             step = forks.words.vectors[fork, unit] - words.vectors[fork, unit]
             assert abs(slope) < 1e-5 or slope * step < 0
     assert loss(forks.words, layer) < loss(words, layer)
+
+
+def test_group_sums_by_plain_loops():
+    """Groups of one row, of a few and of many, as the forks of a step have them."""
+    made = np.random.default_rng(13)
+    for sizes in ([1], [1, 1, 2, 3, 4, 5, 1, 200], made.integers(1, 9, 300), [500]):
+        rows = made.standard_normal((int(np.sum(sizes)), L.WIDTH)).astype(np.float32)
+        first = np.cumsum(sizes) - np.array(sizes)
+        plain = [part.astype(float).sum(0) for part in np.split(rows, first[1:])]
+        assert np.allclose(L._group_sums(rows, first), plain, atol=1e-4)
+
+
+def test_products_of_a_way_by_plain_loops():
+    words, _ = tiny()
+    made = np.random.default_rng(14)
+    slots = made.integers(0, L.SLOTS, 40)
+    layer, vectors = made.standard_normal((40, L.WIDTH)).astype(np.float32), made.standard_normal((L.SLOTS, L.WIDTH)).astype(np.float32)
+    order, levels, fork, _ = L.ways(words, slots)
+    plain = [vectors[f] @ layer[order[i]] for k, start, end in levels for i, f in enumerate(fork[start:end])]
+    assert np.allclose(L._dots(vectors[fork], layer[order], levels), plain, atol=1e-4)
