@@ -67,3 +67,16 @@ def test_components_across_partitions_by_brute_force(spark, monkeypatch):
 def test_text_nodes(spark):
     found = C.components(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "x string, y string")).collect()
     assert sorted(map(tuple, found)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """A path whose edges lie in many partitions, as many as one of them joins up."""
+    calls = counted(monkeypatch)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = list(map(tuple, C.components(spark.createDataFrame([(k, k + 1) for k in range(500)], "x long, y long").repartition(6)).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted(found) == [(k, 0) for k in range(501)]
+    assert len(calls) == 2
